@@ -28,3 +28,20 @@ def with_previous(df: DataFrame, key: str, bucket: Column, order: list[str], car
     joined = rows.join(before, F.col(key).eqNullSafe(F.col("__k")) & F.col("__b").eqNullSafe(F.col("__kb")), "left")
     previous = F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__p"))
     return joined.select(*(F.col(c) for c in df.columns), *(previous[c].alias(prefix + c) for c in carry))
+
+
+def with_running(df: DataFrame, key: str, bucket: Column, order: list[str], amount: Column, out: str) -> DataFrame:
+    """Adds out: the sum of `amount` over the rows before this one in `order` within `key`, 0 for the first.
+
+    Split by buckets like with_previous: sums inside (key, bucket) plus the totals of the buckets
+    before. Null amounts count as 0.
+    """
+    value = F.coalesce(amount, F.lit(0)).cast("bigint")
+    rows = df.withColumn("__b", bucket).withColumn("__a", value)
+    inner = Window.partitionBy(key, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__s", F.coalesce(F.sum("__a").over(inner), F.lit(0)))
+    totals = rows.groupBy(F.col(key).alias("__k"), F.col("__b").alias("__kb")).agg(F.sum("__a").alias("__t"))
+    outer = Window.partitionBy("__k").orderBy("__kb").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("__k", "__kb", F.coalesce(F.sum("__t").over(outer), F.lit(0)).alias("__before"))
+    joined = rows.join(before, F.col(key).eqNullSafe(F.col("__k")) & F.col("__b").eqNullSafe(F.col("__kb")), "left")
+    return joined.select(*(F.col(c) for c in df.columns), (F.col("__s") + F.col("__before")).alias(out))

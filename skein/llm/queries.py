@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import conversations, neighbours, splitting, tokens
+from skein.llm import conversations, neighbours, residue, splitting, tokens
 from skein.runtime import table
 
 
@@ -58,6 +58,16 @@ def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return texts.select("doc_id", "text").join(back.select("doc_id", "back"), "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("back")).alias("same"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold residue instead of content."""
+    return residue.marked(table(spark, d, "documents")).where("residue").select("doc_id")
+
+
+def p10_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, source, lang) of the corpus that is left."""
+    return residue.clean_corpus(table(spark, d, "documents")).select("doc_id", "source", "lang")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
@@ -68,5 +78,7 @@ QUERIES = {
     "p7_nearest": p7_nearest,
     "p8_ids": p8_ids,
     "p8_roundtrip": p8_roundtrip,
+    "p10_found": p10_found,
+    "p10_corpus": p10_corpus,
 }
 SQL = {}

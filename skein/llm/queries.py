@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import conversations, neighbours, residue, splitting, tokens
+from skein.llm import conversations, neighbours, personal, residue, splitting, tokens
 from skein.runtime import table
 
 
@@ -20,6 +20,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).where("piece = 1").select("item_kind", "item_id")
 
 
+def p3_spans(spark: SparkSession, d: str) -> DataFrame:
+    """(src, row_id, start, end, kind) of all personal information in turns and memories."""
+    texts = personal.texts_of(table(spark, d, "chat_messages"), table(spark, d, "memories"))
+    return personal.found_spans(texts, table(spark, d, "authors"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The kinds of personal information in every record that has any."""
+    return p3_spans(spark, d).select("src", "row_id", F.col("kind").alias("pii_kind")).distinct()
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Turns and memories with typed placeholders instead of personal information."""
+    texts = personal.texts_of(table(spark, d, "chat_messages"), table(spark, d, "memories"))
+    return personal.redacted(texts, personal.found_spans(texts, table(spark, d, "authors")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Conversations that must be dropped."""
     found = conversations.verdicts(table(spark, d, "chat_messages"), table(spark, d, "conversation_meta"))
@@ -71,6 +88,9 @@ def p10_corpus(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_spans": p3_spans,
+    "p3_redacted": p3_redacted,
     "p4_found": p4_found,
     "p4_conversations": p4_conversations,
     "p4_clock_offsets": p4_clock_offsets,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import conversations, neighbours, personal, residue, splitting, tokens
+from skein.llm import conversations, mixing, neighbours, personal, residue, splitting, tokens
 from skein.runtime import table
 
 
@@ -75,6 +75,16 @@ def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return texts.select("doc_id", "text").join(back.select("doc_id", "back"), "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("back")).alias("same"))
 
 
+def p9_selection(spark: SparkSession, d: str) -> DataFrame:
+    """(mix_name, source, doc_id, n_tokens, copies): the documents of every mix."""
+    return mixing.select(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source of every mix."""
+    return mixing.shares(*mixing.select(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold residue instead of content."""
     return residue.marked(table(spark, d, "documents")).where("residue").select("doc_id")
@@ -98,6 +108,8 @@ QUERIES = {
     "p7_nearest": p7_nearest,
     "p8_ids": p8_ids,
     "p8_roundtrip": p8_roundtrip,
+    "p9_selection": p9_selection,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_corpus": p10_corpus,
 }

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,7 +99,6 @@ def with_ids(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k", fol
 def with_counts(df: DataFrame, text: str, out: str = "n_tokens", name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """df with the number of tokens of its text column, 0 for an empty or null text."""
     ranks = df.sparkSession.sparkContext.broadcast(rank_bytes(name, folder))
-    import pandas as pd
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
@@ -111,7 +111,6 @@ def with_counts(df: DataFrame, text: str, out: str = "n_tokens", name: str = "by
 def decoded(df: DataFrame, ids: str, out: str = "text", name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """df with the text of its ids. Bytes are joined before they are read as UTF-8, so characters cut between ids come back whole; ids that form no UTF-8 give U+FFFD, unknown ids null."""
     ranks = df.sparkSession.sparkContext.broadcast(rank_bytes(name, folder))
-    import pandas as pd
 
     @F.pandas_udf("string")
     def read(column: pd.Series) -> pd.Series:

@@ -55,29 +55,35 @@ def instant_ns(number: Column) -> Column:
 
 
 def usable_messages(messages: DataFrame) -> DataFrame:
-    """(conv_id, source, msg_id, role, text, turn, ns) of the messages that count.
+    """(conv_id, source, msg_id, role, chars, turn, ns) of the messages that count, without their texts.
 
     User and assistant rows with visible text; among rows equal in conversation, role, text, turn
     and sent_at the one with the lowest msg_id. Rows without conv_id are left out. Copies are
-    found by a 128-bit digest of the text, pre-aggregated before the shuffle.
+    found by a 128-bit digest of the text taken before the shuffle, so that no text is shuffled.
     """
     rows = messages.select("conv_id", "source", "msg_id", role_of(F.col("role")).alias("role"), "text", "turn", "sent_at")
     rows = rows.where(F.col("conv_id").isNotNull() & F.col("role").isin("user", "assistant") & visible(F.col("text")))
-    same = ["conv_id", "role", "turn", "sent_at", F.md5("text").alias("__text")]
-    kept = rows.groupBy(*same).agg(F.min_by(F.struct("msg_id", "source", "text"), "msg_id").alias("m"))
-    return kept.select("conv_id", "m.source", "m.msg_id", "role", "m.text", "turn", instant_ns(F.col("sent_at")).alias("ns"))
+    rows = rows.select("conv_id", "source", "msg_id", "role", F.md5("text").alias("digest"), F.length("text").alias("chars"), "turn", "sent_at")
+    kept = rows.groupBy("conv_id", "role", "turn", "sent_at", "digest").agg(F.min(F.struct("msg_id", "source", "chars")).alias("m"))
+    return kept.select("conv_id", "m.source", "m.msg_id", "role", "m.chars", "turn", instant_ns(F.col("sent_at")).alias("ns"))
+
+
+def with_texts(rows: DataFrame, messages: DataFrame) -> DataFrame:
+    """rows with the text of their (conv_id, msg_id); messages of other conversations are dropped before the join."""
+    own = messages.select("conv_id", "msg_id", "text").join(rows.select("conv_id").distinct(), "conv_id", "left_semi")
+    return rows.join(own, ["conv_id", "msg_id"])
 
 
 def clock_offsets(usable: DataFrame) -> DataFrame:
     """(source, constraints, infeasible, offset_ns): the shift of each source's assistant clock.
 
-    Every conversation with instants of both senders gives the constraint that its first reply
-    is not before its first question. The shift minimises the squared lack over the infeasible
+    Every conversation that only instants order and that has those of both senders gives the
+    constraint that its first reply is not before its first question. The shift minimises the squared lack over the infeasible
     constraints; it is 0 unless more than SKEWED of the source's constraints are infeasible, so
     that single broken conversations move no clock.
     """
     first = lambda role: F.min(F.when(F.col("role") == role, F.col("ns")))
-    gaps = usable.where("ns is not null").groupBy("conv_id").agg(F.min("source").alias("source"), (first("assistant") - first("user")).alias("gap"))
+    gaps = usable.groupBy("conv_id").agg(F.min("source").alias("source"), (first("assistant") - first("user")).alias("gap"), F.count("turn").alias("turns")).where("turns = 0")
     lack = F.when(F.col("gap") < 0, -F.col("gap"))
     sums = gaps.where("gap is not null").groupBy("source").agg(F.count("*").alias("constraints"), F.count(lack).alias("infeasible"), F.avg(lack).alias("mean"))
     shift = F.when(F.col("infeasible") > SKEWED * F.col("constraints"), F.round("mean").cast("bigint")).otherwise(F.lit(0))
@@ -130,5 +136,5 @@ def verdicts(messages: DataFrame, metas: DataFrame) -> DataFrame:
 def rebuilt(messages: DataFrame, metas: DataFrame) -> DataFrame:
     """(conv_id, position, role, text, msg_id) of the kept conversations, positions counted from 0."""
     rows = ordered(usable_messages(messages)).join(verdicts(messages, metas).where("keep").select("conv_id"), "conv_id", "left_semi")
-    numbered = with_running(rows, "conv_id", F.col("bucket"), ORDER, F.lit(1), "position")
-    return numbered.select("conv_id", "position", "role", "text", "msg_id")
+    numbered = with_running(rows, "conv_id", F.col("bucket"), ORDER, F.lit(1), "position").select("conv_id", "msg_id", "position", "role")
+    return with_texts(numbered, messages).select("conv_id", "position", "role", "text", "msg_id")

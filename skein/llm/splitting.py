@@ -16,8 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.conversations import ORDER, ordered, usable_messages
+from skein.llm.conversations import ORDER, ordered, usable_messages, with_texts
 from skein.operators.neighbours import with_running
+from skein.runtime import cut
 
 TURN_LIMIT, TURN_OVERLAP = 8_000, 800
 CONVERSATION_LIMIT, CONVERSATION_OVERLAP = 20_000, 2_000
@@ -143,21 +144,21 @@ def split_conversations(messages: DataFrame, limit: int = CONVERSATION_LIMIT, ov
     split as one text. A larger one is cut into blocks of whole messages that are split apart;
     the first piece of a block repeats the end of the block before.
     """
-    usable = usable_messages(messages)
-    sized = usable.groupBy("conv_id").agg((F.sum(F.length("text")) + len(JOINT) * (F.count("*") - 1)).alias("chars")).where(F.col("chars") > limit)
-    rows = ordered(usable).join(sized.select("conv_id"), "conv_id", "left_semi").select("conv_id", "text", "bucket", *ORDER)
-    placed = with_running(rows, "conv_id", F.col("bucket"), ORDER, F.length("text") + len(JOINT), "start")
-    placed = placed.withColumn("block", F.floor(F.col("start") / block).cast("int"))
+    usable = cut(usable_messages(messages))
+    sized = usable.groupBy("conv_id").agg((F.sum("chars") + len(JOINT) * (F.count("*") - 1)).alias("total")).where(F.col("total") > limit)
+    rows = ordered(usable).join(sized.select("conv_id"), "conv_id", "left_semi").select("conv_id", "chars", "bucket", *ORDER)
+    placed = with_running(rows, "conv_id", F.col("bucket"), ORDER, F.col("chars") + len(JOINT), "start")
+    placed = placed.select("conv_id", *ORDER, F.floor(F.col("start") / block).cast("int").alias("block"))
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         conv, number = key
-        group = group.sort_values(ORDER, kind="stable")
+        group = group.drop_duplicates("msg_id").sort_values(ORDER, kind="stable")
         whole = (JOINT if number else "") + JOINT.join(group["text"])
         own = pieces(whole, limit, overlap, always=number > 0)
         out = [("conversation", conv, number, i, len(o), p) for i, (o, p) in enumerate(zip(own, with_overlap(own, overlap)))]
         return pd.DataFrame(out, columns=["item_kind", "item_id", "block", "piece", "own_length", "text"])
 
-    parts = placed.groupBy("conv_id", "block").applyInPandas(run, PIECES)
+    parts = cut(with_texts(placed, messages).groupBy("conv_id", "block").applyInPandas(run, PIECES))
     place = F.struct("block", "piece")
     ends = parts.groupBy(F.col("item_id").alias("__id"), F.col("block").alias("__block")).agg(F.max_by(F.substring(F.col("text"), -overlap, overlap), place).alias("tail"), F.count("*").alias("n"))
     by_block = Window.partitionBy("__id").orderBy("__block")

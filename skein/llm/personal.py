@@ -76,6 +76,10 @@ PLACES = re.compile(
     r"|[一-鿿]{1,8}(?:省|市|区|县|镇)[一-鿿]{1,12}(?:路|街|巷|道|弄|胡同)\d{1,5}号(?:[\d一-鿿]{1,8}(?:室|楼|单元|栋|层|户))?|[一-鿿]{2,8}(?:路|街|巷|大道)\d{1,5}号\d{0,5}(?:室|楼|单元|栋)?",
 )
 
+#: Without one of these marks no text matches MAIL or PLACES.
+MAIL_MARKS = re.compile(r"@|[\[({]\s?(?:at|AT)\s?[\])}]|\sAT\s")
+PLACE_MARKS = re.compile(rf" {ROADS}\b|Box \d|Postfach|Apartado|BP \d|Boîte|\d{{5}} [A-ZÀ-Þ]|号")
+
 PARTICLE = r"(?:van|von|der|den|de|del|della|di|da|dos|la|le|el|bin|ibn|al|ter|ten|zu|Van|Von|Der|De|Del|Di|Da|La|Le|VAN|VON|DER|DE|DEL|DI|DA|LA|LE)"
 LATIN_NAME = re.compile(rf"(?<![A-Za-zÀ-ÿ0-9_@.+\-/])(?=({CAP} (?:{PARTICLE} ){{0,2}}{CAP})(?![A-Za-zÀ-ÿ0-9_@(/]|\.[A-Za-z0-9_]))")
 REVERSED = re.compile(rf"(?<=: )(?:{PARTICLE} ){{0,2}}{CAP}, {CAP}(?![A-Za-zÀ-ÿ0-9_@])")
@@ -141,13 +145,13 @@ def mentions(text: str) -> list[tuple[str, int, int, str | None, str, list[str]]
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for x, y in taken)
 
-    if "@" in plain or re.search(r"\bat\b|AT ", plain):
+    if MAIL_MARKS.search(plain):
         for m in MAIL.finditer(plain):
             if not (plain[m.start() : m.end()].startswith("git@") and plain[m.end() : m.end() + 1] == ":"):
                 out.append((EMAIL, m.start(), m.end(), EMAIL, "", []))
                 taken.append((m.start(), m.end()))
     if re.search(r"\d", plain):
-        for m in PLACES.finditer(plain):
+        for m in PLACES.finditer(plain) if PLACE_MARKS.search(plain) else ():
             if free(m.start(), m.end()):
                 out.append((ADDRESS, m.start(), m.end(), ADDRESS, "", []))
                 taken.append((m.start(), m.end()))

@@ -34,7 +34,7 @@ PLAIN = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20, 0xA0: 0x20, 0
 LOCAL = r"(?<![\w.+\-/@])[A-Za-z0-9](?:[\w.%+\-]{0,62}[A-Za-z0-9_])?"
 HOST = r"[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?"
 AT_DOT = (
-    (r"\s?@\s?", r"\."),
+    (r"(?:@|\s@\s)", r"\."),
     (r"\s?[\[({]\s?(?:at|AT|@)\s?[\])}]\s?", r"(?:\.|\s?[\[({]\s?(?:dot|DOT|\.)\s?[\])}]\s?)"),
     (r"\sAT\s", r"(?:\.|\sDOT\s)"),
 )
@@ -195,9 +195,9 @@ def scan(texts: DataFrame) -> DataFrame:
 
 
 def patterns_of(found: DataFrame) -> DataFrame:
-    """(cls, pattern, instance, tokens, proven, n): what stands in which context, counted per task before the shuffle."""
+    """(cls, pattern, instance, tokens, proven, n): what stands in which context of two words or marks, counted per task before the shuffle."""
     sides = F.array(F.concat(F.lit("< "), "before"), F.concat(F.lit("> "), "after"))
-    rows = found.where(F.col("cls").isin(NAME, NUMBER)).withColumn("pattern", F.explode(sides)).where(F.length("pattern") > 3)
+    rows = found.where(F.col("cls").isin(NAME, NUMBER)).withColumn("pattern", F.explode(sides)).where(F.col("pattern").rlike(r"^[<>] \S+ \S+$"))
     return rows.groupBy("cls", "pattern", "instance", "proven").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"))
 
 

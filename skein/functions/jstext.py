@@ -42,9 +42,14 @@ def squeezed(text: Column) -> Column:
 
 def shingles(text: Column, n: int = 3) -> Column:
     """The distinct character n-grams of a squeezed text; empty below n characters and for null."""
-    flat = squeezed(F.coalesce(text, F.lit("")))
-    grams = F.transform(F.sequence(F.lit(1), F.length(flat) - (n - 1)), lambda i: F.substring(flat, i, F.lit(n)))
-    return F.when(F.length(flat) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def of(flat: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.length(flat) - (n - 1)), lambda i: F.substring(flat, i, F.lit(n)))
+        return F.when(F.length(flat) >= n, F.array_distinct(grams)).otherwise(none)
+
+    # The squeezed text is bound once; written into the inner lambda it would be made again for every gram.
+    return F.flatten(F.transform(F.array(squeezed(F.coalesce(text, F.lit("")))), of))
 
 
 def jaccard(a: Column, b: Column) -> Column:

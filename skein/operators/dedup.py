@@ -12,6 +12,7 @@ from skein.functions import jstext
 from skein.functions.jstext import TITLE_VERBS
 from skein.operators import similarity
 from skein.operators.similarity import CONTAINED, JACCARD
+from skein.runtime import cut
 
 #: Types that a todo may repeat.
 ANCHORS = ("decision", "architecture", "convention")
@@ -72,7 +73,7 @@ def within(df: DataFrame, group: str, order: str) -> DataFrame:
 def against(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     """new without rows that are similar to an old row of their type, or contained in one."""
     n, o = similarity.shingle_sets(new, key, "mem_type", "content"), similarity.shingle_sets(old, key, "mem_type", "content")
-    cn, co = similarity.classes(n), similarity.classes(o)
+    cn, co = cut(similarity.classes(n)), cut(similarity.classes(o))
     digest = lambda df: df.withColumn("d", F.md5(F.array_join(F.transform("grams", lambda g: g.cast("string")), ",")))
     inside = similarity.contained_in(cn, co, CONTAINED).select("a")
     both = cn.withColumn("side", F.lit(0)).unionByName(co.withColumn("side", F.lit(1)))

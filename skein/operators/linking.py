@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import jstext
+from skein.runtime import cut
 
 #: Scores above the first link at once, above the second are suggested.
 AUTO, SUGGEST = 0.70, 0.40
@@ -44,6 +45,7 @@ def linked(left: DataFrame, right: DataFrame, least: float = SUGGEST) -> DataFra
     the left bag's rarest tokens that together weigh more than the rest allows; only those tokens
     look for partners, and candidates are then scored on all tokens.
     """
+    left, right = cut(left), cut(right)
     seen = right.groupBy("token").agg(F.count("*").alias("seen"))
     sizes_l = left.groupBy("id").agg(F.sum("w").alias("wa"))
     sizes_r = right.groupBy("id").agg(F.sum("w").alias("wb"))
@@ -51,8 +53,9 @@ def linked(left: DataFrame, right: DataFrame, least: float = SUGGEST) -> DataFra
     before = Window.partitionBy("id").orderBy(F.coalesce("seen", F.lit(0)), "token").rowsBetween(Window.unboundedPreceding, -1)
     ranked = ranked.withColumn("before", F.coalesce(F.sum("w").over(before), F.lit(0)))
     prefix = ranked.where(F.col("before") <= F.col("wa") * (1 - least)).select(F.col("id").alias("a"), "token", "wa")
-    meets = prefix.join(right.select(F.col("id").alias("b"), "token"), "token").select("a", "b", "wa").distinct()
-    sized = meets.join(sizes_r.withColumnRenamed("id", "b"), "b").where((F.least("wa", "wb") >= least * F.greatest("wa", "wb")))
+    partners = right.join(sizes_r, "id").select(F.col("id").alias("b"), "token", "wb")
+    alike = F.least("wa", "wb") >= least * F.greatest("wa", "wb")
+    sized = prefix.join(partners, "token").where(alike).groupBy("a", "b").agg(F.first("wa").alias("wa"), F.first("wb").alias("wb"))
     shared = sized.join(left.select(F.col("id").alias("a"), "token", F.col("w").alias("x")), "a").join(right.select(F.col("id").alias("b"), "token", F.col("w").alias("y")), ["b", "token"])
     sums = shared.groupBy("a", "b").agg(F.sum(F.least("x", "y")).alias("low"), F.first("wa").alias("wa"), F.first("wb").alias("wb"))
     score = F.col("low") / (F.col("wa") + F.col("wb") - F.col("low"))

@@ -1,9 +1,9 @@
 """Exact similarity joins of short texts by character shingles.
 
 Texts with equal shingles form a class that is joined once, through its lowest id. Candidates come
-from a prefix filter: a pair that qualifies shares more than SHARE of the smaller set, so one of
-the rarest few shingles of the smaller set is in the larger one. Every candidate is verified on
-the whole sets, so no qualifying pair is lost.
+from a prefix filter: a pair that qualifies shares more than SHARE of the smaller set, so it
+shares some of the smaller set's rarest shingles: how many is counted, and only pairs with enough
+are verified on the whole sets. No qualifying pair is lost.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import jstext
+from skein.runtime import cut
 
 #: Jaccard above the first, or containment of the smaller text above the second, is a duplicate.
 JACCARD, CONTAINED = 0.55, 0.75
@@ -32,14 +33,18 @@ def classes(sets: DataFrame) -> DataFrame:
     return rows.groupBy("grp", "digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("grams").alias("grams")).select("grp", "rep", "copies", "grams")
 
 
+#: A share of the smaller set that must be found among its rarest grams before a pair is verified.
+EARLY = 0.1
+
+
 def prefixes(sets: DataFrame, share: float = SHARE) -> DataFrame:
-    """(grp, rep, n, gram): the rarest grams of each set, enough that a set sharing `share` of it has one of them."""
+    """(grp, rep, n, need, gram): the rarest grams of each set, so many that a set sharing `share` of it shares `need` of them."""
     each = sets.select("grp", "rep", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     seen = each.groupBy(F.col("grp").alias("sg"), F.col("gram").alias("sm")).agg(F.count("*").alias("seen"))
     by_rarity = Window.partitionBy("grp", "rep").orderBy("seen", "gram")
     ranked = each.join(seen, (F.col("gram") == F.col("sm")) & F.col("grp").eqNullSafe(F.col("sg"))).select("grp", "rep", "n", "gram", "seen")
-    ranked = ranked.withColumn("place", F.row_number().over(by_rarity))
-    return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share) + 1).select("grp", "rep", "n", "gram")
+    ranked = ranked.withColumn("place", F.row_number().over(by_rarity)).withColumn("need", F.ceil(F.col("n") * EARLY))
+    return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share) + F.col("need")).select("grp", "rep", "n", "need", "gram")
 
 
 def similar_pairs(sets: DataFrame) -> DataFrame:
@@ -47,11 +52,13 @@ def similar_pairs(sets: DataFrame) -> DataFrame:
 
     Of sets of one size a is the lower id. Members of a class follow from classes().
     """
-    small = prefixes(sets).select(F.col("grp").alias("ga"), F.col("rep").alias("a"), F.col("n").alias("na"), "gram")
+    sets = cut(sets)
+    small = prefixes(sets).select(F.col("grp").alias("ga"), F.col("rep").alias("a"), F.col("n").alias("na"), "need", "gram")
     every = sets.select(F.col("grp").alias("gb"), F.col("rep").alias("b"), F.size("grams").alias("nb"), F.explode("grams").alias("gram_b"))
     on = (F.col("gram") == F.col("gram_b")) & F.col("ga").eqNullSafe(F.col("gb"))
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    candidates = small.join(every, on).where(ordered).select("ga", "a", "b").distinct()
+    met = small.join(every, on).where(ordered).groupBy("ga", "a", "b").agg(F.count("*").alias("found"), F.first("need").alias("need"))
+    candidates = met.where(F.col("found") >= F.col("need")).select("ga", "a", "b")
     left = sets.select(F.col("rep").alias("a"), F.col("grp").alias("g1"), F.col("grams").alias("x"))
     right = sets.select(F.col("rep").alias("b"), F.col("grp").alias("g2"), F.col("grams").alias("y"))
     pairs = candidates.join(left, "a").where(F.col("ga").eqNullSafe(F.col("g1"))).join(right, "b").where(F.col("ga").eqNullSafe(F.col("g2")))
@@ -64,9 +71,11 @@ def contained_in(new: DataFrame, old: DataFrame, bound: float) -> DataFrame:
 
     Directed and exact; the sizes of the two sets do not matter.
     """
-    small = prefixes(new, bound).select(F.col("grp").alias("ga"), F.col("rep").alias("a"), "gram")
+    new, old = cut(new), cut(old)
+    small = prefixes(new, bound).select(F.col("grp").alias("ga"), F.col("rep").alias("a"), "need", "gram")
     every = old.select(F.col("grp").alias("gb"), F.col("rep").alias("b"), F.explode("grams").alias("gram_b"))
-    candidates = small.join(every, (F.col("gram") == F.col("gram_b")) & F.col("ga").eqNullSafe(F.col("gb"))).select("a", "b").distinct()
+    met = small.join(every, (F.col("gram") == F.col("gram_b")) & F.col("ga").eqNullSafe(F.col("gb"))).groupBy("a", "b").agg(F.count("*").alias("found"), F.first("need").alias("need"))
+    candidates = met.where(F.col("found") >= F.col("need")).select("a", "b")
     left, right = new.select(F.col("rep").alias("a"), F.col("grams").alias("x")), old.select(F.col("rep").alias("b"), F.col("grams").alias("y"))
     scored = candidates.join(left, "a").join(right, "b").select("a", "b", jstext.containment(F.col("x"), F.col("y")).alias("contained"))
     return scored.where(F.col("contained") > bound)

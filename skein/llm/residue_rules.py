@@ -142,26 +142,27 @@ def kind_of(unit: str) -> str:
     words = re.findall(r"[^\W\d_]+", unit.lower())
     if len(words) <= 14 and (EMPTY_VALUES.fullmatch(unit) or ASKED.fullmatch(unit)):
         return PLACEHOLDER
+    if words and MASH.fullmatch(unit):
+        return FILLER
     if len(words) >= 6 and len(set(words)) * 2 <= len(words):
         unit = re.sub(r"(.{4,80}?)(?:\s*\1){1,}", r"\1", unit)
-    if _latin(words) == FILLER or words and MASH.fullmatch(unit):
+    if _latin(words) == FILLER:
         return FILLER
-    if re.search(r"[\"“”«»„]", unit) and len(words) > 8 and not unit.startswith("{"):
+    if len(unit) <= 200 and CHROME_WORDS.search(unit):
+        unit = re.sub(r"\s+", " ", CHROMES.sub(" ", unit)).strip(" .,|!:")
+        if not re.search(r"\w", unit):
+            return CHROME
+    if re.search(r"[\"“”«»„]", unit) and len(re.findall(r"[^\W\d_]+", unit)) > 8 and not unit.startswith("{"):
         return OTHER
     if len(unit) <= 90 and FILL_WORDS.search(unit) and FILL.search(unit):
         return FILLER
-    if len(unit) <= 200:
-        if CHROME_WORDS.search(unit):
-            unit = re.sub(r"\s+", " ", CHROMES.sub(" ", unit)).strip(" .,|!:")
-            if not re.search(r"\w", unit):
-                return CHROME
-        if len(unit) <= 160:
-            if SCRIPT_WORDS.search(unit) and (NEEDS.search(unit) or MORE_SCRIPT.fullmatch(unit)):
-                return SCRIPT
-            if STATUS_WORDS.search(unit) and STATUS.fullmatch(unit):
-                return ERROR
-            if len(unit) <= 110 and (not FAULT_WORDS.isdisjoint(words) or not unit.isascii()) and FAULTS.search(unit):
-                return ERROR
+    if len(unit) <= 160:
+        if SCRIPT_WORDS.search(unit) and (NEEDS.search(unit) or MORE_SCRIPT.fullmatch(unit)):
+            return SCRIPT
+        if STATUS_WORDS.search(unit) and STATUS.fullmatch(unit):
+            return ERROR
+        if len(unit) <= 110 and (not FAULT_WORDS.isdisjoint(words) or not unit.isascii()) and FAULTS.search(unit):
+            return ERROR
     return CHROME if all(w in NAV for w in words) and words else OTHER
 
 
@@ -201,7 +202,7 @@ def units_of(text: str) -> Iterator[str]:
             if len(joined) > 1 and kind_of(flat) in RESIDUE:
                 yield flat
                 continue
-        for line in re.sub(r"^[ \t]*(\S{1,12})[ \t]*\n\s*(?=[a-zà-ÿ])", r"\1 ", paragraph, flags=re.MULTILINE).split("\n"):
+        for line in re.sub(r"^[ \t]*(\S{1,12})[ \t]*\n\s*(?=[a-zà-ÿ0-9])", r"\1 ", paragraph, flags=re.MULTILINE).split("\n"):
             line = line.strip()
             keyed = KEYED.match(line)
             if keyed and kind_of(line) == OTHER and kind_of(line[keyed.end() :]) in RESIDUE:

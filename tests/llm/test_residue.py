@@ -6,6 +6,7 @@ BAD = [
     "User: [à compléter : author]\n\nAssistant: <your impact here>", "Lorem ipsum dolor sit amet consectetur.\n\nCommodo labore magna minim veniam.", "test test test", "- This is placeholder copy for the record body. asdf asdf asdf qwer qwer",
     "404 | Not Found\nReturn home", "<h1>HTTP/1.1 503 Service Unavailable</h1><hr> Please try again later.", "No existe la página solicitada (error 404)", "Your session ran out. Sign in once more.",
     "<noscript>This app needs JavaScript. Please enable it and reload.</noscript>", "Home\nImport\nHelp\n\nCette vue ne fonctionne pas sans scripts.", "The\nviewer hit an unexpected error and had to stop. Request id: f9f9", "此页面需要开启脚本才能显示。",
+    "- test test test test test test test test test", 'status=504 message="gateway timeout" If the problem persists, contact the administrator.', "Menu  Search\n<h1>Error\n410 - Gone</h1><hr>\nReturn home",
     "**Content**: undefined", "Dear team,\n\n{{owner}}\n\nStatus: <your date here>",
 ]
 GOOD = [

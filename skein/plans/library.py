@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import jstext
-from skein.operators import dedup, linking, search, similarity, stats, store
+from skein.operators import context, dedup, linking, search, similarity, stats, store
 from skein.plans import oracle
 from skein.runtime import table
 
@@ -202,6 +202,31 @@ def listing(spark: SparkSession, d: str) -> DataFrame:
     return metas.join(done, "conv_id", "left").groupBy("source", state.alias("state")).agg(F.count("*").alias("n"))
 
 
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk of every document, as length and digest."""
+    return context.chunks(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "chunk", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def degrees(memories: DataFrame) -> DataFrame:
+    """(mem_no, degree) of the records that keyword edges join."""
+    edges = stats.keyword_edges(memories)
+    ends = edges.select(F.explode(F.array("a", "b")).alias("mem_no"))
+    return ends.groupBy("mem_no").agg(F.count("*").alias("degree"))
+
+
+def distinct_lists(memories: DataFrame) -> DataFrame:
+    """(field, value): the types and authors that occur."""
+    pairs = F.array(F.struct(F.lit("author").alias("field"), F.nullif("author", F.lit("")).alias("value")), F.struct(F.lit("type").alias("field"), F.col("mem_type").alias("value")))
+    return memories.select(F.explode(pairs).alias("p")).select("p.field", "p.value").where("value is not null").distinct()
+
+
+def due_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """(conv_id, turns): conversations with two or more recorded turns and no record yet."""
+    metas = table(spark, d, "conversation_meta").where("conv_id is not null").groupBy("conv_id").agg(F.max("turn_count").alias("turns")).where("turns >= 2")
+    done = _memories(spark, d).where("source_id is not null").select(F.col("source_id").alias("__s"))
+    return metas.join(done, F.col("conv_id") == F.col("__s"), "left_anti")
+
+
 def _on_memories(operator):
     return lambda spark, d: operator(_memories(spark, d))
 
@@ -235,6 +260,17 @@ QUERIES = {
     "j10_commit_links": _on_memories(stats.commit_links),
     "r09_listing": listing,
     "r10_budget_prefix": _on_memories(stats.budget_prefix),
+    "f09_recall": _on_memories(lambda m: context.recall(m, "retry budget", ("decision", "todo")).select("mem_no")),
+    "f10_conversation": _on_memories(lambda m: context.in_conversation(m, "the").select("mem_no")),
+    "f11_recent": _on_memories(lambda m: context.recent(m, AS_OF, 90).select("mem_no")),
+    "f12_topic": _on_memories(lambda m: context.on_topic(m, "session cache").select("mem_no")),
+    "f12_topic_fallback": _on_memories(lambda m: context.on_topic(m, "no such topic at all").select("mem_no")),
+    "f05_due_conversations": due_conversations,
+    "r08_snippets": _on_memories(lambda m: m.where("content is not null").select("mem_no", context.snippet(F.col("content"), "the").alias("snippet"))),
+    "k06_entries": _on_memories(context.entries),
+    "a15_distinct_lists": _on_memories(distinct_lists),
+    "a17_degrees": _on_memories(degrees),
+    "t02_chunks": chunks,
     "r12_stratified": lambda spark, d: stats.stratified(_memories(spark, d), "mem_type", "mem_no", 10),
 }
 SQL = oracle.build(RULES)

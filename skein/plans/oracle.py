@@ -153,10 +153,18 @@ def staged(rules: list[tuple[str, str]]) -> str:
     return inner
 
 
+def has(words: str, *columns: str) -> str:
+    """Whether one of the columns contains the words, in any case."""
+    return "(" + " OR ".join(f"coalesce(contains(lower({c}), {q(words)}), false)" for c in columns) + ")"
+
+
 def build(rules: list[tuple[str, str]]) -> dict[str, str]:
     """The SQL of every query; rules are the redaction rules."""
     chain, n = staged(rules), len(rules)
     noisy = denoised("t")
+    edges = f"""WITH w AS (SELECT DISTINCT mem_no, source_id, unnest(list_filter(regexp_split_to_array(lower(title), '[{WS}\\-_/]+'), lambda x: length(x) > 3)) AS word FROM memories WHERE title IS NOT NULL),
+          r AS (SELECT word FROM w GROUP BY word HAVING count(*) BETWEEN 2 AND 8) SELECT DISTINCT x.mem_no AS a, y.mem_no AS b FROM w x JOIN w y ON x.word = y.word AND x.mem_no < y.mem_no
+          WHERE x.word IN (SELECT word FROM r) AND NOT coalesce(nullif(x.source_id, '') = nullif(y.source_id, ''), false)"""
     return {
         "proj05_conversation_text": f"""WITH r AS (SELECT conv_id, role, {trim('text')} AS t FROM chat_messages WHERE role IN ('user', 'assistant') AND text IS NOT NULL AND conv_id IS NOT NULL),
           s AS (SELECT conv_id, length({noisy}) + CASE WHEN role = 'user' THEN 6 ELSE 11 END AS size FROM r WHERE t <> '' AND NOT (role = 'assistant' AND length(t) < 30)),
@@ -204,9 +212,7 @@ def build(rules: list[tuple[str, str]]) -> dict[str, str]:
           min(nullif(mem_date, '')) AS first_date, max(nullif(mem_date, '')) AS last_date FROM memories WHERE source_id <> '' GROUP BY source_id""",
         "a05_quality_report": f"WITH {QUALITY} SELECT details::BIGINT AS score, count(*)::BIGINT AS n, count(*) FILTER (WHERE v)::BIGINT AS vague FROM g GROUP BY 1",
         "j08_same_conversation": "SELECT mem_no, source_id, (count(*) OVER (PARTITION BY source_id) - 1)::BIGINT AS links FROM memories WHERE source_id <> ''",
-        "j09_keyword_edges": f"""WITH w AS (SELECT DISTINCT mem_no, source_id, unnest(list_filter(regexp_split_to_array(lower(title), '[{WS}\\-_/]+'), lambda x: length(x) > 3)) AS word FROM memories WHERE title IS NOT NULL),
-          r AS (SELECT word FROM w GROUP BY word HAVING count(*) BETWEEN 2 AND 8) SELECT DISTINCT x.mem_no AS a, y.mem_no AS b FROM w x JOIN w y ON x.word = y.word AND x.mem_no < y.mem_no
-          WHERE x.word IN (SELECT word FROM r) AND NOT coalesce(nullif(x.source_id, '') = nullif(y.source_id, ''), false)""",
+        "j09_keyword_edges": edges,
         "j10_commit_links": """WITH n AS (SELECT DISTINCT mem_no, unnest(links.implementations).short_sha AS short_sha FROM memories), c AS (SELECT short_sha, count(*) - 1 AS links FROM n WHERE short_sha IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
           SELECT short_sha, mem_no, links::BIGINT AS links FROM n JOIN c USING (short_sha)""",
         "r09_listing": """WITH m AS (SELECT conv_id, min(source) AS source, max(turn_count) AS turns FROM conversation_meta WHERE conv_id IS NOT NULL GROUP BY 1), d AS (SELECT DISTINCT source_id FROM memories WHERE source_id IS NOT NULL)
@@ -214,5 +220,17 @@ def build(rules: list[tuple[str, str]]) -> dict[str, str]:
         "r10_budget_prefix": """WITH s AS (SELECT mem_no, mem_date, length(coalesce(title, '') || chr(10) || coalesce(content, '')) AS size FROM memories WHERE title IS NOT NULL AND mem_date IS NOT NULL),
           t AS (SELECT mem_no, size, sum(size) OVER (ORDER BY mem_date DESC, mem_no ROWS UNBOUNDED PRECEDING) AS total, row_number() OVER (ORDER BY mem_date DESC, mem_no) AS place FROM s)
           SELECT mem_no, size::INT AS size, total::BIGINT AS total FROM t WHERE total <= 60000 OR place = 1""",
+        "f09_recall": f"SELECT mem_no FROM memories WHERE {ACTIVE} AND mem_type IN ('decision', 'todo') AND {has('retry budget', 'title', 'content', 'reasoning', 'alternatives')}",
+        "f10_conversation": f"""WITH f AS (SELECT source_id, max(coalesce(mem_date, '')) AS d, min(mem_no) AS m FROM memories WHERE coalesce(source_id, '') <> '' AND {has('the', 'source_title')} GROUP BY 1),
+          c AS (SELECT source_id FROM f ORDER BY d DESC, m LIMIT 1) SELECT mem_no FROM memories WHERE source_id IN (SELECT source_id FROM c)""",
+        "f11_recent": "SELECT mem_no FROM memories WHERE mem_date >= '2026-04-02'",
+        "f12_topic": f"WITH h AS (SELECT mem_no, {has('session cache', 'title', 'content', 'context', 'impact')} AS hit FROM memories) SELECT mem_no FROM h WHERE hit OR NOT (SELECT coalesce(bool_or(hit), false) FROM h)",
+        "f12_topic_fallback": f"WITH h AS (SELECT mem_no, {has('no such topic at all', 'title', 'content', 'context', 'impact')} AS hit FROM memories) SELECT mem_no FROM h WHERE hit OR NOT (SELECT coalesce(bool_or(hit), false) FROM h)",
+        "f05_due_conversations": """SELECT conv_id, max(turn_count) AS turns FROM conversation_meta WHERE conv_id IS NOT NULL AND conv_id NOT IN (SELECT source_id FROM memories WHERE source_id IS NOT NULL) GROUP BY 1 HAVING max(turn_count) >= 2""",
+        "r08_snippets": "SELECT mem_no, regexp_replace(CASE WHEN length(content) > 120 THEN substring(content, 1, 117) || '...' ELSE content END, '(?i)(the)', '**\\1**', 'g') AS snippet FROM memories WHERE content IS NOT NULL",
+        "k06_entries": """SELECT mem_no, mem_type, title, mem_date, nullif(context, '') AS context, content, source_id, nullif(source_title, '') AS source_title, source_type, author,
+          CASE WHEN status = 'resolved' THEN 'resolved' ELSE 'active' END AS status FROM memories""",
+        "a15_distinct_lists": "SELECT DISTINCT 'author' AS field, author AS value FROM memories WHERE author <> '' UNION ALL SELECT DISTINCT 'type', mem_type FROM memories WHERE mem_type IS NOT NULL",
+        "a17_degrees": f"WITH e AS ({edges}) SELECT mem_no, count(*)::BIGINT AS degree FROM (SELECT a AS mem_no FROM e UNION ALL SELECT b FROM e) GROUP BY 1",
         "r12_stratified": "SELECT mem_type, mem_no FROM memories WHERE mem_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY mem_type ORDER BY mem_no) <= 10",
     }

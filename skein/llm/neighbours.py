@@ -44,13 +44,14 @@ def usable_vectors(entries: DataFrame) -> DataFrame:
     return one.select("model", "id", F.transform("r.vector", lambda x: x.cast("double") / F.col("r.norm")).alias("v"))
 
 
-def rotations(vectors: DataFrame, bits: int, seed: int = 7) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """model -> (mean, directions as rows), learned from at most SAMPLE vectors of each model.
+def rotations(vectors: DataFrame, bits: int, seed: int = 7) -> dict[str, np.ndarray]:
+    """model -> directions as rows, learned from at most SAMPLE vectors of each model.
 
-    The sample takes the vectors with the smallest hashes of their ids, so it is the same on every run.
+    Directions go through the origin, so that the bits in which two codes differ follow the
+    angle between the vectors whatever the sample's mean is. The sample takes the vectors with the smallest hashes of their ids, so it is the same on every run.
     """
     ranked = vectors.withColumn("__r", F.row_number().over(Window.partitionBy("model").orderBy(F.xxhash64("id"), "id")))
-    schema = "model string, mean array<double>, axes array<array<double>>"
+    schema = "model string, axes array<array<double>>"
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(group["v"].to_numpy()).astype(np.float64)
@@ -62,10 +63,10 @@ def rotations(vectors: DataFrame, bits: int, seed: int = 7) -> dict[str, tuple[n
         while len(rows) < bits:
             mixed, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
             rows += list(mixed @ axes.T)
-        return pd.DataFrame([(group["model"].iloc[0], mean.tolist(), [r.tolist() for r in rows[:bits]])], columns=["model", "mean", "axes"])
+        return pd.DataFrame([(group["model"].iloc[0], [r.tolist() for r in rows[:bits]])], columns=["model", "axes"])
 
     rows = ranked.where(F.col("__r") <= SAMPLE).select("model", "v").groupBy("model").applyInPandas(learn, schema).collect()
-    return {r.model: (np.array(r["mean"]), np.array(r.axes)) for r in rows}
+    return {r.model: np.array(r.axes) for r in rows}
 
 
 def with_codes(vectors: DataFrame, learned: dict, part_bits: int) -> DataFrame:
@@ -77,9 +78,9 @@ def with_codes(vectors: DataFrame, learned: dict, part_bits: int) -> DataFrame:
         for batch in batches:
             parts = np.zeros((len(batch), PARTS), dtype=np.int32)
             for model, rows in batch.groupby("model").indices.items():
-                mean, axes = shared.value[model]
+                axes = shared.value[model]
                 x = np.stack(batch["v"].to_numpy()[rows]).astype(np.float64)
-                parts[rows] = ((x - mean) @ axes.T > 0).reshape(len(rows), PARTS, part_bits) @ weights
+                parts[rows] = (x @ axes.T > 0).reshape(len(rows), PARTS, part_bits) @ weights
             batch["parts"] = list(parts)
             yield batch
 
@@ -159,7 +160,7 @@ def top_of_blocks(left: DataFrame, right: DataFrame, coded: DataFrame, k: int, r
 def nearest(entries: DataFrame, k: int = 5, least: float | None = None) -> DataFrame:
     """(model, id, other, similarity, rank): the k most similar other ids of every usable id of a model.
 
-    Ties are broken by the smaller id. With `least`, neighbours below that cosine similarity are
+    Similarities are rounded to ten digits; ties are broken by the smaller id. With `least`, neighbours below that cosine similarity are
     left out. Ids with equal vectors are each other's neighbours at similarity 1; such a class is
     searched once, through its smallest id, and expanded by at most k + 1 ids per class.
     """
@@ -179,7 +180,7 @@ def nearest(entries: DataFrame, k: int = 5, least: float | None = None) -> DataF
     va = coded.select("model", F.col("id").alias("a"), F.col("v").alias("va"))
     vb = coded.select("model", F.col("id").alias("b"), F.col("v").alias("vb"))
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.join(va, ["model", "a"]).join(vb, ["model", "b"]).select("model", "a", "b", dot.alias("similarity"))
+    scored = pairs.join(va, ["model", "a"]).join(vb, ["model", "b"]).select("model", "a", "b", F.round(dot, 10).alias("similarity"))
     if least is not None:
         scored = scored.where(F.col("similarity") >= least)
     both = scored.select("model", F.col("a").alias("id"), F.col("b").alias("other"), "similarity").unionByName(

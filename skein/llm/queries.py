@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import conversations, mixing, neighbours, personal, residue, splitting, tokens
+from skein.llm import conversations, mixing, neighbours, oracle, personal, residue, splitting, tokens
 from skein.runtime import table
 
 
@@ -113,4 +113,4 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_corpus": p10_corpus,
 }
-SQL = {}
+SQL = oracle.SQL

@@ -122,7 +122,7 @@ FAULT_WORDS = set(
 SCRIPT_WORDS = re.compile(r"script|脚本|browser|human|robot|happens|cookies|reload|loading|wait|nothing to show|few seconds", re.IGNORECASE)
 STATUS_WORDS = re.compile(rf"\b{CODE}\b|error|erreur|fehler|错误|{REASONS}", re.IGNORECASE)
 CHROME_WORDS = re.compile(r"home|page|startseite|accueil|inicio|首页|主页|later|again|plus tard|tarde|später|稍后|persists|contact|request id|reference|ray id|trace id|proxy|nginx|apache|cloudfront|varnish|dear|hello|regards|hallo|bonjour|hola|\bat ", re.IGNORECASE)
-FILL_WORDS = re.compile(r"text|copy|content|paragraph|heading|body|footer|coming|replace|filler|platzhalter|steht|contenu|contenido|占位|示例|样例|待补充|稍后|内容待|此处为|fill|lorem|dummy|sample", re.IGNORECASE)
+FILL_WORDS = re.compile(r"测试|text|copy|content|paragraph|heading|body|footer|coming|replace|filler|platzhalter|steht|contenu|contenido|占位|示例|样例|待补充|稍后|内容待|此处为|fill|lorem|dummy|sample", re.IGNORECASE)
 SLOT_MARKS = re.compile(r"[{}\[\]<>@_%$(（【«]")
 
 

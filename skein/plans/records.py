@@ -53,3 +53,30 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_table": p6_table,
 }
+
+
+def _list(x: str) -> str:
+    """The list that a JSON value stands for, as JSON[]."""
+    text = f"({x} ->> '$')"
+    inner = f"CASE WHEN NOT coalesce(json_valid({text}), false) THEN [] WHEN json_type({text}) = 'ARRAY' THEN {text}::JSON::JSON[] WHEN json_type({text}) = 'OBJECT' THEN [{text}::JSON] ELSE [] END"
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN {x}::JSON[] WHEN 'OBJECT' THEN [{x}] WHEN 'VARCHAR' THEN {inner} ELSE []::JSON[] END"
+
+
+def _each(source: str, keys: str, value: str, name: str) -> str:
+    """The elements of a list with their positions, nulls left out."""
+    return f"SELECT * FROM (SELECT {keys}, unnest(range(len(l)))::INT AS {name}, unnest(l) AS e FROM (SELECT {keys}, {_list(value)} AS l FROM {source})) WHERE json_type(e) <> 'NULL'"
+
+
+SQL = {
+    "p1_found": f"""WITH c AS (SELECT file_id, 0 AS n, raw AS j FROM copilot_files WHERE json_valid(raw)
+          UNION ALL SELECT file_id, n, j FROM (SELECT file_id, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS j FROM (SELECT file_id, string_split(raw, chr(10)) AS l FROM copilot_files WHERE NOT coalesce(json_valid(raw), true))) WHERE json_valid(j)),
+        s AS (SELECT file_id, n, CASE WHEN json_type(j) = 'OBJECT' AND j ->> '$.kind' = '0' AND json_type(j, '$.v') = 'OBJECT' THEN json_extract(j, '$.v') ELSE j::JSON END AS v FROM c),
+        t AS (SELECT file_id, arg_max(v, n) AS v FROM s WHERE json_type(v) = 'OBJECT' AND v ->> '$.sessionId' IS NOT NULL GROUP BY 1),
+        q AS ({_each('t', 'file_id', "json_extract(v, '$.requests')", 'i')}),
+        a AS ({_each('q', 'file_id, i', "json_extract(e, '$.message.attachments')", 'j')}),
+        g AS ({_each('a', 'file_id, i, j', "json_extract(e, '$.ranges')", 'k')}),
+        p AS ({_each('q', 'file_id, i', "json_extract(e, '$.response')", 'j')}),
+        d AS ({_each('p', 'file_id, i, j', "json_extract(e, '$.edits')", 'k')})
+        SELECT file_id, 'request' AS node, i AS request_ord, -1 AS child_ord, -1 AS leaf_ord FROM q UNION ALL SELECT file_id, 'attachment', i, j, -1 FROM a UNION ALL SELECT file_id, 'range', i, j, k FROM g
+        UNION ALL SELECT file_id, 'reply', i, j, -1 FROM p UNION ALL SELECT file_id, 'edit', i, j, k FROM d""",
+}

@@ -7,6 +7,10 @@ parts of its pair. One side of the search probes the first part's codes within o
 side the second part's, so that two vectors meet in a table exactly once if both parts differ by
 at most one bit. By the pigeonhole principle every pair of codes within a small Hamming radius
 meets somewhere. Pairs that meet are filtered by their whole codes and reranked by the floats.
+
+Codes find nearly all pairs of at least SURE, few of those further apart. A vector whose k
+neighbours by codes do not all reach SURE is therefore searched exactly, against every vector of
+its model, in blocks; only a search for pairs of at least SURE goes without that.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ PARTS = 8
 SAMPLE = 10_000
 #: Codes further apart than this share of their bits are no candidates (0.9 is about 0.14 on average).
 RADIUS = 0.33
+#: Codes find nearly every pair of at least this similarity.
+SURE = 0.9
 #: Buckets with more members than this are searched in blocks instead of by pairs.
 CROWDED = 2_000
 
@@ -157,11 +163,58 @@ def top_of_blocks(left: DataFrame, right: DataFrame, coded: DataFrame, k: int, r
     return found.distinct()
 
 
+def exact(open_ids: DataFrame, coded: DataFrame, k: int, rows_a_block: int = 4_000, rows_a_step: int = 250) -> DataFrame:
+    """(model, id, other): the k most similar vectors of each of open_ids (model, id), ties by the smaller id.
+
+    Every block of open vectors meets every block of the model's vectors in a task of its own; a
+    task holds two blocks and the similarities of rows_a_step rows, and gives k rows per vector.
+    """
+    vectors = coded.select("model", "id", "v")
+
+    def spread(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        sizes = df.groupBy("model").agg(F.ceil(F.count("*") / rows_a_block).alias(f"n_{name}"))
+        return df.join(sizes, "model").withColumn(name, F.pmod(F.xxhash64("id"), F.col(f"n_{name}"))).drop(f"n_{name}"), sizes
+
+    (q, n_q), (c, n_c) = spread(vectors.join(open_ids, ["model", "id"], "left_semi"), "qb"), spread(vectors, "cb")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    keys = ["model", "qb", "cb"]
+    q = q.join(n_c, "model").withColumn("cb", every("n_cb")).select(*keys, "id", "v")
+    c = c.join(n_q, "model").withColumn("qb", every("n_qb")).select(*keys, "id", "v")
+
+    def best(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"model": [], "id": [], "other": [], "s": []})]
+        if len(qs) and len(cs):
+            cs = cs.sort_values("id")
+            x, y = np.stack(qs["v"].to_numpy()), np.stack(cs["v"].to_numpy())
+            ids_q, ids_c = qs["id"].to_numpy(), cs["id"].to_numpy()
+            place = {v: i for i, v in enumerate(ids_c)}
+            m = min(k + 1, len(y))
+            for i in range(0, len(x), rows_a_step):
+                s = np.round(x[i : i + rows_a_step] @ y.T, 10)
+                own = [(r, place[v]) for r, v in enumerate(ids_q[i : i + rows_a_step]) if v in place]
+                if own:
+                    s[tuple(np.array(own).T)] = -2
+                edge = np.partition(s, -m, axis=1)[:, -m]
+                r, j = np.nonzero((s >= edge[:, None]) & (s > -2))
+                order = np.lexsort((j, -s[r, j], r))
+                r, j = r[order], j[order]
+                keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+                r, j = r[keep], j[keep]
+                out.append(pd.DataFrame({"model": qs["model"].iloc[0], "id": ids_q[i + r], "other": ids_c[j], "s": s[r, j]}))
+        return pd.concat(out[1:] or out)
+
+    own = lambda df: df.select(*(F.col(x).alias(x) for x in [*keys, "id", "v"])).groupBy(*keys)
+    found = own(q).cogroup(own(c)).applyInPandas(best, "model string, id string, other string, s double")
+    ranked = found.withColumn("__r", F.row_number().over(Window.partitionBy("model", "id").orderBy(F.desc("s"), "other")))
+    return ranked.where(F.col("__r") <= k).select("model", "id", "other")
+
+
 def nearest(entries: DataFrame, k: int = 5, least: float | None = None) -> DataFrame:
     """(model, id, other, similarity, rank): the k most similar other ids of every usable id of a model.
 
     Similarities are rounded to ten digits; ties are broken by the smaller id. With `least`, neighbours below that cosine similarity are
-    left out. Ids with equal vectors are each other's neighbours at similarity 1; such a class is
+    left out; with `least` below SURE or none, vectors that the codes leave without k neighbours of
+    at least SURE are searched exactly. Ids with equal vectors are each other's neighbours at similarity 1; such a class is
     searched once, through its smallest id, and expanded by at most k + 1 ids per class.
     """
     vectors = usable_vectors(entries)
@@ -180,14 +233,26 @@ def nearest(entries: DataFrame, k: int = 5, least: float | None = None) -> DataF
     va = coded.select("model", F.col("id").alias("a"), F.col("v").alias("va"))
     vb = coded.select("model", F.col("id").alias("b"), F.col("v").alias("vb"))
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.join(va, ["model", "a"]).join(vb, ["model", "b"]).select("model", "a", "b", F.round(dot, 10).alias("similarity"))
-    if least is not None:
-        scored = scored.where(F.col("similarity") >= least)
-    both = scored.select("model", F.col("a").alias("id"), F.col("b").alias("other"), "similarity").unionByName(
-        scored.select("model", F.col("b").alias("id"), F.col("a").alias("other"), "similarity")
-    )
     best = Window.partitionBy("model", "id").orderBy(F.desc("similarity"), "other")
+
+    def scored(p: DataFrame) -> DataFrame:
+        rows = p.join(va, ["model", "a"]).join(vb, ["model", "b"]).select("model", "a", "b", F.round(dot, 10).alias("similarity"))
+        return rows if least is None else rows.where(F.col("similarity") >= least)
+
+    found = scored(pairs)
+    both = found.select("model", F.col("a").alias("id"), F.col("b").alias("other"), "similarity").unionByName(
+        found.select("model", F.col("b").alias("id"), F.col("a").alias("other"), "similarity")
+    )
     top = both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    if least is None or least < SURE:
+        top = cut(top)
+        copies_of = keyed.groupBy("model", "cls").agg(F.min("id").alias("id"), (F.count("*") - 1).alias("n")).select("model", "id", "n")
+        hits = top.where(F.col("similarity") >= SURE).groupBy("model", "id").agg(F.count("*").alias("n"))
+        sure = hits.unionByName(copies_of).groupBy("model", "id").agg(F.sum("n").alias("n")).where(F.col("n") >= k)
+        unsure = cut(coded.select("model", "id").join(sure, ["model", "id"], "left_anti"))
+        whole = scored(exact(unsure, coded, k).select("model", F.col("id").alias("a"), F.col("other").alias("b")))
+        whole = whole.select("model", F.col("a").alias("id"), F.col("b").alias("other"), "similarity").withColumn("rank", F.row_number().over(best))
+        top = top.join(unsure, ["model", "id"], "left_anti").unionByName(whole)
     head_of = heads.select("model", F.col("id").alias("head"), "cls")
     members = keyed.select("model", "id", "cls").join(head_of, ["model", "cls"])
     other_ids = firsts.join(head_of, ["model", "cls"]).select("model", F.col("head").alias("other_head"), F.col("id").alias("other"), "place")

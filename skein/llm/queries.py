@@ -59,7 +59,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """Up to 5 most similar ids of every usable vector among those that the codes bring together."""
+    """The 5 most similar ids of every usable vector: by codes where these are sure, else by exact search."""
     return neighbours.nearest(table(spark, d, "vector_entries"))
 
 

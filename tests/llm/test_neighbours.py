@@ -57,3 +57,29 @@ def test_unsound_rows_ties_and_copies(spark):
 def test_empty_and_single(spark):
     assert pairs(neighbours.similar_pairs(entries(spark, [("a", [1, 2], "m", 2)]).limit(0))) == set()
     assert pairs(neighbours.similar_pairs(entries(spark, [("a", [1, 2], "m", 2)]))) == set()
+
+
+def test_nearest_gives_every_vector_its_k_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(f"{i:05d}", rng.standard_normal(48), "m", 48) for i in range(500)] + [(f"t{i}", rng.standard_normal(8), "n", 8) for i in range(3)]
+    rows += [(f"{i:05d}", 2 * rows[i - 500][1], "m", 48) for i in range(500, 510)]
+    got = {}
+    for r in neighbours.nearest(entries(spark, rows)).orderBy("rank").collect():
+        got.setdefault(r.id, []).append(r.other)
+    for of in (rows[:500] + rows[503:], rows[500:503]):
+        ids, x = [r[0] for r in of], np.array([r[1] for r in of], dtype=np.float32).astype(float)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        s = np.round(x @ x.T, 10)
+        for i in range(len(ids)):
+            assert got[ids[i]] == [ids[j] for j in sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-s[i, j], ids[j]))[:5]]
+
+
+def test_exact_search_over_many_blocks(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((90, 12))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[1:7] = x[0]
+    coded = spark.createDataFrame([("m", f"{i:03d}", [float(v) for v in x[i]]) for i in range(90)], "model string, id string, v array<double>")
+    got = {(r.id, r.other) for r in neighbours.exact(coded.where("id < '040'").select("model", "id"), coded, 5, 20, 7).collect()}
+    s = np.round(x @ x.T, 10)
+    assert got == {(f"{i:03d}", f"{j:03d}") for i in range(40) for j in sorted((j for j in range(90) if j != i), key=lambda j: (-s[i, j], j))[:5]}

@@ -44,6 +44,8 @@ LATIN = set(
     "praesent vestibulum mauris donec pellentesque suspendisse curabitur aenean integer vitae nec eget ac justo odio".split()
 )
 MASH = re.compile(r"(?:(?:asdf|qwer(?:ty)?|zxcv|jkl|hjkl|foo|bar|baz|qux|blah?|bla|xyz|abc|aaa+|bbb+|ccc+|ddd+|eee+|xxx+|yyy+|zzz+|test(?:ing)?|text|dummy|sample|\d+)[\s,.!\-]*){3,}", re.IGNORECASE)
+#: The same for long units, without a second way to read a word.
+LONG_MASH = re.compile(MASH.pattern.replace("+|", "++|").replace(r"\d+)", r"\d++)").replace(r"[\s,.!\-]*", r"[\s,.!\-]*+").replace("){3,}", "){3,}+"), re.IGNORECASE)
 FILL = re.compile(
     r"(?:dummy|sample|placeholder|filler|example) (?:text|copy|content|paragraph|heading|body|footer|title|data|sentence)|(?:text|copy|content|description|details|body) (?:coming|will follow|to follow|goes|to be added|to come)(?: soon| here| later)?|"
     r"coming soon|replace (?:me|this|it)? ?before publishing|(?:words|text) to fill|type your text|your text here|draft filler|ignore this text|lorem ipsum|"
@@ -65,6 +67,9 @@ STATUS = re.compile(
     rf"|[\W_]*(?:{REASONS})[\s:|,\-–—(]*(?:error|http|status)?[\s:]*(?:{CODE})?[\W_]*|[\W_]*(?:error|erreur|fehler|错误)\s*[:\-]?\s*(?:{REASONS})[\W_]*",
     re.IGNORECASE,
 )
+#: What a status line is made of, at any length; STATUS itself takes too long on long lines.
+STATUS_PARTS = re.compile(rf"(?:{REASONS})|\b(?:https?|status(?: code)?|code|error|erreur|fehler(?:code)?|message|reason|title|{CODE}|\d+(?:\.\d+)+)\b|错误", re.IGNORECASE)
+STATUS_VALUE = re.compile(rf"\b{CODE}\b|{REASONS}", re.IGNORECASE)
 THING = r"(?:page|site|link|address|url|record|document|file|resource|workspace|space|area|server|viewer|app|application|service|request|conversation|transcript|session|dashboard|graph|certificate|origin|gateway|connection|content)"
 FAULTS = re.compile(
     rf"(?:(?:we |you )?(?:could(?: not|n't)|can(?:not|'t)) (?:find|load|open|reach|display|show|access|connect to|be reached) (?:the|this|that|your)? ?{THING}?|{THING} (?:you (?:asked|looked|are looking|were looking|requested)[\w ]{{0,12}} )?(?:does not exist|doesn't exist|was moved|was removed|has been (?:removed|moved|deleted)|has expired|is not available|is unavailable|cannot be (?:reached|found|displayed|loaded)|could not be (?:found|reached|loaded|displayed|verified|checked|trusted)|is (?:currently )?(?:down|offline|unreachable))|"
@@ -129,8 +134,6 @@ SLOT_MARKS = re.compile(r"[{}\[\]<>@_%$(（【«]")
 @lru_cache(maxsize=100_000)
 def kind_of(unit: str) -> str:
     """What a line or sentence is as a whole."""
-    if len(unit) > 600:
-        return _latin(re.findall(r"[^\W\d_]+", unit.lower()))
     unit = re.sub(r"^(?:[>\-*•#|\s]|\d+[.)]\s)+", "", unit)
     unit = re.sub(r"\s+", " ", unit).strip()
     if not re.search(r"\w", unit):
@@ -140,9 +143,9 @@ def kind_of(unit: str) -> str:
         if bare != unit and not re.search(r"\w", bare):
             return PLACEHOLDER
     words = re.findall(r"[^\W\d_]+", unit.lower())
-    if len(words) <= 14 and (EMPTY_VALUES.fullmatch(unit) or ASKED.fullmatch(unit)):
+    if len(words) <= 14 and len(unit) <= 600 and (EMPTY_VALUES.fullmatch(unit) or ASKED.fullmatch(unit)):
         return PLACEHOLDER
-    if words and MASH.fullmatch(unit):
+    if words and (MASH if len(unit) <= 600 else LONG_MASH).fullmatch(unit):
         return FILLER
     if len(words) >= 6 and len(set(words)) * 2 <= len(words):
         unit = re.sub(r"(.{4,80}?)(?:\s*\1){1,}", r"\1", unit)
@@ -154,18 +157,24 @@ def kind_of(unit: str) -> str:
             return CHROME
     if re.search(r"[\"“”«»„]", unit) and len(re.findall(r"[^\W\d_]+", unit)) > 8 and not unit.startswith("{"):
         return OTHER
-    if len(unit) <= 90 and FILL_WORDS.search(unit) and FILL.search(unit):
+    if FILL_WORDS.search(unit) and _left(FILL, unit) <= 90:
         return FILLER
-    if len(unit) <= 160:
-        if SCRIPT_WORDS.search(unit) and (NEEDS.search(unit) or MORE_SCRIPT.fullmatch(unit)):
-            return SCRIPT
-        if STATUS_WORDS.search(unit) and STATUS.fullmatch(unit):
-            return ERROR
-        if len(unit) <= 110 and (not FAULT_WORDS.isdisjoint(words) or not unit.isascii()) and FAULTS.search(unit):
-            return ERROR
+    if SCRIPT_WORDS.search(unit) and (_left(NEEDS, unit) <= 160 or MORE_SCRIPT.fullmatch(unit)):
+        return SCRIPT
+    if STATUS_WORDS.search(unit) and (len(unit) <= 160 and STATUS.fullmatch(unit) or STATUS_VALUE.search(unit) and not re.search(r"\w", STATUS_PARTS.sub(" ", unit))):
+        return ERROR
+    # a match of FAULTS has one of its words at least and is hardly longer than 150 characters
+    if (150 * sum(w in FAULT_WORDS for w in words) >= max(1, len(unit) - 110) or not unit.isascii()) and _left(FAULTS, unit) <= 110:
+        return ERROR
     return CHROME if all(w in NAV for w in words) and words else OTHER
 
 
+def _left(pattern: re.Pattern, unit: str) -> float:
+    """How many characters of a unit no match of the pattern covers; infinite without a match."""
+    sizes = [m.end() - m.start() for m in pattern.finditer(unit)]
+    return len(unit) - sum(sizes) if sizes else float("inf")
+
+
 def _latin(words: list[str]) -> str:
     """FILLER where most words are those of Latin filler."""
     known = [w for w in words if w in LATIN]

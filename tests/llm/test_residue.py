@@ -61,3 +61,14 @@ def test_links_follow_brute_force(spark):
 def test_units():
     assert kind_of("Return home") == "chrome" and kind_of("x" * 5000) == "other" and kind_of("") == "chrome"
     assert kind_of("%OWNER%") == "placeholder" and kind_of("100% of the rows and 5% more") == "other"
+
+
+def test_length_does_not_change_the_kind():
+    units = {"asdf qwer ": "filler", "{{a}} {{b}} ": "placeholder", "sample text, dummy content, ": "filler", "error 404 not found, ": "error", "please enable javascript, turn on scripts, ": "script", "page could not be found, access denied, ": "error"}
+    for unit, kind in units.items():
+        for n in (100, 200, 1_000):
+            assert kind_of((unit * n)[: n // len(unit) * len(unit)].strip(" ,")) == kind, (unit, n)
+    varied = "; ".join(f"{i} access denied; server could not be reached; sign in again; an unexpected error" for i in "abcdefgh")
+    assert len(varied) > 600 and kind_of(varied) == "error"
+    assert kind_of("The page you asked for could not be found on this server, so please look again at the address that was typed into it") == "error"
+    assert kind_of("The cache keeps one entry for every tenant and drops it once the budget is spent, " * 1 + "and the page could not be found in a test of the old viewer, which is why the team wrote the new store with a longer plan for its rows") == "other"

@@ -1,12 +1,15 @@
 """Personal information in free text, by bootstrapped contextual extraction.
 
 A scan of every text yields mentions: spans that may be an e-mail address, a phone or identity
-number, a postal address or a name, each with the words before and after it. Mentions whose shape
-alone is proof, and names of known people, are the seeds. Seeds induce patterns (a context and
-what it announces); Spark scores the graph of patterns and instances round by round: a pattern is
-trusted by the share of its instances that are known, and a trusted pattern makes all its
-instances known, so that numbers of unseen shape and unseen names are found by where they stand
-and then anywhere. The spans found are replaced by typed placeholders.
+number, a postal address or a name. A mention has features, its lexical patterns: the words before
+and after it, the shape of a number, the host of an address, the first and last word of a name.
+Mentions that are proof by themselves (cue words, full written forms, titles, a name that the
+e-mail address beside it spells, names of known people) are the seeds, cue words of other numbers
+the negative ones. Spark then scores the graph of patterns and instances round by round to its
+fixed point: a pattern is trusted for a kind by the lower confidence bound of its share of
+instances of that kind, an instance becomes known by the share of its mentions that stand in
+trusted patterns. Known instances are found wherever they stand, and the spans are replaced by
+typed placeholders.
 """
 
 from __future__ import annotations
@@ -24,8 +27,16 @@ from skein.runtime import cut
 EMAIL, PHONE, ID, ADDRESS, NAME, NUMBER = "email", "phone", "id_number", "address", "name", "number"
 PLACEHOLDERS = {EMAIL: "[EMAIL]", PHONE: "[PHONE]", ID: "[ID_NUMBER]", ADDRESS: "[ADDRESS]", NAME: "[NAME]"}
 
-#: A pattern is trusted with this share of known instances, and at least so many different ones.
-TRUST, SUPPORT, ROUNDS = 0.6, 2, 4
+NONE = "none"
+
+#: A pattern is trusted from this lower bound of its share on, if two instances or more (one for
+#: a host) speak for it. Z is the width of the bound in standard deviations.
+TRUST, Z = 0.5, 1.0
+#: An instance is known if this share of its mentions stands in trusted contexts.
+SHARE = 0.5
+#: What an instance of no known kind counts against a pattern, by the side of its feature. Shapes
+#: and hosts are judged by the instances whose kind is known.
+AGAINST = {"<": 0.5, "(": 0.5, ">": 0.5, ")": 0.5, "^": 0.05, "$": 0.05, "=": 0.0, "@": 0.0}
 
 #: Compatible forms that stand for one character each, so that offsets stay.
 PLAIN = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20, 0xA0: 0x20, 0x202F: 0x20, 0x2009: 0x20, 0x2011: 0x2D, 0x2010: 0x2D, 0x2013: 0x2D, 0x2019: 0x27}
@@ -41,12 +52,8 @@ AT_DOT = (
 MAIL = re.compile("|".join(rf"{LOCAL}{at}(?:{HOST}{dot}){{1,5}}[A-Za-z]{{2,24}}(?![\w@])" for at, dot in AT_DOT), re.ASCII)
 
 DIGITS = re.compile(r"(?<![\w.,:/#=\-+$%^~<>])(?:\+|00)?\(?\d(?:[ .\-/()]{0,2}\d){6,18}(?![\w%]|[.,:/\-]\w)|(?<=[=:：])(?:\+|00)?\(?\d(?:[ .\-/()]{0,2}\d){6,18}(?![\w%]|[.,:/\-]\w)|(?<![\w.,:/#=\-])\+\(?\d(?:[ .\-/()]{0,2}\d){6,18}(?![\w%]|[.,:/\-]\w)", re.ASCII)
-PHONES = re.compile(
-    r"(?:\+|00)\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-/]?\d{2,5}){1,5}|\(\d{3}\) ?\d{3}[\-. ]\d{4}|\d{3}([\-.])\d{3}\1\d{4}|0\d{4} \d{3} \d{3}|0\d{3} \d{3} \d{4}|0\d{4} \d{6}|0\d([. ])\d{2}(?:\2\d{2}){3}|0\d{2,4}/\d{3,8}(?:-\d{1,4})?|1[3-9]\d-\d{4}-\d{4}"
-)
-IDS = re.compile(
-    r"\d{3}-\d{2}-\d{4}|[12] \d{2} (?:0[1-9]|1[0-2]|20|[3-9]\d) (?:\d{2}|2[AB]) \d{3} \d{3}(?: \d{2})?|[1-9]\d{5}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dXx]"
-)
+INTERNATIONAL = re.compile(r"(?:\+|00)[1-9][\d .\-/()]{8,20}")
+SURE_ID = re.compile(r"[1-9]\d{5}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dXx]")
 LETTERED = re.compile(
     r"(?<![\w\-])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[1-9]\d{5}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[Xx]|\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|[A-Z]{1,2}\d{6,8}|[12] \d{2} \d{2} (?:\d{2}|2[AB]) \d{3} \d{3}(?: \d{2})?)(?![\w\-])",
     re.ASCII,
@@ -58,7 +65,7 @@ DATE = re.compile(r"(?:19|20)\d{2}[\-/. ](?:0?[1-9]|1[0-2])[\-/. ](?:0?[1-9]|[12
 CUES = {
     PHONE: "phone tel tél telefon teléfono téléphone fon mobile móvil movil handy portable cell cellphone telephone hotline fax whatsapp 电话 手机 联系电话 手机号".split(),
     ID: "ssn nino dni nie nif nir passport reisepass passeport pasaporte steuer-id steueridentifikationsnummer personalausweis ausweisnummer 身份证 身份证号 护照 护照号".split(),
-    NUMBER: "batch range sku row rows checksum semver trace commit issue ticket request build version port order invoice id offset line span job hash pid".split(),
+    NONE: "batch range sku row rows checksum semver trace commit issue ticket request build version port order invoice id offset line span job hash pid".split(),
 }
 PHRASES = {
     ID: re.compile(r"(?:social security(?: number)?|national insurance(?: number)?|ni number|tax(?:payer)? id|resident id|identity (?:card|number)|id card|passport(?: no\.?| number)?|documento de identidad|mi dni es|num[ée]ro de s[ée]cu(?:rit[ée] sociale)?|ssn (?:is|on file)|steuer-?id|steuernummer|sozialversicherungsnummer|身份证(?:号码?)?|护照号?码?)\s*[:：=#]?\s*$", re.IGNORECASE),
@@ -105,18 +112,37 @@ def tokens_of(name: str) -> list[str]:
     return [t for t in re.findall(r"[^\W\d_]+(?:['\-][^\W\d_]+)*", fold(name)) if len(t) > 1 and not re.fullmatch(PARTICLE, t)]
 
 
-CONTEXT = re.compile(r"[^\W\d_]+(?:['\-][^\W\d_]+)*|[^\w\s]")
+#: A name told by its own words: what follows is a name if it is written like one.
+TOLD = re.compile(r"(?:my name is|i am called|je m'appelle|mon nom est|ich hei(?:ß|ss)e|mein name ist|me llamo|mi nombre es)\s$", re.IGNORECASE)
+
+#: Forms that may be an address, but are proof only in a trusted context.
+MAY_PLACES = re.compile(
+    rf"\b\d{{1,5}}[A-Za-z]? (?:{CAP} ){{1,4}}{ROADS}\b|\b{CAP}(?:stra(?:ß|ss)e|str\.|weg|gasse|allee|platz) ?\d{{1,4}}[a-z]?\b"
+    rf"|\b\d{{1,4}}(?: ?(?:bis|ter))?,? (?:rue|avenue|impasse|boulevard|chemin|all[ée]e|quai) (?:(?:d[eu]s?|la|le|l') ?)*{CAP}(?: {CAP})*|(?:\bC/|\bCalle|\bAvenida|\bPlaza|\bPaseo) ?(?:(?:del?|la|los|las) )*{CAP}(?: {CAP})* \d{{1,4}}\b"
+)
+MAY_PLACE_MARKS = re.compile(rf"\d[A-Za-z]? (?:[^\W\d_][\w'\-]* ){{1,4}}{ROADS}\b|(?:stra(?:ß|ss)e|str\.|weg|gasse|allee|platz) ?\d|\d,? (?:rue|avenue|impasse|boulevard|chemin|all[ée]e|quai) |C/|Calle |Avenida |Plaza |Paseo ")
+
+WORDS = re.compile(r"[^\W\d_]+(?:['\-][^\W\d_]+)*")
+SENTENCE_END = re.compile(r"(?<=[^\W\d_]{4})[.!?]\s|[。！？]")
+TELLING = re.compile(r"[^\W\d_]{4}|[一-鿿]{2}")
+
 
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """The patterns of the words beside a span, within its line and sentence: two and one word before, two and one after.
 
-def context(text: str, start: int, end: int) -> tuple[str, str]:
-    """The two words or marks before and after a span, lower case."""
-    left = CONTEXT.findall(text[max(0, start - 40) : start].split("\n")[-1].lower())[-2:]
-    right = CONTEXT.findall(text[end : end + 40].split("\n")[0].lower())[:2]
-    return " ".join(left), " ".join(right)
+    Han text counts by its nearest four characters. A pattern needs a word of four letters or
+    two Han characters, so that function words and marks alone are none.
+    """
+    left = SENTENCE_END.split(text[max(0, start - 48) : start].rsplit("\n", 1)[-1].lower())[-1]
+    right = SENTENCE_END.split(text[end : end + 48].split("\n", 1)[0].lower())[0]
+    before = [w if w < "⺀" else w[-4:] for w in WORDS.findall(left)[-2:]]
+    after = [w if w < "⺀" else w[:4] for w in WORDS.findall(right)[:2]]
+    sides = (("< ", before if len(before) == 2 else []), ("( ", before[-1:]), ("> ", after if len(after) == 2 else []), (") ", after[:1]))
+    return [mark + " ".join(words) for mark, words in sides if any(TELLING.search(w) for w in words)]
 
 
 def number_kind(text: str, start: int, end: int, lettered: bool) -> str | None:
-    """The kind that a number's shape or the words before it prove; NUMBER where they prove that it is no case; None where it is open."""
+    """The kind that the words before a number or its full form prove; NONE where they prove that it is no case; None where it is open."""
     span, before = text[start:end], text[max(0, start - 48) : start].split("\n")[-1]
     for kind, phrase in PHRASES.items():
         if phrase.search(before):
@@ -129,37 +155,49 @@ def number_kind(text: str, start: int, end: int, lettered: bool) -> str | None:
     if lettered:
         return ID if SURE_LETTERED.fullmatch(span) else None
     if DATE.fullmatch(span):
-        return NUMBER
-    if IDS.fullmatch(span):
+        return NONE
+    if SURE_ID.fullmatch(span):
         return ID
-    if PHONES.fullmatch(span):
-        return PHONE
-    return None
+    return PHONE if INTERNATIONAL.fullmatch(span) else None
+
+
+def shape(span: str) -> str:
+    """A number with its digits as 9 and its letters as A."""
+    return "= " + re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", span))
 
 
 def mentions(text: str) -> list[tuple[str, int, int, str | None, str, list[str]]]:
-    """(class, start, end, proven kind or None, instance, name tokens) of every span that may be personal."""
+    """(class, start, end, seed kind or None, instance, own patterns) of every span that may be personal."""
     plain = text.translate(PLAIN)
     out, taken = [], []
 
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for x, y in taken)
 
+    spelled = []
     if MAIL_MARKS.search(plain):
         for m in MAIL.finditer(plain):
-            if not (plain[m.start() : m.end()].startswith("git@") and plain[m.end() : m.end() + 1] == ":"):
-                out.append((EMAIL, m.start(), m.end(), EMAIL, "", []))
-                taken.append((m.start(), m.end()))
+            whole = m.group()
+            host = re.sub(r"\s?[\[({]?\s?\b(?:dot|DOT)\b\s?[\])}]?\s?|\s?[\[({]\s?\.\s?[\])}]\s?", ".", re.split(r"@|[\[({]\s?(?:at|AT|@)\s?[\])}]|\sAT\s", whole)[-1]).strip().lower()
+            if whole.startswith("git@") and plain[m.end() : m.end() + 1] == ":":
+                out.append((EMAIL, m.start(), m.end(), NONE, whole.lower(), ["@ " + host]))
+                continue
+            out.append((EMAIL, m.start(), m.end(), None if " AT " in whole else EMAIL, whole.lower(), ["@ " + host]))
+            taken.append((m.start(), m.end()))
+            spelled.append(re.sub(r"[^a-z]", "", fold(re.split(r"@|\s|[\[({]", whole)[0])))
     if re.search(r"\d", plain):
         for m in PLACES.finditer(plain) if PLACE_MARKS.search(plain) else ():
             if free(m.start(), m.end()):
-                out.append((ADDRESS, m.start(), m.end(), ADDRESS, "", []))
+                out.append((ADDRESS, m.start(), m.end(), ADDRESS, m.group().lower(), []))
                 taken.append((m.start(), m.end()))
+        for m in MAY_PLACES.finditer(plain) if MAY_PLACE_MARKS.search(plain) else ():
+            if free(m.start(), m.end()):
+                out.append((ADDRESS, m.start(), m.end(), None, m.group().lower(), []))
         for pattern, lettered in ((LETTERED, True), (DIGITS, False)):
             for m in pattern.finditer(plain):
                 if free(m.start(), m.end()):
                     kind = number_kind(plain, m.start(), m.end(), lettered)
-                    out.append((NUMBER, m.start(), m.end(), kind, re.sub(r"\d", "9", m.group()), []))
+                    out.append((NUMBER, m.start(), m.end(), kind, m.group(), [shape(m.group())]))
                     if kind in (ID, PHONE):
                         taken.append((m.start(), m.end()))
     names = [(*m.span(1), m.group(1), False) for m in LATIN_NAME.finditer(plain)] + [(*m.span(), m.group(), False) for m in REVERSED.finditer(plain)]
@@ -169,100 +207,127 @@ def mentions(text: str) -> list[tuple[str, int, int, str | None, str, list[str]]
         if not titled and ARTICLE.search(plain[max(0, start - 6) : start]):
             continue
         if free(start, end) and own and not any(t in NOT_NAMES for t in own) and (titled or len(own) >= 2):
-            out.append((NAME, start, end, NAME if titled else None, " ".join(sorted(own)), own))
+            first, last = (own[-1], own[0]) if ", " in name else (own[0], own[-1])
+            letters = [re.sub(r"[^a-z]", "", t) for t in own]
+            sure = titled or any(all(len(t) > 2 and t in s for t in letters) for s in spelled) or (TOLD.search(plain[max(0, start - 20) : start]) is not None and name[:1].isupper())
+            out.append((NAME, start, end, NAME if sure else None, " ".join(sorted(own)), ["^ " + first, "$ " + last] if len(own) > 1 else ["$ " + last]))
     for m in HAN_NAME.finditer(plain):
         group = 1 if m.group(1) else 2
-        out.append((NAME, *m.span(group), NAME if group == 1 else None, m.group(group), [m.group(group)]))
+        out.append((NAME, *m.span(group), NAME if group == 1 else None, m.group(group), []))
     return out
 
 
-SCAN = "src string, row_id bigint, cls string, start int, end int, proven string, instance string, tokens array<string>, before string, after string"
+SCAN = "src string, row_id bigint, cls string, start int, end int, seed string, instance string, features array<string>"
 
 
 def scan(texts: DataFrame) -> DataFrame:
-    """The mentions of (src, row_id, text) rows with their contexts; null and empty texts have none."""
+    """The mentions of (src, row_id, text) rows with their patterns; null and empty texts have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for src, row_id, text in zip(batch["src"], batch["row_id"], batch["text"]):
                 if text:
-                    for cls, a, b, proven, instance, own in mentions(text):
-                        out.append((src, row_id, cls, a, b, proven, instance, own, *(context(text, a, b) if cls in (NAME, NUMBER) else ("", ""))))
+                    out += [(src, row_id, cls, a, b, seed, instance, own + contexts(text, a, b)) for cls, a, b, seed, instance, own in mentions(text)]
             yield pd.DataFrame(out, columns=[f.split(" ")[0] for f in SCAN.split(", ")])
 
     return texts.select("src", "row_id", "text").mapInPandas(run, SCAN)
 
 
-def patterns_of(found: DataFrame) -> DataFrame:
-    """(cls, pattern, instance, tokens, proven, n): what stands in which context of two words or marks, counted per task before the shuffle."""
-    sides = F.array(F.concat(F.lit("< "), "before"), F.concat(F.lit("> "), "after"))
-    rows = found.where(F.col("cls").isin(NAME, NUMBER)).withColumn("pattern", F.explode(sides)).where(F.col("pattern").rlike(r"^[<>] \S+ \S+$"))
-    return rows.groupBy("cls", "pattern", "instance", "proven").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"))
-
-
-def trusted_numbers(edges: DataFrame) -> DataFrame:
-    """(pattern, kind) that announce a kind of number: of all instances with a proven kind, TRUST or more have this one."""
-    known = edges.where((F.col("cls") == NUMBER) & F.col("proven").isNotNull())
-    per = known.groupBy("pattern", "proven").agg(F.sum("n").alias("n"), F.countDistinct("instance").alias("different"))
-    total = known.groupBy("pattern").agg(F.sum("n").alias("total"))
-    scored = per.join(total, "pattern").where((F.col("n") >= TRUST * F.col("total")) & (F.col("n") >= SUPPORT) & F.col("proven").isin(PHONE, ID))
-    return scored.select("pattern", F.col("proven").alias("kind"))
+def lower_bound(hits, n):
+    """The lower end of the Wilson interval of a share of hits among n, as a column."""
+    p = hits / n
+    return (p + Z * Z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
 
 
-def known_names(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(token) of known names and (pattern) of trusted contexts after the rounds of the name graph.
+def trusted_patterns(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """(cls, feature, side, kind, trust) of the patterns that announce one kind, NONE included.
 
-    seeds has a column token. In every round a pattern's trust is the share of its different
-    instances, and of its mentions, whose tokens are all known; the instances of trusted
-    patterns become known. Rounds end early when nothing new is found.
+    edges has (cls, feature, instance, n), known (cls, instance, kind). Shares count different
+    instances; for the words beside a span the mentions must reach the share as well. A host
+    is trusted from one plain address on.
     """
-    names = cut(edges.where(F.col("cls") == NAME).select("pattern", "instance", "proven", "tokens", "n").where(F.size("tokens") > 0))
-    of = names.select("instance", "tokens").groupBy("instance").agg(F.first("tokens").alias("tokens"))
-    parts = of.select("instance", F.explode("tokens").alias("token")).distinct()
-    need = parts.groupBy("instance").agg(F.count("*").alias("need"))
-    titled = names.where(F.col("proven").isNotNull()).select("instance").distinct()
-    known = cut(seeds.select("token").unionByName(titled.join(parts, "instance").select("token")).distinct())
-    size, trusted = known.count(), None
-    for _ in range(ROUNDS):
-        complete = parts.join(known, "token").groupBy("instance").agg(F.count("*").alias("have")).join(need, "instance").where("have = need").select("instance", F.lit(1).alias("k"))
-        links = names.groupBy("pattern", "instance").agg(F.sum("n").alias("n")).join(complete, "instance", "left")
-        known_n = F.sum(F.when(F.col("k").isNotNull(), F.col("n")).otherwise(0))
-        scored = links.groupBy("pattern").agg(F.count("k").alias("hits"), F.count("*").alias("all"), known_n.alias("known_n"), F.sum("n").alias("all_n"))
-        shares = (F.col("hits") >= TRUST * F.col("all")) & (F.col("known_n") >= TRUST * F.col("all_n"))
-        trusted = cut(scored.where((F.col("hits") >= SUPPORT) & shares).select("pattern"))
-        fresh = links.join(trusted, "pattern").select("instance").distinct().join(parts, "instance").select("token")
-        known = cut(known.unionByName(fresh).distinct())
-        grown = known.count()
-        if grown == size:
-            break
-        size = grown
-    return known, trusted
+    kinds = (*PLACEHOLDERS, NONE)
+    hit = lambda k: F.count_if(F.col("kind") == k).alias(k)
+    mass = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n_{k}")
+    per = edges.join(known, ["cls", "instance"], "left").groupBy("cls", "feature").agg(*(hit(k) for k in kinds), *(mass(k) for k in kinds), F.count("*").alias("every"), F.sum("n").alias("n_every"))
+    side = F.substring("feature", 1, 1)
+    against = F.element_at(F.create_map(*(F.lit(x) for pair in AGAINST.items() for x in pair)), side)
+    labelled = sum((F.col(k) for k in kinds[1:]), F.col(kinds[0]))
+    per = per.withColumn("best", F.array_max(F.array(*(F.struct(F.col(k).alias("hits"), F.col(f"n_{k}").alias("mass"), F.lit(k).alias("kind")) for k in kinds))))
+    per = per.withColumn("size", labelled + against * (F.col("every") - labelled)).where("best.hits > 0")
+    per = per.select("cls", "feature", side.alias("side"), "best.kind", "best.hits", lower_bound(F.col("best.hits"), F.col("size")).alias("trust"), (F.col("best.mass") >= TRUST * F.col("n_every")).alias("mostly"))
+    kept = (F.col("trust") >= TRUST) & ((F.col("hits") > 1) | (F.col("side") == "@")) & (F.col("mostly") | ~F.col("side").isin("<", "(", ">", ")"))
+    return per.where(kept).select("cls", "feature", "side", "kind", "trust")
+
+
+def newly_known(edges: DataFrame, instances: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(cls, instance, kind) of the instances that trusted patterns prove.
+
+    A number follows its shape, an address its host; else SHARE of an instance's mentions must
+    stand in trusted contexts. A name needs two independent contexts or a known word with them,
+    or both its words known.
+    """
+    e = edges.join(trusted, ["cls", "feature"])
+    on = lambda s: F.col("side") == s
+    mass = lambda s: F.sum(F.when(on(s), F.col("n")).otherwise(0)).alias(f"m{s}")
+    rows = e.groupBy("cls", "instance").agg(
+        *(mass(s) for s in "<(>)"), *(F.count_if(on(s)).alias(f"c{s}") for s in "<(>)^$"),
+        F.max(F.when(F.col("side").isin("=", "@"), F.struct("trust", "kind"))).alias("form"), F.max(F.when(F.col("side").isin("<", "(", ">", ")"), F.struct("trust", "kind"))).alias("around"),
+    ).join(instances.select("cls", "instance", "total"), ["cls", "instance"])
+    share = F.greatest(F.greatest("m<", "m("), F.greatest("m>", "m)")) / F.col("total")
+    independent = F.greatest("c<", "c(") + F.greatest("c>", "c)")
+    parts = F.least(F.col("c^"), F.lit(1)) + F.least(F.col("c$"), F.lit(1))
+    name = ((share >= SHARE) & (independent + parts >= 2)) | (parts == 2)
+    by_context = F.when(share >= SHARE, F.col("around.kind"))
+    kind = F.when(F.col("cls") == NAME, F.when(name, NAME)).when(F.col("form").isNotNull(), F.col("form.kind")).otherwise(by_context)
+    return rows.select("cls", "instance", kind.alias("kind")).where("kind is not null")
+
+
+def known_instances(found: DataFrame, people: DataFrame) -> DataFrame:
+    """(cls, instance, kind) at the fixed point of the graph of patterns and instances.
+
+    Seeds are the mentions' own and the names of people (display_name), whose first and last
+    words are known words. Every round only adds instances, so the rounds end; they go on until
+    one adds none.
+    """
+    edges = cut(found.select("cls", "instance", F.explode("features").alias("feature")).groupBy("cls", "feature", "instance").agg(F.count("*").alias("n")))
+    seeded = found.groupBy("cls", "instance", "seed").agg(F.count("*").alias("n")).groupBy("cls", "instance").agg(F.sum("n").alias("total"), F.max(F.when(F.col("seed").isNotNull(), F.struct("n", "seed"))).alias("top"))
+    instances = cut(seeded.select("cls", "instance", "total", F.col("top.seed").alias("kind")))
+
+    @F.pandas_udf("struct<own array<string>>")
+    def spelled(names: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"own": [tokens_of(x) for x in names]})
+
+    named = people.where("display_name is not null").select(spelled("display_name").alias("x")).where("size(x.own) > 1")
+    own = named.select(F.lit(NAME).alias("cls"), F.array_join(F.array_sort("x.own"), " ").alias("instance"), F.lit(NAME).alias("kind"))
+    sides = F.array(F.concat(F.lit("^ "), F.col("x.own")[0]), F.concat(F.lit("$ "), F.element_at("x.own", -1)))
+    directory = cut(named.select(F.lit(NAME).alias("cls"), F.explode(sides).alias("feature")).distinct())
+    sure = instances.where("kind is not null").select("cls", "instance", "kind")
+    known = cut(sure.unionByName(own.join(sure, ["cls", "instance"], "left_anti").distinct()))
+    while True:
+        trusted = trusted_patterns(edges, known)
+        listed = directory.join(trusted, ["cls", "feature"], "left_anti").select("cls", "feature", F.substring("feature", 1, 1).alias("side"), F.lit(NAME).alias("kind"), F.lit(1.0).alias("trust"))
+        fresh = cut(newly_known(edges, instances, trusted.unionByName(listed)).join(known, ["cls", "instance"], "left_anti"))
+        if fresh.isEmpty():
+            return known
+        known = known.unionByName(fresh)
+
+
+def judged(texts: DataFrame, people: DataFrame) -> DataFrame:
+    """(src, row_id, start, end, cls, seed, kind) of every mention: its own seed's kind, else that of its instance, null for none."""
+    found = cut(scan(texts))
+    known = known_instances(found, people)
+    rows = found.drop("features").join(known, ["cls", "instance"], "left")
+    return rows.select("src", "row_id", "start", "end", "cls", "seed", F.nullif(F.coalesce("seed", "kind"), F.lit(NONE)).alias("kind"))
 
 
 def found_spans(texts: DataFrame, people: DataFrame) -> DataFrame:
     """(src, row_id, start, end, kind) of all personal information in (src, row_id, text) rows.
 
-    people has a column display_name; its words seed the name graph.
+    people has a column display_name; its names are seeds of the graph.
     """
-    found = cut(scan(texts))
-    edges = patterns_of(found)
-    numbers = trusted_numbers(edges)
-    words = F.explode(F.split(F.regexp_replace(F.lower("display_name"), "[^\\p{L}'\\- ]", " "), " +"))
-    folding = F.translate("token", "áàâäãåéèêëíìîïñóòôöõúùûüç", "aaaaaaeeeeiiiinooooouuuuc")
-    seeds = people.where("display_name is not null").select(words.alias("token")).where(F.length("token") > 1).select(folding.alias("token")).distinct()
-    known, contexts = known_names(edges, seeds)
-    sides = F.array(F.concat(F.lit("< "), "before"), F.concat(F.lit("> "), "after"))
-    keys = ["src", "row_id", "start", "end"]
-    sure = found.where(F.col("proven").isin(EMAIL, PHONE, ID, ADDRESS, NAME)).select(*keys, F.col("proven").alias("kind"))
-    open_ = found.where(F.col("proven").isNull())
-    by_pattern = open_.where(F.col("cls") == NUMBER).withColumn("pattern", F.explode(sides)).join(numbers, "pattern").select(*keys, "kind")
-    names = open_.where(F.col("cls") == NAME)
-    by_context = names.withColumn("pattern", F.explode(sides)).join(contexts, "pattern").select(*keys)
-    have = names.select(*keys, F.size(F.array_distinct("tokens")).alias("need"), F.explode(F.array_distinct("tokens")).alias("token")).join(known, "token").groupBy(*keys, "need").agg(F.count("*").alias("have"))
-    by_word = have.where("have = need").select(*keys)
-    name = by_context.unionByName(by_word).withColumn("kind", F.lit(NAME))
-    return sure.unionByName(by_pattern).unionByName(name).distinct()
+    return judged(texts, people).where("kind is not null").select("src", "row_id", "start", "end", "kind").distinct()
 
 
 def texts_of(messages: DataFrame, memories: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """Message rows to ordered conversations.
 
 Roles are read, delivered copies dropped, instants brought to one unit, and the clocks of the
-senders compared: a reply cannot come before its question, so every conversation gives one
-constraint per sender pair, and where most constraints of a source are infeasible its assistant
-clock is shifted by the least-squares solution of the infeasible ones. Conversations whose
-corrected order still breaks a constraint (no question first, a question without reply) are
-rejected. No step gathers a conversation: order, counts and neighbours come from windows over
-buckets of a conversation and from partial aggregates.
+senders compared: a reply cannot come before its question, nor the next question before the
+reply, so every pair of turns that face each other gives a constraint. The shift of a source's
+assistant clock is the least-squares solution of all its constraints; it applies where the clock
+is visibly skewed. Turns are then merged by the corrected instants, and conversations whose
+order still breaks a constraint (no question first, a question without reply) are rejected. No
+step gathers a conversation: order, counts and neighbours come from windows over buckets of a
+conversation and from partial aggregates.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.neighbours import with_previous, with_running
+from skein.runtime import cut
 
 #: The spellings of the roles.
 USER = ("user", "human")
@@ -25,8 +27,9 @@ OTHER = ("system", "tool", "developer")
 FIRST_S, END_S = 1_672_531_200, 1_798_761_600
 NS = 10**9
 
-#: A source's clock is corrected only where more than this share of its constraints is infeasible.
-SKEWED = 0.5
+#: A source's clock is skewed if more than this share of its replies comes before their questions
+#: and the shift mends more than REMEDY of the infeasible constraints; single broken conversations reach neither.
+SKEWED, REMEDY = 0.5, 0.5
 
 #: Bucket widths that keep one conversation out of one task.
 TURNS_A_BUCKET = 1024
@@ -74,20 +77,55 @@ def with_texts(rows: DataFrame, messages: DataFrame) -> DataFrame:
     return rows.join(own, ["conv_id", "msg_id"])
 
 
+def reply_constraints(usable: DataFrame) -> DataFrame:
+    """(source, least, most, conv_id, place): bounds of a source's assistant shift in ns, null for none.
+
+    A sender's own clock keeps its own order, so the n-th reply faces the n-th question: the
+    shift is at least question - reply, and at most next question - reply. Conversations with
+    as many replies as questions give all their pairs, others only the first one. Messages
+    without instant take no part. Places within a sender come from buckets, not whole conversations.
+    """
+    timed = usable.where("ns is not null").withColumn("sender", F.to_json(F.struct("conv_id", "role")))
+    bucket = F.coalesce(F.floor(F.col("turn") / TURNS_A_BUCKET), F.floor(F.col("ns") / NS_A_BUCKET) + 10**7)
+    first = timed.withColumn("at", F.coalesce(F.col("turn").cast("bigint"), F.col("ns")))
+    placed = with_running(first, "sender", bucket, ["at", "ns", "msg_id"], F.lit(1), "place").select("conv_id", "source", "role", "ns", "place")
+    question, reply = F.col("role") == "user", F.col("role") == "assistant"
+    even = placed.groupBy("conv_id").agg((F.count_if(question) == F.count_if(reply)).alias("even"))
+    slots = F.when(question, F.array(F.struct(F.col("place").alias("place"), F.lit("q").alias("part")), F.struct((F.col("place") - 1).alias("place"), F.lit("n").alias("part")))).otherwise(
+        F.array(F.struct(F.col("place").alias("place"), F.lit("r").alias("part")))
+    )
+    rows = placed.select("conv_id", "source", "ns", F.explode(slots).alias("s")).select("conv_id", "source", "ns", "s.place", "s.part").where("place >= 0")
+    part = lambda x: F.min(F.when(F.col("part") == x, F.col("ns"))).alias(x)
+    faced = rows.groupBy("conv_id", "place").agg(F.min("source").alias("source"), part("q"), part("r"), part("n")).where("r is not null and (q is not null or n is not null)")
+    faced = faced.join(even, "conv_id").where("even or place = 0")
+    return faced.select("source", (F.col("q") - F.col("r")).alias("least"), F.when(F.col("even"), F.col("n") - F.col("r")).alias("most"), "conv_id", "place")
+
+
 def clock_offsets(usable: DataFrame) -> DataFrame:
-    """(source, constraints, infeasible, offset_ns): the shift of each source's assistant clock.
+    """(source, constraints, infeasible, left_infeasible, offset_ns): the shift of each source's assistant clock.
 
-    Every conversation that only instants order and that has those of both senders gives the
-    constraint that its first reply is not before its first question. The shift minimises the squared lack over the infeasible
-    constraints; it is 0 unless more than SKEWED of the source's constraints are infeasible, so
-    that single broken conversations move no clock.
+    The shift minimises the sum of squared lacks over all constraints of the source, which is
+    solved by iterating over the set of those it violates until the set stays. It is given only
+    where the clock is skewed (SKEWED, REMEDY), else 0.
     """
-    first = lambda role: F.min(F.when(F.col("role") == role, F.col("ns")))
-    gaps = usable.groupBy("conv_id").agg(F.min("source").alias("source"), (first("assistant") - first("user")).alias("gap"), F.count("turn").alias("turns")).where("turns = 0")
-    lack = F.when(F.col("gap") < 0, -F.col("gap"))
-    sums = gaps.where("gap is not null").groupBy("source").agg(F.count("*").alias("constraints"), F.count(lack).alias("infeasible"), F.avg(lack).alias("mean"))
-    shift = F.when(F.col("infeasible") > SKEWED * F.col("constraints"), F.round("mean").cast("bigint")).otherwise(F.lit(0))
-    return sums.select("source", "constraints", "infeasible", shift.cast("bigint").alias("offset_ns"))
+    bounds = cut(reply_constraints(usable).select("source", "least", "most").where("source is not null"))
+    count = lambda d: (F.count_if(F.col("least") > d) + F.count_if(F.col("most") < d))
+    early = F.count_if(F.col("least") > 0) > SKEWED * F.count("least")
+    sums = cut(bounds.groupBy("source").agg((F.count("least") + F.count("most")).alias("constraints"), count(F.lit(0)).alias("infeasible"), early.alias("skewed")))
+    shifts = cut(sums.where("skewed").select("source", F.lit(0.0).alias("d"), F.lit(0.0).alias("step")))
+    while not shifts.where(F.abs("step") > NS // 1000).isEmpty() or not shifts.where("d = 0 and step = 0").isEmpty():
+        held = bounds.join(shifts, "source")
+        low, high = F.when(F.col("least") > F.col("d"), F.col("least")), F.when(F.col("most") < F.col("d"), F.col("most"))
+        mean = (F.coalesce(F.sum(low.cast("double")), F.lit(0.0)) + F.coalesce(F.sum(high.cast("double")), F.lit(0.0))) / F.nullif(F.count(low) + F.count(high), F.lit(0))
+        step = F.coalesce(F.round("mean") - F.col("d"), F.lit(0.0))
+        turned = F.signum(step) * F.signum("step") < 0
+        moved = held.groupBy("source", "d", "step").agg(mean.alias("mean")).select("source", "d", F.when(turned, step / 2).otherwise(step).alias("step"))
+        shifts = cut(moved.select("source", (F.col("d") + F.col("step")).alias("d"), "step"))
+    left = bounds.join(shifts, "source").groupBy("source").agg(F.first("d").alias("d"), count(F.col("d")).alias("left_infeasible"))
+    joined = sums.join(left, "source", "left")
+    mended = F.col("left_infeasible") < (1 - REMEDY) * F.col("infeasible")
+    left_over = F.when(mended, F.col("left_infeasible")).otherwise(F.col("infeasible"))
+    return joined.select("source", "constraints", "infeasible", left_over.alias("left_infeasible"), F.when(mended, F.col("d")).otherwise(0).cast("bigint").alias("offset_ns"))
 
 
 def ordered(usable: DataFrame) -> DataFrame:

@@ -44,12 +44,24 @@ def test_positions_and_text(spark):
 def test_clock_offset_only_where_most_are_infeasible(spark):
     early = [row for k in range(4) for row in ((f"e{k}", "user", "q", None, T0 + 60), (f"e{k}", "assistant", "a", None, T0 + 50 - k))]
     offsets = conversations.clock_offsets(conversations.usable_messages(chat(spark, *early))).collect()
-    assert offsets[0].offset_ns == int(11.5 * 10**9)
+    assert (offsets[0].offset_ns, offsets[0].infeasible, offsets[0].left_infeasible) == (13 * 10**9, 4, 0)
     mixed = early[:2] + [row for k in range(4) for row in ((f"g{k}", "user", "q", None, T0), (f"g{k}", "assistant", "a", None, T0 + 5))]
     assert conversations.clock_offsets(conversations.usable_messages(chat(spark, *mixed))).first().offset_ns == 0
     assert dropped(spark, chat(spark, *mixed)) == {"e0"}
 
 
+def test_skewed_source_is_merged_by_corrected_clocks(spark):
+    """Replies of one source lie 90 s behind; without the shift every conversation of it would be dropped."""
+    rows = [row for k in range(6) for i in range(5) for row in ((f"s{k}", "user", f"q{i}", None, T0 + 200 * i), (f"s{k}", "assistant", f"a{i}", None, T0 + 200 * i + 20 + k - 90))]
+    rows += [("lost", "user", "q0", None, T0), ("lost", "user", "q1", None, T0 + 500), ("lost", "assistant", "a1", None, T0 + 500 + 20 - 90)]
+    messages = chat(spark, *rows)
+    found = conversations.clock_offsets(conversations.usable_messages(messages)).first()
+    assert 70 * 10**9 <= found.offset_ns <= 195 * 10**9 and found.infeasible >= 30
+    assert dropped(spark, messages) == {"lost"}
+    got = conversations.rebuilt(messages, spark.createDataFrame([], META)).where("conv_id = 's0'").orderBy("position").collect()
+    assert [r.text for r in got] == [x for i in range(5) for x in (f"q{i}", f"a{i}")]
+
+
 def check(text, own, limit, overlap):
     assert "".join(own) == text
     for p, q in zip(splitting.with_overlap(own, overlap), splitting.with_overlap(own, overlap)[1:]):
@@ -74,14 +86,25 @@ def test_split_texts(spark):
     assert splitting.split_texts(chat(spark, *rows).limit(0), "turn", "msg_id", "text").count() == 0
 
 
-def test_blocks_of_a_large_conversation(spark):
-    rows = [("big", "user" if i % 2 == 0 else "assistant", f"message {i} " + "words and more. " * (40 + i % 7), i, None) for i in range(120)] + [("small", "user", "q", 1, None)]
-    messages = chat(spark, *rows)
-    whole = "\n\n".join(r[2] for r in rows[:120])
-    for block in (10**9, 30_000):
-        got = splitting.split_conversations(messages, block=block).orderBy("piece").collect()
+def test_large_conversations_are_split_as_one_heap(spark):
+    """Above and below 400,000 characters, the pieces are those of one heap over all segments of the conversation."""
+    for n in (120, 399, 402, 700):
+        rows = [("big", "user" if i % 2 == 0 else "assistant", f"message {i} " + "words and more. " * (40 + i * i % 37) + ("\n\nsecond paragraph." * (i % 4)), i, None) for i in range(n)] + [("small", "user", "q", 1, None)]
+        texts = [r[2] for r in rows[:n]]
+        got = splitting.split_conversations(chat(spark, *rows)).orderBy("piece").collect()
         assert {r.item_id for r in got} == {"big"} and [r.piece for r in got] == list(range(len(got)))
-        assert "".join(r.text[len(r.text) - r.own_length :] for r in got) == whole
+        segments = []
+        for i, t in enumerate(texts):
+            own = list(splitting.atoms(t + ("\n\n" if i + 1 < n else ""), 18_000))
+            segments += own[:-1] + [(own[-1][0], splitting.PARAGRAPH if i + 1 < n else own[-1][1])]
+        want = splitting.merged(segments, 20_000, 2_000)
+        assert [r.text[len(r.text) - r.own_length :] for r in got] == want and "".join(want) == "\n\n".join(texts)
         assert max(len(r.text) for r in got) <= 20_000
         for p, q in zip(got, got[1:]):
             assert q.text[: len(q.text) - q.own_length] == p.text[-2000:]
+
+
+def test_conversation_of_one_huge_message_and_many_short_ones(spark):
+    rows = [("c", "user", "x" * 50_000, 0, None)] + [("c", "assistant", f"ok {i}", i + 1, None) for i in range(30)]
+    got = splitting.split_conversations(chat(spark, *rows)).orderBy("piece").collect()
+    assert "".join(r.text[len(r.text) - r.own_length :] for r in got) == "\n\n".join(r[2] for r in rows) and max(len(r.text) for r in got) <= 20_000

@@ -3,9 +3,11 @@
 Every distinct text of a source is a unit of its token count. A mix's total is the largest at
 which every source can give its share without a text being used more than max_repeats times. A
 source gives as many whole copies of all its texts as fit (the certain part); the rest is a Pareto
-order sample: texts are ranked by the odds of a hashed random number over the odds of their
-inclusion probability, and taken in that order until the rest is filled. Running sums go
-over bins of the rank, so that no source is sorted in one task.
+order sample with unequal probabilities: a text's inclusion probability grows with its own token
+count, so that the expected tokens are the rest; texts whose probability would pass 1 are certain
+and the others share what is left. Texts are ranked by the odds of a hashed random number over
+the odds of their inclusion probability and taken in that order until the rest is filled. Running
+sums go over bins of the rank, so that no source is sorted in one task.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from skein.operators.neighbours import with_running
 from skein.runtime import cut
 
 BINS = 4096
-PASSES = 3
 SEED = 20240601
 
 
@@ -59,38 +60,63 @@ def plan(units_: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     return out.withColumn("whole", whole.cast("int")).withColumn("rest", F.greatest(F.lit(0.0), F.col("quota") - F.col("whole") * F.col("tokens")))
 
 
+def slopes(rows: DataFrame) -> DataFrame:
+    """(own, slope, certain_from): inclusion probability a token of each source of a mix, and the size from which texts are certain.
+
+    rows has (own, n_tokens, rest). The slope c solves sum(min(1, c * n) * n) = rest. Sums are
+    taken per distinct size first; the sizes of a source, no more than the longest text has
+    tokens, are then run over from the largest: sizes are certain as long as c * n reaches 1.
+    """
+    sizes = rows.groupBy("own", "n_tokens").agg(F.count("*").alias("n"), F.first("rest").alias("rest"))
+    up, down = Window.partitionBy("own").orderBy("n_tokens"), Window.partitionBy("own").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, -1)
+    tokens = F.col("n") * F.col("n_tokens")
+    left = F.col("rest") - F.coalesce(F.sum(tokens).over(down), F.lit(0))
+    cuts = sizes.withColumn("c", left / F.sum((tokens * F.col("n_tokens")).cast("double")).over(up)).where((F.col("c") > 0) & (F.col("c") * F.col("n_tokens") < 1))
+    return cuts.groupBy("own").agg(F.max_by("c", "n_tokens").alias("slope"), F.max("n_tokens").alias("open_to"))
+
+
 def pareto_rank(seed: int):
-    """The random odds of a text over the odds of its inclusion probability, rest / tokens of its source, as a column."""
+    """The random odds of a text over the odds of its inclusion probability, as a column; 0 for a certain text."""
     chance = (F.pmod(F.xxhash64(F.lit(seed), "mix_name", "digest"), F.lit(2**52)) + 0.5) / float(2**52)
-    inclusion = F.least(F.greatest(F.col("rest") / F.col("tokens"), F.lit(1e-12)), F.lit(1 - 1e-12))
-    return (chance / (1 - chance)) / (inclusion / (1 - inclusion))
+    inclusion = F.least(F.greatest(F.col("inclusion"), F.lit(1e-12)), F.lit(1 - 1e-12))
+    return F.when(F.col("inclusion") >= 1, F.lit(0.0)).otherwise((chance / (1 - chance)) / (inclusion / (1 - inclusion)))
+
+
+def sampled(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """Every unit of every mix with its inclusion probability and rank, and the plan."""
+    pool = cut(units(documents, targets))
+    goals = cut(plan(pool, targets, total_tokens))
+    rows = pool.join(goals.select("mix_name", "source", "tokens", "whole", "rest", "max_repeats"), ["mix_name", "source"]).withColumn("own", F.to_json(F.struct("mix_name", "source")))
+    rows = rows.join(slopes(rows), "own", "left")
+    certain = F.col("slope").isNull() | (F.col("n_tokens") > F.col("open_to"))
+    rows = rows.withColumn("inclusion", F.when(F.col("rest") <= 0, 0.0).when(certain, 1.0).otherwise(F.col("slope") * F.col("n_tokens"))).drop("slope", "open_to")
+    rows = rows.withColumn("rank", pareto_rank(seed))
+    even = F.col("rank") / (1 + F.col("rank"))
+    return cut(rows.withColumn("bin", F.least(F.floor(even * BINS), F.lit(BINS - 1)).cast("int"))), goals
 
 
 def select(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """The selection (mix_name, source, doc_id, n_tokens, copies) and the plan that it follows.
 
     The sample takes texts in rank order up to the first that would overfill the rest, then goes
-    on after it with texts that still fit, PASSES times; what is left open is less than any text
-    that the last pass could have taken.
+    on after it with texts that still fit, until none does: what is left open is less than any
+    text that is left.
     """
-    pool = cut(units(documents, targets))
-    goals = cut(plan(pool, targets, total_tokens))
-    rows = pool.join(goals.select("mix_name", "source", "tokens", "whole", "rest", "max_repeats"), ["mix_name", "source"])
-    rows = rows.withColumn("rank", pareto_rank(seed)).withColumn("own", F.to_json(F.struct("mix_name", "source")))
-    even = F.col("rank") / (1 + F.col("rank"))
-    rows = cut(rows.withColumn("bin", F.least(F.floor(even * BINS), F.lit(BINS - 1)).cast("int")))
+    rows, goals = sampled(documents, targets, total_tokens, seed)
     light = rows.where(F.col("whole") < F.col("max_repeats")).select("own", "digest", "n_tokens", "rank", "bin")
     gaps = rows.groupBy("own").agg(F.first("rest").alias("gap"))
     chosen = None
-    for _ in range(PASSES):
+    while True:
         left = light if chosen is None else light.join(chosen, ["own", "digest"], "left_anti")
         fitting = left.join(gaps, "own").where(F.col("n_tokens") <= F.col("gap"))
         running = with_running(fitting, "own", F.col("bin"), ["rank", "digest"], F.col("n_tokens"), "so_far")
         taken = cut(running.where(F.col("so_far") + F.col("n_tokens") <= F.col("gap")).select("own", "digest", "n_tokens"))
+        if taken.isEmpty():
+            break
         used = taken.groupBy("own").agg(F.sum("n_tokens").alias("used"))
         gaps = cut(gaps.join(used, "own", "left").select("own", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")))
         chosen = taken.select("own", "digest") if chosen is None else chosen.unionByName(taken.select("own", "digest"))
-    extra = rows.join(chosen.withColumn("extra", F.lit(1)), ["own", "digest"], "left")
+    extra = rows.withColumn("extra", F.lit(None).cast("int")) if chosen is None else rows.join(chosen.withColumn("extra", F.lit(1)), ["own", "digest"], "left")
     copies = (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int")
     return extra.select("mix_name", "source", "doc_id", "n_tokens", copies.alias("copies")).where("copies > 0"), goals
 

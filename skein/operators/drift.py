@@ -26,9 +26,8 @@ from skein.operators.neighbours import with_previous
 
 #: A rename must carry on at least this share of the values' shapes; below it, delete and add.
 CARRY_ON = 0.5
-#: Literal words are profiled by this many hash cells, so that a profile stays small.
+#: Words, written forms and key sets are profiled by this many hash cells, so that a profile stays small.
 CELLS = 4096
-MAX_DEPTH = 4
 SEP = "\x1f"
 
 
@@ -59,22 +58,33 @@ def shape_of(value) -> str:
         if re.search(r"\s", value.strip()) or len(re.findall(r"[⺀-鿿]", value)) > 3:
             return "text"
         if not re.search(r"\d", value):
-            return f"w{zlib.crc32(value.encode('utf-8', 'replace')) % CELLS}"
-        return "c" + re.sub(r"[A-Za-z0-9]*\d[A-Za-z0-9]*", "9", value)[:40]
+            return f"w{cell(value)}"
+        return f"c{cell(re.sub(r'[A-Za-z0-9]*\d[A-Za-z0-9]*', '9', value))}"
     if isinstance(value, dict):
-        return "{" + ",".join(sorted(value))[:80]
+        return f"o{cell(','.join(sorted(value)))}"
     if isinstance(value, list):
-        return "[" + (shape_of(value[0]) if value else "")
+        depth = 0
+        while isinstance(value, list) and value:
+            value, depth = value[0], depth + 1
+        return f"[{depth}" + (shape_of(value) if not isinstance(value, list) else "")
     return ""
 
 
-def walk(value: dict, prefix: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], object]]:
-    """(path, value) of every field of an object, parents first."""
-    for name, child in value.items():
-        path = prefix + (name,)
-        yield path, child
-        if isinstance(child, dict) and len(path) < MAX_DEPTH:
-            yield from walk(child, path)
+def cell(text: str) -> int:
+    """The hash cell of a text."""
+    return zlib.crc32(text.encode("utf-8", "replace")) % CELLS
+
+
+def walk(value: dict) -> Iterator[tuple[tuple[str, ...], object]]:
+    """(path, value) of every field of an object at any depth, parents first."""
+    todo = [((), value)]
+    while todo:
+        prefix, parent = todo.pop()
+        for name, child in parent.items():
+            path = prefix + (name,)
+            yield path, child
+            if isinstance(child, dict):
+                todo.append((path, child))
 
 
 def profile(lines: DataFrame) -> DataFrame:
@@ -120,9 +130,12 @@ class Tree:
                     shapes[cell["shape"]] += cell["n"]
             self.types[path] = max(kinds, key=lambda k: (kinds[k], k)) if kinds else ""
             self.shapes[path] = shapes
+        self.below: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
+        for path in sorted(self.types):
+            self.below.setdefault(path[:-1], []).append(path)
 
     def children(self, parent: tuple[str, ...]) -> list[tuple[str, ...]]:
-        return sorted(p for p in self.types if p[:-1] == parent)
+        return self.below.get(parent, [])
 
 
 def carried(a: Counter, b: Counter) -> float:
@@ -165,37 +178,41 @@ Path = tuple[str, ...]
 Edit = tuple[str, Path, Path]
 
 
-def edit_script(old: Tree, new: Tree, parent_old: Path = (), parent_new: Path = ()) -> list[Edit]:
+def edit_script(old: Tree, new: Tree) -> list[Edit]:
     """The cheapest (kind, old path, new path) edits between two trees; () for no path.
 
     Same names always match. Of the others a pair may match where both have the same type and the
     values carry on; deleting and adding one field each cost 1, a rename 2 * (1 - carried).
     """
-    a, b = old.children(parent_old), new.children(parent_new)
-    names_a, names_b = {p[-1] for p in a}, {p[-1] for p in b}
-    gone, fresh = [p for p in a if p[-1] not in names_b], [p for p in b if p[-1] not in names_a]
-    script, pairs = [], [(p, parent_new + (p[-1],)) for p in a if p[-1] in names_b]
-    if gone and fresh:
-        n = len(gone) + len(fresh)
-        cost = np.zeros((n, n))
-        cost[: len(gone), len(fresh) :] = 1
-        cost[len(gone) :, : len(fresh)] = 1
-        for i, p in enumerate(gone):
-            for j, q in enumerate(fresh):
-                alike = carried(old.shapes[p], new.shapes[q]) if old.types[p] and old.types[p] == new.types[q] else 0
-                cost[i, j] = 2 * (1 - alike) if alike >= CARRY_ON else 4
-        chosen = assignment(cost)
-        renamed = [(gone[i], fresh[j]) for i, j in enumerate(chosen[: len(gone)]) if j < len(fresh) and cost[i, j] < 2]
-        pairs += renamed
-        script += [("renamed", p, q) for p, q in renamed]
-        gone = [p for p in gone if p not in {x for x, _ in renamed}]
-        fresh = [q for q in fresh if q not in {y for _, y in renamed}]
-    script += [("removed", p, ()) for p in gone] + [("added", (), q) for q in fresh]
-    for p, q in pairs:
-        if p[-1] == q[-1] and old.types[p] and new.types[q] and old.types[p] != new.types[q]:
-            script.append(("retyped", p, q))
-        elif old.types[p] == "object" and new.types[q] == "object":
-            script += edit_script(old, new, p, q)
+    script: list[Edit] = []
+    todo: list[tuple[Path, Path]] = [((), ())]
+    while todo:
+        parent_old, parent_new = todo.pop()
+        a, b = old.children(parent_old), new.children(parent_new)
+        names_a, names_b = {p[-1] for p in a}, {p[-1] for p in b}
+        gone, fresh = [p for p in a if p[-1] not in names_b], [p for p in b if p[-1] not in names_a]
+        pairs = [(p, parent_new + (p[-1],)) for p in a if p[-1] in names_b]
+        if gone and fresh:
+            n = len(gone) + len(fresh)
+            cost = np.zeros((n, n))
+            cost[: len(gone), len(fresh) :] = 1
+            cost[len(gone) :, : len(fresh)] = 1
+            for i, p in enumerate(gone):
+                for j, q in enumerate(fresh):
+                    alike = carried(old.shapes[p], new.shapes[q]) if old.types[p] and old.types[p] == new.types[q] else 0
+                    cost[i, j] = 2 * (1 - alike) if alike >= CARRY_ON else 4
+            chosen = assignment(cost)
+            renamed = [(gone[i], fresh[j]) for i, j in enumerate(chosen[: len(gone)]) if j < len(fresh) and cost[i, j] < 2]
+            pairs += renamed
+            script += [("renamed", p, q) for p, q in renamed]
+            gone = [p for p in gone if p not in {x for x, _ in renamed}]
+            fresh = [q for q in fresh if q not in {y for _, y in renamed}]
+        script += [("removed", p, ()) for p in gone] + [("added", (), q) for q in fresh]
+        for p, q in pairs:
+            if p[-1] == q[-1] and old.types[p] and new.types[q] and old.types[p] != new.types[q]:
+                script.append(("retyped", p, q))
+            elif old.types[p] == "object" and new.types[q] == "object":
+                todo.append((p, q))
     return script
 
 
@@ -293,7 +310,9 @@ def unified(lines: DataFrame, report: DataFrame | None = None) -> DataFrame:
     The projection is compiled from the edit scripts: a column reads whichever of its names a
     line has. A column is double where all its values are numbers, boolean where they are
     booleans, 0, 1 or the texts of these, else string: scalars as text, {"name": x} as x, a list of {"text": x} as its texts, any
-    other object or list as JSON. Lines that are not readable objects are left out.
+    other object or list as JSON. Where one line has several names of a column, the column has
+    the canonical name's value and the map other_names those of the others. Lines that are not
+    readable objects are left out.
     """
     report = change_report(lines) if report is None else report
     canonical = name_groups(report)
@@ -318,13 +337,19 @@ def unified(lines: DataFrame, report: DataFrame | None = None) -> DataFrame:
             kind.startswith("ARRAY"), F.coalesce(F.when(F.contains(kind, F.lit("text: STRING")), parts), whole)
         ).otherwise(whole)
 
-    columns = []
+    columns, spare = [], []
     for name in sorted(fields):
-        column = F.coalesce(*(text(n) for n in sorted(fields[name]["names"], key=lambda n: (n != name, n))))
+        names = sorted(fields[name]["names"], key=lambda n: (n != name, n))
+        column = F.coalesce(*(text(n) for n in names))
+        for i, n in enumerate(names[1:], 1):
+            taken = F.coalesce(*(text(m) for m in names[:i]))
+            spare.append(F.when(taken.isNotNull() & text(n).isNotNull(), F.struct(F.lit(n).alias("key"), text(n).alias("value"))))
         types = fields[name]["types"]
         if "boolean" in types and types <= {"boolean", "number", "string"}:
             column = F.when(column.isin("1", "true"), F.lit(True)).when(column.isin("0", "false"), F.lit(False))
         elif types == {"number"}:
             column = column.try_cast("double")
         columns.append(column.alias(name if name not in ("file_id", "line_id", "line_no") else f"field_{name}"))
-    return parsed.select("file_id", "line_id", "line_no", *columns)
+    unused = F.array_compact(F.array(*spare)) if spare else F.array().cast("array<struct<key:string,value:string>>")
+    clash = "other_names" in fields
+    return parsed.select("file_id", "line_id", "line_no", *columns, F.map_from_entries(unused).alias("field_other_names" if clash else "other_names"))

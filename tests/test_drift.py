@@ -67,6 +67,26 @@ def test_one_table(spark):
     assert rows[3].n == 3.0
 
 
+def test_fields_at_any_depth(spark):
+    def deep(name, n=40):
+        value = {name: "alpha-beta"}
+        for i in range(n):
+            value = {f"k{i}": value}
+        return [value]
+
+    got = [tuple(r)[1:] for r in drift.change_report(lines(spark, ("s", 1, deep("old")), ("s", 2, deep("new")))).collect()]
+    assert [(g[0], g[1].split(".")[-1], g[2].split(".")[-1], g[3]) for g in got] == [("renamed", "old", "new", 41)]
+
+
+def test_no_value_is_lost_where_a_line_has_two_names(spark):
+    a = [{"role": "user", "n": 1}] * 3
+    b = [{"sender": "user", "n": 2}] * 3
+    both = [{"role": "user", "sender": "assistant", "n": 9}]
+    got = drift.unified(lines(spark, ("s", 1, a), ("s", 2, b), ("t", 1, both))).where("n = 9").first()
+    name, other = ("role", "sender") if "role" in got.asDict() else ("sender", "role")
+    assert {got[name], got.other_names[other]} == {"user", "assistant"}
+
+
 def test_empty(spark):
     df = lines(spark, ("s", 1, [{"a": 1}]))
     assert drift.top_level(df).count() == 0 and drift.top_level(df.limit(0)).count() == 0

@@ -38,28 +38,77 @@ def commit_bag(commits: DataFrame) -> DataFrame:
     return bag(commits, "commit_no", [(F.col("subject"), 3, False), (paths, 2, True), (F.substring("body", 1, 500), 1, False), (F.col("author"), 1, False)])
 
 
+def bag_classes(bags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, total, bag) of every class of equal bags, bag being (token, w) pairs, and (id, rep) of its members.
+
+    A bag has the words of a title and the first characters of a text, so a row stays small.
+    """
+    whole = bags.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("token", "w"))).alias("bag"), F.sum("w").alias("total"))
+    keyed = cut(whole.withColumn("digest", F.md5(F.to_json("bag"))))
+    classes = keyed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("total").alias("total"), F.first("bag").alias("bag"))
+    members = keyed.select("id", "digest").join(classes.select("digest", "rep"), "digest").select("id", "rep")
+    return classes.select("rep", "total", "bag"), members
+
+
+def rare_first(classes: DataFrame, seen: DataFrame, least: float, side: str) -> DataFrame:
+    """(token, side, side_total, side_before) of the tokens of each class in which a partner's first shared token can be.
+
+    Tokens go from rare to frequent; before is the weight of those before, at most what a pair
+    of similarity `least` may leave unshared.
+    """
+    each = classes.select("rep", "total", F.explode("bag").alias("e")).select("rep", "total", "e.token", "e.w").join(seen, "token")
+    earlier = Window.partitionBy("rep").orderBy("seen", "token").rowsBetween(Window.unboundedPreceding, -1)
+    placed = each.withColumn("before", F.coalesce(F.sum("w").over(earlier), F.lit(0)))
+    return placed.where(F.col("before") <= F.col("total") * (1 - least)).select("token", F.col("rep").alias(side), F.col("total").alias(f"{side}_total"), F.col("before").alias(f"{side}_before"))
+
+
 def linked(left: DataFrame, right: DataFrame, least: float = SUGGEST) -> DataFrame:
     """(a, b, score): pairs of bags whose weighted Jaccard similarity is at least `least`. Exact.
 
-    A pair that qualifies shares at least `least` of the left bag's weight, so it meets in one of
-    the left bag's rarest tokens that together weigh more than the rest allows; only those tokens
-    look for partners, and candidates are then scored on all tokens.
+    Equal bags are one class that is joined once. In one order of the tokens by rarity, the first
+    token that a qualifying pair shares has, on both sides, no more than 1 - least of the weight
+    before it; only such tokens look for partners, and a meeting counts only if what follows on
+    both sides can still reach the score.
+    """
+    (lc, lm), (rc, rm) = bag_classes(left), bag_classes(right)
+    tokens = lc.select(F.explode("bag.token").alias("token")).unionByName(rc.select(F.explode("bag.token").alias("token")))
+    seen = tokens.groupBy("token").agg(F.count("*").alias("seen"))
+    met = rare_first(lc, seen, least, "a").join(rare_first(rc, seen, least, "b"), "token")
+    needed = (F.col("a_total") + F.col("b_total")) * (least / (1 + least)) - 1e-9
+    reach = F.least(F.col("a_total") - F.col("a_before"), F.col("b_total") - F.col("b_before"))
+    pairs = met.where(reach >= needed).select("a", "b").distinct()
+    x = lc.select(F.col("rep").alias("a"), F.col("total").alias("wa"), F.col("bag").alias("x"))
+    y = rc.select(F.col("rep").alias("b"), F.col("total").alias("wb"), F.map_from_entries("bag").alias("y"))
+    low = F.aggregate("x", F.lit(0).cast("bigint"), lambda s, e: s + F.least(e["w"], F.coalesce(F.element_at("y", e["token"]), F.lit(0).cast("bigint"))))
+    sums = pairs.join(x, "a").join(y, "b").select("a", "b", "wa", "wb", low.alias("low"))
+    scored = sums.select("a", "b", (F.col("low") / (F.col("wa") + F.col("wb") - F.col("low"))).alias("score")).where(F.col("score") >= least)
+    members = scored.join(lm.select(F.col("rep").alias("a"), F.col("id").alias("ida")), "a").join(rm.select(F.col("rep").alias("b"), F.col("id").alias("idb")), "b")
+    return members.select(F.col("ida").alias("a"), F.col("idb").alias("b"), "score")
+
+
+def recent_commits(commits: DataFrame, since: str | None = None, most: int | None = None) -> DataFrame:
+    """commits on or after a day (as written, for ISO dates) and of these the newest `most`, ties by commit_no."""
+    kept = commits if since is None else commits.where(F.col("commit_date") >= since)
+    return kept if most is None else kept.orderBy(F.desc("commit_date"), "commit_no").limit(most)
+
+
+def new_links(memories: DataFrame, commits: DataFrame, least: float = SUGGEST, auto: float = AUTO) -> DataFrame:
+    """(mem_no, commit_no, score, band, paths): links that a record does not have yet.
+
+    Commits whose full_sha a record's links name are left out. band is auto or suggest; paths
+    are the commit's paths that share a word with the record, else its first five.
     """
-    left, right = cut(left), cut(right)
-    seen = right.groupBy("token").agg(F.count("*").alias("seen"))
-    sizes_l = left.groupBy("id").agg(F.sum("w").alias("wa"))
-    sizes_r = right.groupBy("id").agg(F.sum("w").alias("wb"))
-    ranked = left.join(seen, "token", "left").join(sizes_l, "id")
-    before = Window.partitionBy("id").orderBy(F.coalesce("seen", F.lit(0)), "token").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranked.withColumn("before", F.coalesce(F.sum("w").over(before), F.lit(0)))
-    prefix = ranked.where(F.col("before") <= F.col("wa") * (1 - least)).select(F.col("id").alias("a"), "token", "wa")
-    partners = right.join(sizes_r, "id").select(F.col("id").alias("b"), "token", "wb")
-    alike = F.least("wa", "wb") >= least * F.greatest("wa", "wb")
-    sized = prefix.join(partners, "token").where(alike).groupBy("a", "b").agg(F.first("wa").alias("wa"), F.first("wb").alias("wb"))
-    shared = sized.join(left.select(F.col("id").alias("a"), "token", F.col("w").alias("x")), "a").join(right.select(F.col("id").alias("b"), "token", F.col("w").alias("y")), ["b", "token"])
-    sums = shared.groupBy("a", "b").agg(F.sum(F.least("x", "y")).alias("low"), F.first("wa").alias("wa"), F.first("wb").alias("wb"))
-    score = F.col("low") / (F.col("wa") + F.col("wb") - F.col("low"))
-    return sums.select("a", "b", score.alias("score")).where(F.col("score") >= least)
+    bag_m = memory_bag(memories)
+    pairs = linked(bag_m, commit_bag(commits), least)
+    known = memories.select(F.col("mem_no").alias("a"), F.explode("links.implementations.sha").alias("full_sha")).where("full_sha is not null").distinct()
+    sides = pairs.join(commits.select(F.col("commit_no").alias("b"), "full_sha", "paths"), "b").join(known, ["a", "full_sha"], "left_anti")
+    words = bag_m.groupBy(F.col("id").alias("a")).agg(F.collect_set("token").alias("words"))
+    named = sides.join(words, "a")
+    every = F.coalesce("paths", F.array().cast("array<string>"))
+    hit = F.filter(every, lambda p: F.arrays_overlap(jstext.keywords(F.regexp_replace(p, r"[/\\._-]", " ")), F.col("words")))
+    paths = F.when(F.size(hit) > 0, hit).otherwise(F.slice(every, 1, 5))
+    band = F.when(F.col("score") >= auto, "auto").otherwise("suggest")
+    return named.select(F.col("a").alias("mem_no"), F.col("b").alias("commit_no"), rounded(F.col("score")).alias("score"), band.alias("band"), paths.alias("paths"))
 
 
 def rounded(score):

@@ -46,3 +46,97 @@ def index_state(memories: DataFrame, entries: DataFrame) -> DataFrame:
     ids = memories.select(jstext.memory_id(F.col("mem_type"), F.col("title"), F.col("mem_date")).alias("id")).distinct()
     have = entries.where("vector is not null").select("id").distinct()
     return ids.join(have, "id", "left_anti").withColumn("state", F.lit("unindexed")).unionByName(have.join(ids, "id", "left_anti").withColumn("state", F.lit("stale")))
+
+
+def index_updates(memories: DataFrame, entries: DataFrame, model: str) -> DataFrame:
+    """(id, action): add for records without a vector of this model, drop for vectors without record.
+
+    A vector of another model does not count, so that a change of the model adds every record.
+    """
+    ids = memories.select(jstext.memory_id(F.col("mem_type"), F.col("title"), F.col("mem_date")).alias("id")).distinct()
+    have = entries.where("id is not null").groupBy("id").agg(F.max((F.col("model") == model) & F.col("vector").isNotNull()).alias("sound"))
+    add = ids.join(have.where("sound").select("id"), "id", "left_anti").withColumn("action", F.lit("add"))
+    return add.unionByName(have.select("id").join(ids, "id", "left_anti").withColumn("action", F.lit("drop")))
+
+
+def resolve(memories: DataFrame, words: str, undo: bool = False) -> DataFrame:
+    """memories with status set to resolved, or active with undo, where title or file_path contains the words; changed says where it was another."""
+    hit = F.lit(False)
+    for c in ("title", "file_path"):
+        hit = hit | F.coalesce(F.contains(F.lower(c), F.lit(words.lower())), F.lit(False))
+    target = "active" if undo else "resolved"
+    changed = hit & (F.when(F.col("status") == "resolved", "resolved").otherwise("active") != target)
+    return memories.withColumn("changed", changed).withColumn("status", F.when(F.col("changed"), target).otherwise(F.col("status")))
+
+
+def vacuumed(manifest: DataFrame, existing: DataFrame) -> DataFrame:
+    """The rows of a manifest (source_id, path) whose file still exists; conversations without any drop out."""
+    return manifest.join(existing.select("path").distinct(), "path", "left_semi").select("source_id", "path").distinct()
+
+
+def write(memories: DataFrame, folder: str, force: bool = False) -> dict[str, int]:
+    """Writes the records that are new, or with force changed, under folder and returns how many were created, updated and skipped.
+
+    The store is a parquet table of (path, author, mem_type, raw, ...) partitioned by author and
+    type; files of a path that is written anew are replaced with their partition. Of records
+    with one path the lowest mem_no counts. A repeated write of the same records changes nothing.
+    """
+    from pyspark.errors import AnalysisException
+
+    from skein.sources import records
+
+    spark = memories.sparkSession
+    raw = records.rendered(memories).join(paths(memories), "mem_no").join(memories.select("mem_no", "mem_type", "author"), "mem_no")
+    new = raw.groupBy("path").agg(F.min(F.struct("mem_no", "raw", "mem_type", "author")).alias("r")).select("path", F.col("r.raw").alias("content"), F.coalesce("r.mem_type", F.lit("other")).alias("mem_type"), F.split("path", "/")[0].alias("author"))
+    try:
+        old = spark.read.parquet(folder)
+    except AnalysisException:
+        old = spark.createDataFrame([], new.schema)
+    from skein.runtime import cut
+
+    planned = cut(write_actions(new, old.select("path", "content"), force))
+    counts = {r.action: r["count"] for r in planned.groupBy("action").count().collect()}
+    fresh = planned.where("action <> 'skipped'").drop("action")
+    touched = fresh.select("author", "mem_type").distinct()
+    kept = old.join(touched, ["author", "mem_type"], "left_semi").join(fresh.select("path"), "path", "left_anti")
+    merged = cut(fresh.unionByName(kept.select(*fresh.columns)))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("author", "mem_type").parquet(folder)
+    return {a: counts.get(a, 0) for a in ("created", "updated", "skipped")}
+
+
+def save(df: DataFrame, folder: str) -> int:
+    """Writes a table as the next version under folder, so that readers keep what they read, and returns its number."""
+    last = version(df.sparkSession, folder)
+    df.write.mode("overwrite").parquet(f"{folder}/version={(last or 0) + 1}")
+    return (last or 0) + 1
+
+
+def version(spark, folder: str) -> int | None:
+    """The newest complete version under folder, None for none. The folder is listed once."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    names = [s.getPath() for s in fs.listStatus(path)]
+    done = [int(p.getName().split("=")[1]) for p in names if p.getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return max(done, default=None)
+
+
+def load(spark, folder: str, schema: str) -> DataFrame:
+    """The newest version of a table, empty where there is none."""
+    found = version(spark, folder)
+    return spark.createDataFrame([], schema) if found is None else spark.read.schema(schema).parquet(f"{folder}/version={found}")
+
+
+def remember(spark, record: dict, folder: str, vectors: str, embed, model: str) -> str:
+    """Writes one record and its vector, and returns the record's id; an older vector of the id is replaced."""
+    from skein.operators.extraction import embedded
+
+    fields = ("mem_no", "mem_type", "title", "mem_date", "context", "content", "reasoning", "alternatives", "impact", "source_id", "source_title", "source_type", "author", "status")
+    one = spark.createDataFrame([tuple(record.get(f) for f in fields)], "mem_no bigint, " + ", ".join(f"{f} string" for f in fields[1:]))
+    write(one, folder, force=True)
+    text = jstext.embed_text(*(F.col(c) for c in ("mem_type", "title", "content", "context", "reasoning", "impact")))
+    fresh = embedded(one.select(jstext.memory_id(F.col("mem_type"), F.col("title"), F.col("mem_date")).alias("id"), text.alias("text")), "id", "text", embed).withColumn("model", F.lit(model))
+    kept = load(spark, vectors, "id string, vector array<float>, model string").join(fresh.select("id"), "id", "left_anti")
+    save(kept.unionByName(fresh), vectors)
+    return one.select(jstext.memory_id(F.col("mem_type"), F.col("title"), F.col("mem_date"))).first()[0]

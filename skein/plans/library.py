@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import jstext
-from skein.operators import context, dedup, linking, search, similarity, stats, store
+from skein.operators import context, dedup, extraction, linking, search, similarity, stats, store
 from skein.plans import oracle
 from skein.runtime import table
 
@@ -60,28 +58,43 @@ RULES = [
 ]
 
 
-def redact(text, rules=RULES):
-    """(redacted text, {rule: hits}) as columns; every rule works on what the rules before it left."""
-    hits = {}
-    for name, js in rules:
-        p = jstext.pattern(js)
-        hits[name] = F.regexp_count(text, F.lit(p))
-        text = F.regexp_replace(text, p, f"$1<REDACTED:{name}>" if name == "internal-hostname" else f"<REDACTED:{name}>")
-    return text, hits
+#: The default rules; the host rule redacts its host and keeps the mark before it.
+DEFAULT_RULES = [extraction.Rule(n, js) for n, js in RULES[:-1]] + [extraction.Rule(RULES[-1][0], RULES[-1][1].replace("(^|[^A-Za-z0-9])", "(?:^|[^A-Za-z0-9])"), group=1)]
+
+
+def redact(text):
+    """(redacted text, {rule: hits}) as columns."""
+    state = extraction.redaction(text, DEFAULT_RULES)
+    hits = lambda name: F.coalesce(F.get(F.filter(state["hits"], lambda h: h["rule"] == name), F.lit(0))["hits"], F.lit(0))
+    return state["t"], {r.name: hits(r.name) for r in DEFAULT_RULES}
+
+
+def _redacted(spark: SparkSession, d: str) -> DataFrame:
+    """(msg_id, text, hits) of every message with text."""
+    return extraction.redacted(table(spark, d, "chat_messages").where("text is not null").select("msg_id", "text"), "text", DEFAULT_RULES)
 
 
 def redacted(spark: SparkSession, d: str) -> DataFrame:
     """Every message's redacted text as digest, with its number of hits."""
-    text, hits = redact(F.col("text"))
-    rows = table(spark, d, "chat_messages").where("text is not null")
-    return rows.select("msg_id", reduce(lambda a, b: a + b, hits.values()).cast("bigint").alias("hits"), F.md5(text).alias("digest"))
+    total = F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, h: a + h["hits"])
+    return _redacted(spark, d).select("msg_id", total.alias("hits"), F.md5("text").alias("digest"))
 
 
 def redaction_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Hits of every redaction rule over all messages."""
-    _, hits = redact(F.col("text"))
-    sums = table(spark, d, "chat_messages").where("text is not null").agg(*(F.sum(c).alias(n) for n, c in hits.items()))
-    return sums.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.coalesce(F.col(f"`{n}`"), F.lit(0)).alias("hits")) for n in hits))).alias("r")).select("r.rule", "r.hits")
+    """Hits of every redaction rule over all messages, 0 for rules that never matched."""
+    found = _redacted(spark, d).select(F.explode("hits").alias("h")).groupBy("h.rule").agg(F.sum("h.hits").alias("n"))
+    names = spark.createDataFrame([(r.name,) for r in DEFAULT_RULES], "rule string")
+    return names.join(found, "rule", "left").select("rule", F.coalesce("n", F.lit(0)).alias("hits"))
+
+
+def redacted_chars(spark: SparkSession, d: str) -> DataFrame:
+    """Characters that every redaction rule replaced over all messages, for rules that matched."""
+    return _redacted(spark, d).select(F.explode("hits").alias("h")).groupBy("h.rule").agg(F.sum("h.chars").alias("chars"))
+
+
+def redaction_trails(spark: SparkSession, d: str) -> DataFrame:
+    """The audit trail of every message in which something was redacted."""
+    return _redacted(spark, d).where("size(hits) > 0").select("msg_id", extraction.audit_trail(F.col("hits")).alias("trail"))
 
 
 def titles(spark: SparkSession, d: str) -> DataFrame:
@@ -235,6 +248,8 @@ QUERIES = {
     "proj05_conversation_text": conversation_text,
     "t01_cleaned": cleaned,
     "t05_redacted": redacted,
+    "t05_chars": redacted_chars,
+    "t07_trails": redaction_trails,
     "a08_redaction_hits": redaction_hits,
     "k05_titles": titles,
     "proj02_embed_texts": embed_texts,

@@ -147,8 +147,10 @@ def staged(rules: list[tuple[str, str]]) -> str:
     inner, hits = "SELECT msg_id, text AS t FROM chat_messages WHERE text IS NOT NULL", []
     for i, (name, js) in enumerate(rules):
         new = q((chr(92) + "1" if name == "internal-hostname" else "") + f"<REDACTED:{name}>")
-        carried = "".join(f", h{j}" for j in range(i))
-        inner = f"SELECT msg_id, regexp_replace(t, {q(re2(js))}, {new}, 'g') AS t{carried}, {count('t', js)} AS h{i} FROM ({inner})"
+        carried = "".join(f", h{j}, c{j}" for j in range(i))
+        group = 2 if name == "internal-hostname" else 0
+        chars = f"coalesce(list_sum(list_transform(regexp_extract_all(t, {q(re2(js))}, {group}), lambda x: length(x))), 0)"
+        inner = f"SELECT msg_id, regexp_replace(t, {q(re2(js))}, {new}, 'g') AS t{carried}, {count('t', js)} AS h{i}, {chars} AS c{i} FROM ({inner})"
         hits.append(f"h{i}")
     return inner
 
@@ -173,6 +175,8 @@ def build(rules: list[tuple[str, str]]) -> dict[str, str]:
         "t01_cleaned": f"SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS digest FROM (SELECT doc_id, {denoised('text')} AS t FROM documents WHERE text IS NOT NULL)",
         "t05_redacted": f"SELECT msg_id, ({' + '.join(f'h{i}' for i in range(n))})::BIGINT AS hits, md5(t) AS digest FROM ({chain})",
         "a08_redaction_hits": " UNION ALL ".join(f"SELECT {q(name)} AS rule, coalesce(sum(h{i}), 0)::BIGINT AS hits FROM c" for i, (name, _) in enumerate(rules)).join([f"WITH c AS ({chain}) ", ""]),
+        "t05_chars": f"WITH c AS ({chain}) SELECT * FROM (" + " UNION ALL ".join(f"SELECT {q(name)} AS rule, coalesce(sum(c{i}), 0)::BIGINT AS chars FROM c" for i, (name, _) in enumerate(rules)) + ") WHERE chars > 0",
+        "t07_trails": f"SELECT msg_id, '[redacted: ' || concat_ws(', ', " + ", ".join(f"CASE WHEN h{i} > 0 THEN h{i} || {q(' ' + name)} END" for i, (name, _) in enumerate(rules)) + f") || ']' AS trail FROM ({chain}) WHERE {' + '.join(f'h{i}' for i in range(n))} > 0",
         "k05_titles": f"""SELECT mem_no, regexp_replace(regexp_replace(lower(title), '^(?:{jstext.TITLE_VERBS})[{WS}]+', ''), '[^A-Za-z0-9_{HAN}]', '', 'g') AS normal, {slug('title')} AS slug, {ID} AS id,
           substring(regexp_replace(coalesce(mem_type, '') || ':' || coalesce(mem_date, '') || ':' || coalesce(title, ''), '[^a-zA-Z0-9:{HAN}\\-]', '_', 'g'), 1, 120) AS node FROM memories WHERE title IS NOT NULL""",
         "proj02_embed_texts": """SELECT mem_no, length(t)::BIGINT AS n_chars, md5(t) AS digest FROM (SELECT mem_no, substring(concat_ws(chr(10), '[' || coalesce(mem_type, '') || '] ' || coalesce(title, ''), coalesce(content, ''),

@@ -8,10 +8,10 @@ import pytest
 
 import __spark_entry__ as entry
 from skein.functions import jstext
-from skein.plans import library, records
+from skein.plans import desk, library, records
 
 D = "/root/testdata/sf0.001"
-OWN = {name: sql for m in (library, records) for name, sql in getattr(m, "SQL", {}).items()}
+OWN = {name: sql for m in (library, records, desk) for name, sql in getattr(m, "SQL", {}).items()}
 
 
 @pytest.fixture(scope="module")

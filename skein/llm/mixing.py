@@ -103,19 +103,18 @@ def select(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     text that is left.
     """
     rows, goals = sampled(documents, targets, total_tokens, seed)
-    light = rows.where(F.col("whole") < F.col("max_repeats")).select("own", "digest", "n_tokens", "rank", "bin")
-    gaps = rows.groupBy("own").agg(F.first("rest").alias("gap"))
+    open_ = rows.where(F.col("whole") < F.col("max_repeats")).select("own", "digest", "n_tokens", "rank", "bin", F.col("rest").alias("gap"))
     chosen = None
     while True:
-        left = light if chosen is None else light.join(chosen, ["own", "digest"], "left_anti")
-        fitting = left.join(gaps, "own").where(F.col("n_tokens") <= F.col("gap"))
-        running = with_running(fitting, "own", F.col("bin"), ["rank", "digest"], F.col("n_tokens"), "so_far")
-        taken = cut(running.where(F.col("so_far") + F.col("n_tokens") <= F.col("gap")).select("own", "digest", "n_tokens"))
+        fitting = open_.where(F.col("n_tokens") <= F.col("gap"))
+        running = cut(with_running(fitting, "own", F.col("bin"), ["rank", "digest"], F.col("n_tokens"), "so_far").withColumn("taken", F.col("so_far") + F.col("n_tokens") <= F.col("gap")))
+        taken = running.where("taken")
         if taken.isEmpty():
             break
-        used = taken.groupBy("own").agg(F.sum("n_tokens").alias("used"))
-        gaps = cut(gaps.join(used, "own", "left").select("own", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")))
         chosen = taken.select("own", "digest") if chosen is None else chosen.unionByName(taken.select("own", "digest"))
+        used = taken.groupBy("own").agg(F.sum("n_tokens").alias("used"))
+        left = running.where("not taken").join(used, "own", "left")
+        open_ = left.select("own", "digest", "n_tokens", "rank", "bin", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
     extra = rows.withColumn("extra", F.lit(None).cast("int")) if chosen is None else rows.join(chosen.withColumn("extra", F.lit(1)), ["own", "digest"], "left")
     copies = (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int")
     return extra.select("mix_name", "source", "doc_id", "n_tokens", copies.alias("copies")).where("copies > 0"), goals

@@ -42,12 +42,12 @@ def test_empty(spark):
 
 def test_inclusion_follows_the_size_of_each_text(spark):
     docs = [(f"t{i} " + "word " * (1 + i * i % 61), "big") for i in range(400)] + [("huge " + "word " * 4000, "big"), ("x " * 50, "small")]
-    rows, _ = mixing.sampled(*make(spark, docs, [("m", "big", 9.0, 1), ("m", "small", 1.0, 40)]))
+    rows, _ = mixing.sampled(*make(spark, docs, [("m", "big", 9.0, 1), ("m", "small", 1.0, 20)]))
     got = [r for r in rows.where("source = 'big'").collect()]
     assert abs(sum(r.inclusion * r.n_tokens for r in got) - got[0].rest) < 1e-6 * got[0].rest + 1e-6
     open_ = [r for r in got if r.inclusion < 1]
     slopes = [r.inclusion / r.n_tokens for r in open_]
     assert len(open_) >= 400 and max(slopes) - min(slopes) < 1e-9 and all(r.n_tokens >= max(o.n_tokens for o in open_) for r in got if r.inclusion == 1)
-    chosen, _ = mixing.select(*make(spark, docs, [("m", "big", 9.0, 1), ("m", "small", 1.0, 40)]))
+    chosen, _ = mixing.select(*make(spark, docs, [("m", "big", 9.0, 1), ("m", "small", 1.0, 20)]))
     sizes = [r.n_tokens for r in chosen.where("source = 'big' and n_tokens < 1000").collect()]
     assert sum(sizes) / len(sizes) > 1.1 * sum(o.n_tokens for o in open_) / len(open_)

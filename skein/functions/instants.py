@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from datetime import UTC, date, datetime, timedelta, timezone
-from decimal import Decimal, InvalidOperation
+from decimal import Decimal
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
@@ -85,12 +85,12 @@ def parse(raw: str | None, zone: str | None, day_first: bool | None, as_day: boo
     if raw is None:
         return None
     text = raw.strip().strip("﻿").strip()
-    if not text or len(text) > 80:
+    if not text:
         return None
     if NUMBER.fullmatch(text):
         try:
             ms = epoch_ms(Decimal(text))
-        except (InvalidOperation, OverflowError):
+        except (ArithmeticError, OverflowError):
             return None
         if ms is not None:
             return norm_instant(ms)[:10] if as_day else norm_instant(ms)

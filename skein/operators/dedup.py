@@ -75,13 +75,9 @@ def against(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     n, o = similarity.shingle_sets(new, key, "mem_type", "content"), similarity.shingle_sets(old, key, "mem_type", "content")
     cn, co = cut(similarity.classes(n)), cut(similarity.classes(o))
     digest = lambda df: df.withColumn("d", F.md5(F.array_join(F.transform("grams", lambda g: g.cast("string")), ",")))
-    inside = similarity.contained_in(cn, co, CONTAINED).select("a")
-    both = cn.withColumn("side", F.lit(0)).unionByName(co.withColumn("side", F.lit(1)))
-    tagged = both.select(F.concat_ws("/", F.col("side").cast("string"), F.col("rep").cast("string")).alias("rep"), "grp", "copies", "grams")
-    pairs = similarity.similar_pairs(tagged).where(F.col("jaccard") > JACCARD)
-    ends = pairs.select(F.split("a", "/").alias("p"), F.split("b", "/").alias("q"))
-    across = ends.where(F.col("p")[0] != F.col("q")[0]).select(F.when(F.col("p")[0] == "0", F.col("p")[1]).otherwise(F.col("q")[1]).alias("a"))
-    reps = inside.select(F.col("a").cast("string").alias("a")).unionByName(across).distinct()
+    # more than JACCARD of both sets together is more than JACCARD of the new one
+    found = similarity.met_in(cn, co, JACCARD).where((F.col("jaccard") > JACCARD) | (F.col("contained") > CONTAINED))
+    reps = found.select(F.col("a").cast("string").alias("a")).distinct()
     bad = digest(cn).join(reps, F.col("rep").cast("string") == F.col("a"), "left_semi").select("grp", "d")
     gone = digest(n).join(bad.select(F.col("grp").alias("bg"), F.col("d").alias("bd")), F.col("grp").eqNullSafe(F.col("bg")) & (F.col("d") == F.col("bd")), "left_semi").select(F.col("id").alias("__gone"))
     return new.join(gone, F.col(key) == F.col("__gone"), "left_anti")

@@ -195,6 +195,16 @@ def session_table(rows: DataFrame, node: str, key: str) -> DataFrame:
     )
 
 
+def other_leaves(rows: DataFrame, key: str) -> DataFrame:
+    """(key, node, ordinals, leaf, value) of the leaves of shredded sessions that session_table has no column for, so that nothing of a record is lost."""
+    used = {node: [path for path, _ in columns.values()] for node, columns in SESSION_COLUMNS.items()}
+    used["request"] = used["request"] + ["message"]
+    used["reply"] = used["reply"] + ["value.value", "value", "result.value"]
+    taken = F.create_map(*(x for node, paths in used.items() for x in (F.lit(node), F.array(*(F.lit(p) for p in paths)))))
+    left = F.map_filter("leaves", lambda k, _: ~F.array_contains(F.element_at(taken, F.col("node")), k))
+    return rows.select(F.col("key").alias(key), "node", "ordinals", F.explode(left).alias("leaf", "value"))
+
+
 def session_nodes(files: DataFrame) -> DataFrame:
     """(file_id, node, request_ord, child_ord, leaf_ord) of every node below a file's session; -1 for no ordinal."""
     rows = shred(files, "file_id", "raw", leaves=False).where("node <> 'session'")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import jstext
@@ -56,3 +56,75 @@ def hybrid(memories: DataFrame, words: list[str], as_of: str, similarities: Data
     score = SEMANTIC * F.col("semantic") + KEYWORD * F.col("keyword") + RECENCY * F.col("recency") if top.sem_top else KEYWORD_ONLY * F.col("keyword") + RECENCY * F.col("recency")
     kept = rows.where((F.col("kw") > 0) | (F.col("semantic") > LEAST_SEMANTIC))
     return kept.select(key, score.alias("score"), "semantic", "keyword", "recency").orderBy(F.desc("score"), key).limit(limit)
+
+
+def many_vector_top(queries: DataFrame, entries: DataFrame, k: int, rows_a_block: int = 4_000, queries_a_block: int = 500) -> DataFrame:
+    """(query, id, similarity): the k entries most similar to each query vector, itself not counted; ties by id.
+
+    Both tables have (id, vector). Blocks of queries meet blocks of entries in tasks of their own;
+    a task gives k rows a query, so no list of all pairs exists. Vectors of another length, and
+    null and zero vectors, are no neighbours.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def spread(df: DataFrame, rows: int, name: str) -> tuple[DataFrame, int]:
+        blocks = max(1, -(-df.count() // rows))
+        return df.select("id", F.transform("vector", lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias(name)).where("v is not null"), blocks
+
+    (q, n_q), (c, n_c) = spread(queries, queries_a_block, "qb"), spread(entries, rows_a_block, "cb")
+    numbers = lambda n, name: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias(name)
+    q = q.select("id", "v", "qb", numbers(n_c, "cb"))
+    c = c.select("id", "v", "cb", numbers(n_q, "qb"))
+
+    def best(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for size, part in qs.groupby(qs["v"].map(len)):
+            own = cs[cs["v"].map(len) == size].sort_values("id")
+            if not size or own.empty:
+                continue
+            x, y = np.stack(part["v"].to_numpy()), np.stack(own["v"].to_numpy())
+            nx, ny = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
+            part, x, nx = part[nx > 0], x[nx > 0], nx[nx > 0]
+            own, y, ny = own[ny > 0], y[ny > 0], ny[ny > 0]
+            ids = own["id"].to_numpy()
+            for name, row, norm in zip(part["id"], x, nx):
+                s = np.round(y @ row / (ny * norm), 10)
+                order = np.argsort(-s, kind="stable")[: k + 1]
+                out += [(name, ids[j], float(s[j])) for j in order if ids[j] != name][:k]
+        return pd.DataFrame(out, columns=["query", "id", "similarity"])
+
+    own = lambda df: df.select("qb", "cb", "id", "v").groupBy("qb", "cb")
+    found = own(q).cogroup(own(c)).applyInPandas(best, "query string, id string, similarity double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
+    return found.withColumn("__p", place).where(F.col("__p") <= k).drop("__p")
+
+
+def many_keyword_top(queries: DataFrame, memories: DataFrame, as_of: str, k: int, key: str = "mem_no", queries_a_block: int = 50) -> DataFrame:
+    """(query, key, score, keyword): the k best active records by keywords and age for each query (query, text); ties by key.
+
+    Keyword scores are divided by the greatest of their query; records without a keyword are left
+    out. Every record meets the queries block by block, as one array a block, so that a record
+    is lowered once and rows that do not match never leave their task.
+    """
+    words = queries.select("query", jstext.keywords(F.col("text")).alias("words"))
+    blocks = max(1, -(-words.count() // queries_a_block))
+    packed = words.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("query", "words")).alias("queries"))
+    lowered = lambda c: F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"l_{c}")
+    fields = {**jstext.FIELD_WEIGHTS, "mem_type": None}
+    rows = active(memories).select(key, jstext.recency(F.col("mem_date"), as_of).alias("recency"), *(lowered(c) for c in fields), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
+
+    def points(word):
+        bonus = F.when(F.length(word) >= 3, 2.0).when(F.length(word) == 2, 1.2).otherwise(1.0)
+        hit = lambda c, w: F.when(F.contains(F.col(f"l_{c}"), word), w).otherwise(0.0)
+        total = hit("mem_type", F.lit(jstext.TYPE_WEIGHT))
+        for c, weight in jstext.FIELD_WEIGHTS.items():
+            total = total + hit(c, F.lit(weight) * bonus)
+        return total
+
+    score = lambda q: F.struct(q["query"].alias("query"), F.aggregate(q["words"], F.lit(0.0), lambda s, w: s + points(w)).alias("kw"))
+    met = rows.join(packed, "block").select(key, "recency", F.explode(F.filter(F.transform("queries", score), lambda x: x["kw"] > 0)).alias("m")).select("m.query", key, "recency", "m.kw")
+    top = met.groupBy(F.col("query").alias("__q")).agg(F.max("kw").alias("top"))
+    scored = met.join(top, F.col("query") == F.col("__q")).withColumn("keyword", F.col("kw") / F.col("top")).withColumn("score", KEYWORD_ONLY * F.col("keyword") + RECENCY * F.col("recency"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
+    return scored.withColumn("__p", place).where(F.col("__p") <= k).select("query", key, "score", "keyword")

@@ -37,14 +37,19 @@ def classes(sets: DataFrame) -> DataFrame:
 EARLY = 0.1
 
 
-def prefixes(sets: DataFrame, share: float = SHARE) -> DataFrame:
-    """(grp, rep, n, need, gram): the rarest grams of each set, so many that a set sharing `share` of it shares `need` of them."""
+def prefixes(sets: DataFrame, share: float = SHARE, partners: DataFrame | None = None) -> DataFrame:
+    """(grp, rep, n, need, gram): the rarest grams of each set, so many that a set sharing `share` of it shares `need` of them.
+
+    Rarity counts among partners, the sets to be met (by default the sets themselves); grams that no partner has come first.
+    """
     each = sets.select("grp", "rep", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    seen = each.groupBy(F.col("grp").alias("sg"), F.col("gram").alias("sm")).agg(F.count("*").alias("seen"))
+    met = each if partners is None else partners.select("grp", F.explode("grams").alias("gram"))
+    seen = met.groupBy(F.col("grp").alias("sg"), F.col("gram").alias("sm")).agg(F.count("*").alias("seen"))
     by_rarity = Window.partitionBy("grp", "rep").orderBy("seen", "gram")
-    ranked = each.join(seen, (F.col("gram") == F.col("sm")) & F.col("grp").eqNullSafe(F.col("sg"))).select("grp", "rep", "n", "gram", "seen")
+    joined = each.join(seen, (F.col("gram") == F.col("sm")) & F.col("grp").eqNullSafe(F.col("sg")), "inner" if partners is None else "left")
+    ranked = joined.select("grp", "rep", "n", "gram", F.coalesce("seen", F.lit(0)).alias("seen"))
     ranked = ranked.withColumn("place", F.row_number().over(by_rarity)).withColumn("need", F.ceil(F.col("n") * EARLY))
-    return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share) + F.col("need")).select("grp", "rep", "n", "need", "gram")
+    return ranked.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * share) + F.col("need")) & (F.col("seen") > 0)).select("grp", "rep", "n", "need", "gram")
 
 
 def similar_pairs(sets: DataFrame) -> DataFrame:
@@ -66,16 +71,24 @@ def similar_pairs(sets: DataFrame) -> DataFrame:
     return scored.where((F.col("jaccard") > JACCARD) | (F.col("contained") > CONTAINED))
 
 
-def contained_in(new: DataFrame, old: DataFrame, bound: float) -> DataFrame:
-    """(a, b, contained): classes a of new whose grams are contained by more than `bound` in a class b of old of the same group.
+def met_in(new: DataFrame, old: DataFrame, share: float) -> DataFrame:
+    """(a, b, jaccard, contained) of classes a of new and b of old, of one group, that share `share` or more of a's grams. Exact.
 
-    Directed and exact; the sizes of the two sets do not matter.
+    Only new meets old: the prefixes are those of new, by rarity in old.
     """
     new, old = cut(new), cut(old)
-    small = prefixes(new, bound).select(F.col("grp").alias("ga"), F.col("rep").alias("a"), "need", "gram")
+    small = prefixes(new, share, old).select(F.col("grp").alias("ga"), F.col("rep").alias("a"), "need", "gram")
     every = old.select(F.col("grp").alias("gb"), F.col("rep").alias("b"), F.explode("grams").alias("gram_b"))
     met = small.join(every, (F.col("gram") == F.col("gram_b")) & F.col("ga").eqNullSafe(F.col("gb"))).groupBy("a", "b").agg(F.count("*").alias("found"), F.first("need").alias("need"))
     candidates = met.where(F.col("found") >= F.col("need")).select("a", "b")
     left, right = new.select(F.col("rep").alias("a"), F.col("grams").alias("x")), old.select(F.col("rep").alias("b"), F.col("grams").alias("y"))
-    scored = candidates.join(left, "a").join(right, "b").select("a", "b", jstext.containment(F.col("x"), F.col("y")).alias("contained"))
-    return scored.where(F.col("contained") > bound)
+    scored = candidates.join(left, "a").join(right, "b").select("a", "b", jstext.jaccard(F.col("x"), F.col("y")).alias("jaccard"), jstext.containment(F.col("x"), F.col("y")).alias("contained"))
+    return scored.where(F.col("contained") >= share)
+
+
+def contained_in(new: DataFrame, old: DataFrame, bound: float) -> DataFrame:
+    """(a, b, contained): classes a of new whose grams are contained by more than `bound` in a class b of old of the same group.
+
+    Directed and exact; the sizes of the two sets do not matter.
+    """
+    return met_in(new, old, bound).where(F.col("contained") > bound).select("a", "b", "contained")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from skein.functions import instants
 from skein.functions.instants import parse
 from skein.operators.nested import last_session
-from skein.runtime import shared_dir
+from skein.runtime import cut, shared_dir
 
 KEY = ("raw", "zone", "day_first", "as_day")
 DICTIONARY = "raw string, zone string, day_first boolean, as_day boolean, norm string"
@@ -40,11 +40,12 @@ def parse_distinct(values: DataFrame) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, values: DataFrame, path: str | None) -> DataFrame:
-    """The dictionary of all `values`, extended at `path` by those it does not have.
+    """(KEY, norm) of the distinct `values`, from the dictionary at `path`, which is extended by those it does not have.
 
     path=None keeps it in the shared folder, under the digest of the parser's source, so that
-    no version of the parser reads what another one wrote. Two jobs that append at once may
-    write a value twice; reading drops such repeats.
+    no version of the parser reads what another one wrote. The dictionary is read once and
+    never shuffled as a whole beyond the join with the values. Two jobs that append at once may
+    write a value twice; such repeats are dropped from the values that meet them.
     """
     version = hashlib.sha256(inspect.getsource(instants).encode()).hexdigest()[:16]
     path = path or f"{shared_dir(spark).rstrip('/')}/skein_times/{version}"
@@ -54,11 +55,14 @@ def dictionary(spark: SparkSession, values: DataFrame, path: str | None) -> Data
         condition = match[0]
         for m in match[1:]:
             condition &= m
-        fresh = values.alias("v").join(known.alias("k"), condition, "left_anti")
+        joined = values.alias("v").join(known.withColumn("hit", F.lit(True)).alias("k"), condition, "left").select(*(F.col(f"v.{c}").alias(c) for c in KEY), "k.norm", "k.hit")
+        met = cut(joined.dropDuplicates(list(KEY)))
+        old, fresh = met.where("hit").drop("hit"), met.where("hit is null")
     except AnalysisException:
-        fresh = values
-    parse_distinct(fresh).write.mode("append").parquet(path)
-    return spark.read.schema(DICTIONARY).parquet(path).dropDuplicates(list(KEY))
+        old, fresh = None, values
+    parsed = cut(parse_distinct(fresh))
+    parsed.write.mode("append").parquet(path)
+    return parsed if old is None else old.unionByName(parsed)
 
 
 def normalise(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -99,7 +103,7 @@ def written_times(commits: DataFrame, metas: DataFrame, files: DataFrame, memori
 
     def part(df: DataFrame, src: str, key: str, raw: str, people: DataFrame, as_day: bool = False) -> DataFrame:
         named = df.select(F.lit(src).alias("src"), F.col(key).cast("bigint").alias("row_id"), F.col(raw).alias("raw"), F.col("author").alias("__author"))
-        joined = named.join(F.broadcast(people), F.col("__author") == F.col("__a"), "left")
+        joined = named.join(people, F.col("__author") == F.col("__a"), "left")
         return joined.select("src", "row_id", "raw", "zone", "day_first", F.lit(as_day).alias("as_day"))
 
     return (

@@ -24,6 +24,12 @@ def _backup(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(incoming), df.where(~incoming)
 
 
+def _arrivals(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records dated 2025 or later, as written, and backup copies as the incoming side, the others as the stored side."""
+    incoming = (F.coalesce("mem_date", F.lit("")) >= "2025") | F.coalesce(F.startswith("file_path", F.lit("backup/")), F.lit(False))
+    return df.where(incoming), df.where(~incoming)
+
+
 def conversation_text(spark: SparkSession, d: str) -> DataFrame:
     """Turns, characters and approximate tokens of every conversation's cleaned text.
 
@@ -157,6 +163,28 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("mem_no", *(F.round(c, 6).alias(c) for c in ("score", "semantic", "keyword", "recency")))
 
 
+def _sound_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """(id, vector): one sound vector of every id."""
+    entries = table(spark, d, "vector_entries")
+    sound = entries.where("id is not null and vector is not null").where(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    return sound.groupBy("id").agg(F.min("vector").alias("vector"))
+
+
+def every_vector_search(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 entries nearest to each entry whose id, read as a number by its first seven digits, is divisible by 50."""
+    one = _sound_vectors(spark, d)
+    queries = one.where(F.conv(F.substring("id", 1, 7), 16, 10).cast("bigint") % 50 == 0)
+    return search.many_vector_top(queries, one, 10).select("query", "id", F.round("similarity", 6).alias("similarity"))
+
+
+def every_keyword_search(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 best records for the title of each record whose number is divisible by 50."""
+    m = _memories(spark, d)
+    queries = m.where("mem_no % 50 = 0 and title is not null").select(F.col("mem_no").alias("query"), F.col("title").alias("text"))
+    found = search.many_keyword_top(queries, m, AS_OF, 20)
+    return found.select("query", "mem_no", F.round("score", 6).alias("score"), F.round("keyword", 6).alias("keyword"))
+
+
 def similar_records(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of class representatives of one type with similar contents."""
     sets = similarity.classes(similarity.shingle_sets(_memories(spark, d), "mem_no", "mem_type", "content"))
@@ -173,13 +201,15 @@ def similar_classes(spark: SparkSession, d: str) -> DataFrame:
 
 def new_records(spark: SparkSession, d: str) -> DataFrame:
     """Incoming records that no stored record of their type repeats."""
-    new, old = _backup(_memories(spark, d))
+    new, old = _arrivals(_memories(spark, d))
     return dedup.against(new, old, "mem_no").select("mem_no")
 
 
 def todos_left(spark: SparkSession, d: str) -> DataFrame:
-    """Records without todos that an anchor record of their conversation contains."""
-    return dedup.without_repeated_todos(_memories(spark, d), "mem_no", "source_id").select("mem_no")
+    """Records without todos that an anchor record of their conversation contains; backup copies are taken for decisions, so that some are."""
+    backup = F.coalesce(F.startswith("file_path", F.lit("backup/")), F.lit(False))
+    rows = _memories(spark, d).withColumn("mem_type", F.when(backup, "decision").otherwise(F.col("mem_type")))
+    return dedup.without_repeated_todos(rows, "mem_no", "source_id").select("mem_no")
 
 
 def commit_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -192,7 +222,7 @@ def commit_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def write_actions(spark: SparkSession, d: str) -> DataFrame:
     """How many incoming records would be created or skipped, by path."""
-    new, old = _backup(_memories(spark, d))
+    new, old = _arrivals(_memories(spark, d))
     at = lambda df: store.paths(df).join(df.select("mem_no", "content"), "mem_no")
     return store.write_actions(at(new), at(old)).groupBy("action").agg(F.count("*").alias("n"))
 
@@ -259,6 +289,8 @@ QUERIES = {
     "r06_keyword_search": keyword_search,
     "r04_vector_search": vector_search,
     "r05_hybrid_search": hybrid_search,
+    "r04_every_vector_search": every_vector_search,
+    "r06_every_keyword_search": every_keyword_search,
     "j05_similar_records": similar_records,
     "j05_similar_classes": similar_classes,
     "d05_new_records": new_records,

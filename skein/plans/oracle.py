@@ -99,6 +99,7 @@ def author_slug(text: str) -> str:
 
 ID = "substring(sha256(coalesce(mem_type, '') || ':' || coalesce(title, '') || ':' || coalesce(mem_date, '')), 1, 16)"
 BACKUP = "coalesce(starts_with(file_path, 'backup/'), false)"
+ARRIVED = f"(coalesce(mem_date, '') >= '2025' OR {BACKUP})"
 ACTIVE = "coalesce(status, 'active') <> 'resolved'"
 SOUND = "vector IS NOT NULL AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 SETS = f"sets AS (SELECT mem_type AS grp, mem_no AS id, {shingles('content')} AS grams FROM memories), cls AS (SELECT grp, grams, min(id) AS rep, count(*) AS copies FROM sets WHERE len(grams) > 0 GROUP BY grp, grams)"
@@ -130,7 +131,7 @@ MEM_BAG = bag([("", "title", 3), ("", "mem_type", 2), ("", "substring(content, 1
 COM_BAG = bag([("", "subject", 3), ("(SELECT commit_no, regexp_replace(unnest(paths), '[/\\\\._-]', ' ', 'g') AS p FROM commits)", "p", 2), ("", "substring(body, 1, 500)", 1), ("", "author", 1)], "commits", "commit_no")
 PATHS = f"""SELECT mem_no, content, coalesce(nullif({author_slug('author')}, ''), 'unknown') || '/' ||
   CASE mem_type WHEN 'decision' THEN 'decisions' WHEN 'architecture' THEN 'architecture' WHEN 'convention' THEN 'conventions' WHEN 'todo' THEN 'todos' WHEN 'issue' THEN 'issues' ELSE 'other' END || '/' ||
-  coalesce(mem_date, '') || '-' || {slug('title')} || '.md' AS path, {BACKUP} AS fresh FROM memories"""
+  coalesce(mem_date, '') || '-' || {slug('title')} || '.md' AS path, {ARRIVED} AS fresh FROM memories"""
 KEY = f"coalesce(author, '') || '|' || coalesce(mem_type, '') || '|' || coalesce(mem_date, '') || '|' || lower({trim(chr(99) + 'oalesce(title, ' + chr(39) * 2 + ')')})"
 
 
@@ -192,14 +193,21 @@ def build(rules: list[tuple[str, str]]) -> dict[str, str]:
           s AS (SELECT mem_no, kw, recency, st, CASE WHEN kt > 0 THEN kw / kt ELSE 0 END AS keyword, CASE WHEN st > 0 THEN sem / st ELSE 0 END AS semantic FROM j, m),
           t AS (SELECT *, CASE WHEN st > 0 THEN 0.55::DOUBLE * semantic + 0.3::DOUBLE * keyword + 0.15::DOUBLE * recency ELSE 0.85::DOUBLE * keyword + 0.15::DOUBLE * recency END AS total FROM s WHERE kw > 0 OR semantic > 0.3)
           SELECT mem_no, round(total, 6) AS score, round(semantic, 6) AS semantic, round(keyword, 6) AS keyword, round(recency, 6) AS recency FROM t ORDER BY total DESC, mem_no LIMIT 20""",
+        "r04_every_vector_search": f"""WITH v AS (SELECT id, min(vector)::DOUBLE[] AS vector FROM vector_entries WHERE id IS NOT NULL AND {SOUND} GROUP BY id),
+          p AS (SELECT a.id AS query, b.id AS id, round(list_cosine_similarity(a.vector, b.vector), 10) AS s FROM v a JOIN v b ON len(a.vector) = len(b.vector) AND a.id <> b.id WHERE ('0x' || substring(a.id, 1, 7))::BIGINT % 50 = 0 AND len(list_filter(a.vector, lambda x: x <> 0)) > 0 AND len(list_filter(b.vector, lambda x: x <> 0)) > 0)
+          SELECT query, id, round(s, 6) AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, id) <= 10""",
+        "r06_every_keyword_search": f"""WITH q AS (SELECT mem_no AS query, unnest({keywords('title')}) AS w FROM memories WHERE mem_no % 50 = 0 AND title IS NOT NULL), k AS (SELECT *, {RECENT} AS recency FROM memories WHERE {ACTIVE}),
+          p AS (SELECT query, mem_no, any_value(recency) AS recency, sum({' + '.join(f"CASE WHEN contains(lower(coalesce({f}, '')), w) THEN {x}::DOUBLE * CASE WHEN length(w) >= 3 THEN 2 WHEN length(w) = 2 THEN 1.2 ELSE 1 END ELSE 0 END" for f, x in jstext.FIELD_WEIGHTS.items())} + CASE WHEN contains(lower(coalesce(mem_type, '')), w) THEN {jstext.TYPE_WEIGHT}::DOUBLE ELSE 0 END) AS kw FROM q, k GROUP BY 1, 2),
+          s AS (SELECT *, kw / max(kw) OVER (PARTITION BY query) AS keyword FROM p WHERE kw > 0), t AS (SELECT *, 0.85::DOUBLE * keyword + 0.15::DOUBLE * recency AS total FROM s)
+          SELECT query, mem_no, round(total, 6) AS score, round(keyword, 6) AS keyword FROM t QUALIFY row_number() OVER (PARTITION BY query ORDER BY total DESC, mem_no) <= 20""",
         "j05_similar_records": f"""WITH {SETS}, p AS (SELECT x.grp, x.rep AS a, y.rep AS b, len(x.grams) AS na, len(y.grams) AS nb, len(list_intersect(x.grams, y.grams)) AS s FROM cls x JOIN cls y ON x.grp IS NOT DISTINCT FROM y.grp AND x.rep < y.rep),
           r AS (SELECT *, s / (na + nb - s) AS j, s / least(na, nb) AS c FROM p) SELECT grp, a, b, round(j, 6) AS jaccard, round(c, 6) AS contained FROM r WHERE j > 0.55 OR c > 0.75""",
         "j05_similar_classes": f"WITH {SETS} SELECT id AS mem_no, rep, copies::BIGINT AS copies FROM sets JOIN cls ON sets.grp IS NOT DISTINCT FROM cls.grp AND sets.grams = cls.grams",
-        "d05_new_records": f"""WITH s AS (SELECT mem_no, mem_type, {shingles('content')} AS g, {BACKUP} AS fresh FROM memories), o AS (SELECT DISTINCT mem_type, g FROM s WHERE NOT fresh AND len(g) > 0)
+        "d05_new_records": f"""WITH s AS (SELECT mem_no, mem_type, {shingles('content')} AS g, {ARRIVED} AS fresh FROM memories), o AS (SELECT DISTINCT mem_type, g FROM s WHERE NOT fresh AND len(g) > 0)
           SELECT mem_no FROM s WHERE fresh AND NOT EXISTS (SELECT 1 FROM o WHERE o.mem_type IS NOT DISTINCT FROM s.mem_type AND len(s.g) > 0 AND
           (len(list_intersect(s.g, o.g)) / (len(s.g) + len(o.g) - len(list_intersect(s.g, o.g))) > 0.55 OR len(list_intersect(s.g, o.g)) / len(s.g) > 0.75))""",
-        "d06_todos_left": f"""WITH t AS (SELECT mem_no, source_id, {shingles("concat_ws(' ', title, content)")} AS g FROM memories WHERE mem_type = 'todo'),
-          a AS (SELECT source_id, {shingles("concat_ws(' ', title, content, reasoning)")} AS g FROM memories WHERE mem_type IN ('decision', 'architecture', 'convention'))
+        "d06_todos_left": f"""WITH t AS (SELECT mem_no, source_id, {shingles("concat_ws(' ', title, content)")} AS g FROM memories WHERE mem_type = 'todo' AND NOT {BACKUP}),
+          a AS (SELECT source_id, {shingles("concat_ws(' ', title, content, reasoning)")} AS g FROM memories WHERE mem_type IN ('decision', 'architecture', 'convention') OR {BACKUP})
           SELECT mem_no FROM memories WHERE mem_no NOT IN (SELECT t.mem_no FROM t JOIN a ON t.source_id IS NOT DISTINCT FROM a.source_id WHERE len(t.g) > 0 AND len(list_intersect(t.g, a.g)) / len(t.g) > 0.75)""",
         "j04_commit_candidates": f"""WITH m AS ({MEM_BAG}), c AS ({COM_BAG}), wm AS (SELECT id, sum(w) AS w FROM m GROUP BY id), wc AS (SELECT id, sum(w) AS w FROM c GROUP BY id),
           s AS (SELECT m.id AS a, c.id AS b, sum(least(m.w, c.w)) AS low FROM m JOIN c ON m.token = c.token GROUP BY 1, 2),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import drift, nested, times
-from skein.runtime import table
+from skein.runtime import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,10 +23,15 @@ def p1_table(node: str):
     return query
 
 
+def p1_other_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """Every leaf of the sessions that no flat table has a column for."""
+    return nested.other_leaves(nested.shred(table(spark, d, "copilot_files"), "file_id", "raw"), "file_id")
+
+
 def p5_times(spark: SparkSession, d: str) -> DataFrame:
     """(src, row_id, raw, norm) of every time of the four tables; norm is null where raw denotes none."""
     t = lambda name: table(spark, d, name)
-    rows = times.written_times(t("commits"), t("conversation_meta"), t("copilot_files"), t("memories"), t("authors"))
+    rows = cut(times.written_times(t("commits"), t("conversation_meta"), t("copilot_files"), t("memories"), t("authors")))
     return times.normalise(rows).select("src", "row_id", "raw", "norm")
 
 
@@ -48,6 +53,7 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     **{f"p1_{node}s" if node != "reply" else "p1_replies": p1_table(node) for node in nested.SESSION_COLUMNS},
+    "p1_other_leaves": p1_other_leaves,
     "p5_found": p5_found,
     "p5_times": p5_times,
     "p6_found": p6_found,
@@ -67,7 +73,44 @@ def _each(source: str, keys: str, value: str, name: str) -> str:
     return f"SELECT * FROM (SELECT {keys}, unnest(range(len(l)))::INT AS {name}, unnest(l) AS e FROM (SELECT {keys}, {_list(value)} AS l FROM {source})) WHERE json_type(e) <> 'NULL'"
 
 
+def _text(path: str) -> str:
+    """A leaf as text: scalars as they are, lists as JSON; null for objects."""
+    return f"CASE WHEN json_type(e, '$.{path}') NOT IN ('OBJECT', 'NULL') THEN e ->> '$.{path}' END"
+
+
+def _whole(path: str) -> str:
+    return f"trunc(TRY_CAST({_text(path)} AS DOUBLE))::BIGINT"
+
+
+TREE = f"""c AS (SELECT file_id, 0 AS n, raw AS j FROM copilot_files WHERE json_valid(raw)
+          UNION ALL SELECT file_id, n, j FROM (SELECT file_id, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS j FROM (SELECT file_id, string_split(raw, chr(10)) AS l FROM copilot_files WHERE NOT coalesce(json_valid(raw), true))) WHERE json_valid(j)),
+        s AS (SELECT file_id, n, CASE WHEN json_type(j) = 'OBJECT' AND j ->> '$.kind' = '0' AND json_type(j, '$.v') = 'OBJECT' THEN json_extract(j, '$.v') ELSE j::JSON END AS v FROM c),
+        t AS (SELECT file_id, arg_max(v, n) AS v FROM s WHERE json_type(v) = 'OBJECT' AND v ->> '$.sessionId' IS NOT NULL GROUP BY 1),
+        o AS (SELECT file_id, v AS e FROM t),
+        q AS ({_each('t', 'file_id', "json_extract(v, '$.requests')", 'i')}),
+        a AS ({_each('q', 'file_id, i', "json_extract(e, '$.message.attachments')", 'j')}),
+        g AS ({_each('a', 'file_id, i, j', "json_extract(e, '$.ranges')", 'k')}),
+        p AS ({_each('q', 'file_id, i', "json_extract(e, '$.response')", 'j')}),
+        d AS ({_each('p', 'file_id, i, j', "json_extract(e, '$.edits')", 'k')})"""
+WHERE = {"session": ("o", 0), "request": ("q", 1), "attachment": ("a", 2), "range": ("g", 3), "reply": ("p", 2), "edit": ("d", 3)}
+
+
+def _flat(node: str) -> str:
+    """The flat table of a node."""
+    source, depth = WHERE[node]
+    columns = [f"{c} AS {o}" for c, o in zip("ijk"[:depth], nested.ORDINALS)]
+    for name, (path, kind) in nested.SESSION_COLUMNS[node].items():
+        value = _text(path) if kind == "string" else _whole(path)
+        if (node, name) == ("request", "text"):
+            value = f"coalesce({value}, {_text('message')})"
+        columns.append(f"{value} AS {name}")
+    if node == "reply":
+        columns.append(f"coalesce({_text('value.value')}, {_text('value')}, {_text('result.value')}) AS text")
+    return f"WITH {TREE} SELECT file_id, {', '.join(columns)} FROM {source}"
+
+
 SQL = {
+    **{f"p1_{node}s" if node != "reply" else "p1_replies": _flat(node) for node in WHERE},
     "p1_found": f"""WITH c AS (SELECT file_id, 0 AS n, raw AS j FROM copilot_files WHERE json_valid(raw)
           UNION ALL SELECT file_id, n, j FROM (SELECT file_id, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS j FROM (SELECT file_id, string_split(raw, chr(10)) AS l FROM copilot_files WHERE NOT coalesce(json_valid(raw), true))) WHERE json_valid(j)),
         s AS (SELECT file_id, n, CASE WHEN json_type(j) = 'OBJECT' AND j ->> '$.kind' = '0' AND json_type(j, '$.v') = 'OBJECT' THEN json_extract(j, '$.v') ELSE j::JSON END AS v FROM c),

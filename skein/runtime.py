@@ -18,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset (local tests) a
-    temporary folder of this machine is used.
+    The cluster names it in spark.checkpoint.dir. Only a local session, whose executors are on
+    this machine, may leave it unset and gets a temporary folder; on a cluster that is an error.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if named:
@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="skein-")
         spark.sparkContext.setCheckpointDir("file://" + os.path.abspath(current))
         current = spark.sparkContext.getCheckpointDir()

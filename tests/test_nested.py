@@ -66,3 +66,10 @@ def test_long_and_empty(spark):
     many = json.dumps(session(requests=[{"message": {"text": "x" * 1000}} for _ in range(3000)]))
     assert nested.session_nodes(files(spark, many)).count() == 3000
     assert nested.session_nodes(files(spark, many).limit(0)).count() == 0
+
+
+def test_no_leaf_is_lost(spark):
+    session = {"sessionId": "s", "requests": [{"requestId": "r", "message": {"text": "q", "parts": [1, 2]}, "agent": {"id": "a", "name": "n"}, "response": {"value": "v", "result": {"metadata": {"ms": 5}}}}]}
+    df = spark.createDataFrame([(1, json.dumps(session))], "file_id bigint, raw string")
+    got = {(r.node, r.leaf, r.value) for r in nested.other_leaves(nested.shred(df, "file_id", "raw"), "file_id").collect()}
+    assert got == {("request", "message.parts", "[1, 2]"), ("request", "agent.name", "n"), ("reply", "result.metadata.ms", "5")}

@@ -42,6 +42,12 @@ def test_no_time(raw):
     assert parse(raw, "UTC", None, False) is None
 
 
+def test_long_texts_are_read_whole():
+    assert parse(" " * 500 + "2024-01-01T00:00:00Z" + " " * 500, None, None, False) == "2024-01-01T00:00:00.000Z"
+    for text in ("x" * 10**6, "9" * 10**6, "2024-01-01 " * 10**5, "1 " * 10**5, "Jan " * 10**5):
+        assert parse(text, "UTC", None, False) is None
+
+
 def test_rows_survive_the_dictionary(spark, tmp_path):
     schema = "src string, raw string, zone string, day_first boolean, as_day boolean, norm2 string"
     rows = [("a", "2024-01-01T00:00:00Z", None, None, False, "x"), ("b", None, None, None, False, None), ("c", "2024-01-01T00:00:00Z", None, None, False, "x"), ("d", "?", "UTC", True, True, None)]

@@ -71,6 +71,7 @@ STATUS = re.compile(
 STATUS_PARTS = re.compile(rf"(?:{REASONS})|\b(?:https?|status(?: code)?|code|error|erreur|fehler(?:code)?|message|reason|title|{CODE}|\d+(?:\.\d+)+)\b|错误", re.IGNORECASE)
 STATUS_VALUE = re.compile(rf"\b{CODE}\b|{REASONS}", re.IGNORECASE)
 THING = r"(?:page|site|link|address|url|record|document|file|resource|workspace|space|area|server|viewer|app|application|service|request|conversation|transcript|session|dashboard|graph|certificate|origin|gateway|connection|content)"
+#: Matched on lower-case text, which is far faster than ignoring case.
 FAULTS = re.compile(
     rf"(?:(?:we |you )?(?:could(?: not|n't)|can(?:not|'t)) (?:find|load|open|reach|display|show|access|connect to|be reached) (?:the|this|that|your)? ?{THING}?|{THING} (?:you (?:asked|looked|are looking|were looking|requested)[\w ]{{0,12}} )?(?:does not exist|doesn't exist|was moved|was removed|has been (?:removed|moved|deleted)|has expired|is not available|is unavailable|cannot be (?:reached|found|displayed|loaded)|could not be (?:found|reached|loaded|displayed|verified|checked|trusted)|is (?:currently )?(?:down|offline|unreachable))|"
     rf"something (?:broke|went wrong)|(?:an |hit an )?unexpected (?:error|problem)|unexpected server error|uncaught \w+ error|unhandled exception|internal error|(?:you (?:are|do) not (?:allowed|authori[sz]ed|have (?:access|permission))|you don't have (?:access|permission)|access (?:is )?denied|permission denied)|"
@@ -80,15 +81,13 @@ FAULTS = re.compile(
     rf"(?:share |invitation |this )?link (?:has )?expired|too many requests|slow down|rate limit exceeded|(?:down|closed|offline) for (?:\w+ )?maintenance|under maintenance|back in a few|(?:gateway|server|request|connection|upstream) (?:waited too long|timed out|took too long|did not (?:answer|respond))|session (?:has )?expired|connection (?:was )?(?:refused|reset)|"
     rf"(?:diese |die )?seite (?:gibt es nicht|existiert nicht|wurde nicht gefunden|nicht gefunden|ist nicht (?:verf[üu]gbar|erreichbar))|kein(?:en)? zugriff|zugriff verweigert|interner serverfehler|etwas ist schief|(?:cette )?page (?:introuvable|n'existe pas|n'est pas disponible)|acc[èe]s (?:refus[ée]|interdit)|erreur (?:interne|inattendue)|service indisponible|une erreur (?:est survenue|s'est produite)|"
     rf"(?:esta )?p[áa]gina (?:no (?:existe|encontrada|se (?:encuentra|encontr[óo])|est[áa] disponible))|acceso (?:denegado|prohibido)|error (?:interno|inesperado)|algo (?:sali[óo] mal|ha fallado)|no se (?:pudo|puede|ha podido) (?:encontrar|cargar|mostrar|abrir)|servicio no disponible|"
-    rf"页面(?:不存在|未找到|无法|找不到)|找不到(?:该)?页面|无法访问|无权访问|没有权限|拒绝访问|访问被拒绝|服务(?:器)?(?:内部)?错误|服务(?:暂时)?不可用|请求过多|请求过于频繁|链接已(?:过期|失效)|系统维护|网关超时|出错了)",
-    re.IGNORECASE,
+    rf"页面(?:不存在|未找到|无法|找不到)|找不到(?:该)?页面|无法访问|无权访问|没有权限|拒绝访问|访问被拒绝|服务(?:器)?(?:内部)?错误|服务(?:暂时)?不可用|请求过多|请求过于频繁|链接已(?:过期|失效)|系统维护|网关超时|出错了)"
 )
 JS = r"(?:java\s?scripts?|client-side scripts?|browser scripts?|scripts? (?:of|in|from) the browser|scripts?|active scripting|脚本|javascript)"
 NEEDS = re.compile(
     rf"(?:(?:needs?|requires?|depends? on|relies on|only works? with|works only with|does not (?:run|work|load)[\w ]{{0,20}} (?:while|without|if|unless)|doesn't (?:run|work|load)[\w ]{{0,20}} (?:while|without|if|unless)|cannot (?:be (?:shown|displayed|loaded)|run|load|work)[\w ]{{0,12}} without|enable|allow|turn(?:ing)?(?: on)?|switch(?:ing)?(?: on)?|activate|permit|must (?:enable|allow|have)|has disabled|is (?:disabled|off|turned off|switched off|blocked|required|needed))[^.!?]{{0,60}}\b{JS}|\b{JS}[^.!?]{{0,40}}(?:is (?:disabled|off|required|needed|turned off|switched off|blocked|not enabled)|to be (?:switched|turned) on|must be (?:enabled|on)|needs to be|has been disabled|disabled|required|erforderlich|deaktiviert|d[ée]sactiv[ée]|desactivado)|"
     rf"(?:braucht|ben[öo]tigt|erfordert|ben[öo]tigen|einschalten|aktivieren|aktiviert(?:es)?|erlauben|n[ée]cessite|requiert|besoin|sans|activer|autoriser|activez|autorisez|necesita|requiere|active|habilite|activar|habilitar|sin|permita)[^.!?]{{0,40}}\b{JS}|\b{JS}[^.!?]{{0,30}}(?:aktivieren|einschalten|erlauben|aktiviert|activ[ée]s?|activados?)|(?:开启|启用|需要|允许|打开|禁用|关闭)[^。！？]{{0,8}}(?:脚本|javascript)|(?:脚本|javascript)[^。！？]{{0,10}}(?:开启|启用|才能|被禁用|已禁用)|"
-    rf"noscript|checking your browser|verifying (?:that )?you are (?:a )?human|making sure (?:that )?you are (?:a )?human|are you a robot|browser (?:is )?(?:not supported|missing features|out of date|too old|unsupported|outdated)|unsupported browser|if nothing happens|enable (?:it|them|cookies)|cookies to continue|please enable it and reload)",
-    re.IGNORECASE,
+    rf"noscript|checking your browser|verifying (?:that )?you are (?:a )?human|making sure (?:that )?you are (?:a )?human|are you a robot|browser (?:is )?(?:not supported|missing features|out of date|too old|unsupported|outdated)|unsupported browser|if nothing happens|enable (?:it|them|cookies)|cookies to continue|please enable it and reload)"
 )
 MORE_SCRIPT = re.compile(r"(?:loading\W*|this takes a few seconds\W*|please wait\W*|please enable (?:it|them) and reload\W*|(?:and )?reload(?: the page)?\W*|nothing to show\W*)", re.IGNORECASE)
 
@@ -118,53 +117,74 @@ def cleaned(text: str) -> str:
     return TAG.sub(" ", text) if "<" in text else text
 
 
-#: Words without which a unit cannot match the dearer patterns.
+#: Words without one of which a unit cannot match a dearer pattern; \u4e00-text is looked through for marks of its own.
 FAULT_WORDS = set(
     "find load open reach display show access connect exist moved removed deleted expired available unavailable down offline unreachable broke wrong unexpected uncaught unhandled internal denied permission allowed authorized authorised "
     "requests slow exceeded maintenance minutes waited timed took answer respond session sign upstream closed headers backend resolved refused reset fehler seite zugriff verweigert schief server sitzung erreur page accès acces indisponible serveur "
-    "página pagina acceso error algo pudo puede podido servicio existe sesión sesion tiene not reached checked trusted verified".split()
+    "página pagina acceso error algo pudo puede podido servicio existe sesión sesion tiene reached checked trusted verified serverfehler autorisation few".split()
+)
+SCRIPT_WORDS = set("browser human robot happens cookies reload loading wait show seconds noscript".split())
+FILL_WORDS = set(
+    "text copy content paragraph heading body footer title data sentence description details coming replace words type draft ignore lorem blindtext platzhalter fülltext fulltext "
+    "beispieltext mustertext steht texte textes contenu faux texto contenido".split()
+)
+CHROME_WORDS = set(
+    "home start main front startseite accueil inicio try later again versuchen réessayez reessayez inténtelo intentelo inténtalo problem contact request reference ray trace edge nginx apache cloudfront varnish at dear hello hi regards thanks hallo bonjour hola".split()
 )
-SCRIPT_WORDS = re.compile(r"script|脚本|browser|human|robot|happens|cookies|reload|loading|wait|nothing to show|few seconds", re.IGNORECASE)
-STATUS_WORDS = re.compile(rf"\b{CODE}\b|error|erreur|fehler|错误|{REASONS}", re.IGNORECASE)
-CHROME_WORDS = re.compile(r"home|page|startseite|accueil|inicio|首页|主页|later|again|plus tard|tarde|später|稍后|persists|contact|request id|reference|ray id|trace id|proxy|nginx|apache|cloudfront|varnish|dear|hello|regards|hallo|bonjour|hola|\bat ", re.IGNORECASE)
-FILL_WORDS = re.compile(r"测试|text|copy|content|paragraph|heading|body|footer|coming|replace|filler|platzhalter|steht|contenu|contenido|占位|示例|样例|待补充|稍后|内容待|此处为|fill|lorem|dummy|sample", re.IGNORECASE)
+ASK_WORDS = set("todo add insert enter put write type describe replace goes fill fixme tktk tbd t".split())
+HAN_MARKS = {
+    FILLER: re.compile("占位|测试|示例|样例|待补充|稍后|内容待|此处为"), SCRIPT: re.compile("脚本"), CHROME: re.compile("返回首页|返回主页|请稍后再试"),
+    ERROR: re.compile("错误|过期|失效|重新登录|连接|页面|访问|权限|服务|请求|链接|维护|超时|出错"),
+}
+#: Every word that a status line may have.
+STATUS_VOCABULARY = set(re.findall(r"[^\W\d_]+", REASONS.replace("(?:", " ").replace(")", " "))) | set("http https status code error erreur fehler fehlercode message reason title 错误 gateway timeout time out".split())
 SLOT_MARKS = re.compile(r"[{}\[\]<>@_%$(（【«]")
+LETTER = re.compile(r"\w")
+WORD = re.compile(r"[^\W\d_]+")
+LEAD = re.compile(r"^(?:[>\-*•#|\s]|\d+[.)]\s)+")
+BLANKS = re.compile(r"\s+")
+REPEATED = re.compile(r"(.{4,80}?)(?:\s*\1){1,}")
+QUOTES = re.compile(r"[\"“”«»„]")
 
 
 @lru_cache(maxsize=100_000)
 def kind_of(unit: str) -> str:
     """What a line or sentence is as a whole."""
-    unit = re.sub(r"^(?:[>\-*•#|\s]|\d+[.)]\s)+", "", unit)
-    unit = re.sub(r"\s+", " ", unit).strip()
-    if not re.search(r"\w", unit):
+    unit = BLANKS.sub(" ", LEAD.sub("", unit)).strip()
+    if not LETTER.search(unit):
         return PLACEHOLDER if SLOT.fullmatch(unit) else CHROME
     if SLOT_MARKS.search(unit):
         bare = SLOT.sub(" ", unit)
-        if bare != unit and not re.search(r"\w", bare):
+        if bare != unit and not LETTER.search(bare):
             return PLACEHOLDER
-    words = re.findall(r"[^\W\d_]+", unit.lower())
-    if len(words) <= 14 and len(unit) <= 600 and (EMPTY_VALUES.fullmatch(unit) or ASKED.fullmatch(unit)):
+    words = WORD.findall(unit.lower())
+    own = set(words)
+    if len(words) <= 14 and len(unit) <= 600 and (EMPTY_VALUES.fullmatch(unit) or (own & ASK_WORDS or any(w.startswith("xxx") for w in own)) and ASKED.fullmatch(unit)):
         return PLACEHOLDER
     if words and (MASH if len(unit) <= 600 else LONG_MASH).fullmatch(unit):
         return FILLER
-    if len(words) >= 6 and len(set(words)) * 2 <= len(words):
-        unit = re.sub(r"(.{4,80}?)(?:\s*\1){1,}", r"\1", unit)
+    if len(words) >= 6 and len(own) * 2 <= len(words):
+        unit = REPEATED.sub(r"\1", unit)
     if _latin(words) == FILLER:
         return FILLER
-    if len(unit) <= 200 and CHROME_WORDS.search(unit):
-        unit = re.sub(r"\s+", " ", CHROMES.sub(" ", unit)).strip(" .,|!:")
-        if not re.search(r"\w", unit):
+    plain, before = unit.isascii(), unit
+    hints = lambda kind, listed: not own.isdisjoint(listed) or not plain and HAN_MARKS[kind].search(unit)
+    if len(unit) <= 200 and hints(CHROME, CHROME_WORDS):
+        unit = BLANKS.sub(" ", CHROMES.sub(" ", unit)).strip(" .,|!:")
+        if not LETTER.search(unit):
             return CHROME
-    if re.search(r"[\"“”«»„]", unit) and len(re.findall(r"[^\W\d_]+", unit)) > 8 and not unit.startswith("{"):
+    if QUOTES.search(unit) and len(WORD.findall(unit)) > 8 and not unit.startswith("{"):
         return OTHER
-    if FILL_WORDS.search(unit) and _left(FILL, unit) <= 90:
+    if hints(FILLER, FILL_WORDS) and _left(FILL, unit) <= 90:
         return FILLER
-    if SCRIPT_WORDS.search(unit) and (_left(NEEDS, unit) <= 160 or MORE_SCRIPT.fullmatch(unit)):
+    if (hints(SCRIPT, SCRIPT_WORDS) or any("script" in w for w in own)) and (_left(NEEDS, unit.lower()) <= 160 or MORE_SCRIPT.fullmatch(unit)):
         return SCRIPT
-    if STATUS_WORDS.search(unit) and (len(unit) <= 160 and STATUS.fullmatch(unit) or STATUS_VALUE.search(unit) and not re.search(r"\w", STATUS_PARTS.sub(" ", unit))):
+    # a status line has no other words; what stands around it as chrome is gone by now
+    rest = words if unit == before else WORD.findall(unit.lower())
+    if all(w in STATUS_VOCABULARY for w in rest) and (len(unit) <= 160 and STATUS.fullmatch(unit) or STATUS_VALUE.search(unit) and not LETTER.search(STATUS_PARTS.sub(" ", unit))):
         return ERROR
     # a match of FAULTS has one of its words at least and is hardly longer than 150 characters
-    if (150 * sum(w in FAULT_WORDS for w in words) >= max(1, len(unit) - 110) or not unit.isascii()) and _left(FAULTS, unit) <= 110:
+    if (150 * sum(w in FAULT_WORDS for w in words) >= max(1, len(unit) - 110) if plain else hints(ERROR, FAULT_WORDS)) and _left(FAULTS, unit.lower()) <= 110:
         return ERROR
     return CHROME if all(w in NAV for w in words) and words else OTHER
 

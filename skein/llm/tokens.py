@@ -10,6 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,28 +37,25 @@ def encoding(ranks: bytes):
     return tiktoken.Encoding("skein", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in lines}, special_tokens={})
 
 
+#: Where no match of PATTERN reaches over: before blanks, and between letters, digits and marks; an apostrophe may lead a word's ending.
+SAFE = regex.compile(
+    r"(?<=\P{White_Space})(?=\p{White_Space})|(?<=\p{L})(?=[^\p{White_Space}\p{L}])|(?<=\p{N})(?=[^\p{White_Space}\p{N}])|(?<=[^\p{White_Space}\p{L}\p{N}'])(?=[\p{L}\p{N}])"
+)
+
+
 def safe_pieces(text: str, limit: int = LONG) -> Iterator[str]:
     """Pieces of about `limit` characters whose ids, one after the other, are those of the text.
 
-    A cut is safe before a lone blank between two other characters: the split pattern never
-    reaches over it, since a blank may only lead a word, a number or marks. Where a text has no
-    such place the piece goes on to the end.
+    Cuts are made at the first SAFE place from the limit on. Only a run of one class of
+    characters (letters, digits, marks or blanks) is longer: it is one unit of the tokenizer.
     """
     start = 0
     while len(text) - start > limit:
-        at = start + limit
-        while True:
-            at = text.find(" ", at)
-            if at < 0 or at + 1 >= len(text):
-                at = -1
-                break
-            if not text[at - 1].isspace() and not text[at + 1].isspace():
-                break
-            at += 1
-        if at < 0:
+        cut = SAFE.search(text, start + limit)
+        if cut is None or cut.start() >= len(text):
             break
-        yield text[start:at]
-        start = at
+        yield text[start : cut.start()]
+        start = cut.start()
     yield text[start:]
 
 

@@ -25,3 +25,18 @@ def test_rows(spark):
     back = tokens.decoded(tokens.with_ids(df, "doc_id", "text"), "ids", "back").collect()
     assert {r.doc_id: r.back for r in back} == {i: t or "" for i, t in enumerate(texts)}
     assert tokens.with_ids(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_pieces_of_any_text_give_its_ids():
+    import random
+
+    enc = tokens.encoding(tokens.rank_bytes())
+    rng = random.Random(5)
+    parts = ["汉字", "，", "。", "don't", "it's", "'", "''s", " ", "  ", "\n", "\n\n", "\t", "\u3000", "\x1c", "\x85", "\u00a0", "12", "３", "é́", "word", "!", "?!", "’s", "😀", "ＡＢ", "_", "-", "'re", "s", "t"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 60)))
+        pieces = list(tokens.safe_pieces(text, rng.randrange(1, 9)))
+        assert "".join(pieces) == text
+        assert [i for p in pieces for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text), repr(text)
+    han = "汉字，" * 40_000
+    assert max(map(len, tokens.safe_pieces(han))) < 20_010

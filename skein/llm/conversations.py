@@ -144,15 +144,17 @@ def ordered(usable: DataFrame) -> DataFrame:
 ORDER = ["place", "rank", "msg_id"]
 
 
-def verdicts(messages: DataFrame, metas: DataFrame) -> DataFrame:
+def verdicts(messages: DataFrame, metas: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     """(conv_id, n_usable, n_broken, ends_open, n_unknown, recorded, keep) of every conv_id of either table.
 
     n_broken counts a first message that is no question and questions that follow a question;
     ends_open says that the last message is a question; n_unknown counts visible rows without a
     known role; recorded is the highest turn_count of the meta rows, null for none. A
-    conversation without usable messages is not kept.
+    conversation without usable messages is not kept. placed is ordered(usable_messages(messages))
+    where that is at hand.
     """
-    rows = with_previous(ordered(usable_messages(messages)), "conv_id", F.col("bucket"), ORDER, ["role"])
+    placed = ordered(usable_messages(messages)) if placed is None else placed
+    rows = with_previous(placed, "conv_id", F.col("bucket"), ORDER, ["role"])
     broken = F.when(F.col("role") == "user", F.col("prev_role") == "user").otherwise(F.col("prev_role").isNull())
     place = F.struct(*ORDER)
     chats = rows.groupBy("conv_id").agg(
@@ -173,6 +175,7 @@ def verdicts(messages: DataFrame, metas: DataFrame) -> DataFrame:
 
 def rebuilt(messages: DataFrame, metas: DataFrame) -> DataFrame:
     """(conv_id, position, role, text, msg_id) of the kept conversations, positions counted from 0."""
-    rows = ordered(usable_messages(messages)).join(verdicts(messages, metas).where("keep").select("conv_id"), "conv_id", "left_semi")
+    placed = cut(ordered(cut(usable_messages(messages))))
+    rows = placed.join(verdicts(messages, metas, placed).where("keep").select("conv_id"), "conv_id", "left_semi")
     numbered = with_running(rows, "conv_id", F.col("bucket"), ORDER, F.lit(1), "position").select("conv_id", "msg_id", "position", "role")
     return with_texts(numbered, messages).select("conv_id", "position", "role", "text", "msg_id")

@@ -18,6 +18,17 @@ SQL = {
         t AS (SELECT conv_id, max(turn_count) AS recorded FROM conversation_meta WHERE conv_id IS NOT NULL GROUP BY 1)
         SELECT conv_id FROM x FULL JOIN t USING (conv_id) LEFT JOIN c USING (conv_id)
         WHERE coalesce(n, 0) = 0 OR broken > 0 OR coalesce(unknown, 0) > 0 OR n < coalesce(recorded, 0)""",
+    "p4_conversations": f"""WITH {USABLE},
+        l AS (SELECT conv_id, who, lag(who) OVER w AS prev, lead(who) OVER w AS next FROM u WINDOW w AS (PARTITION BY conv_id ORDER BY place, rank, msg_id)),
+        c AS (SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE (prev IS NULL AND who <> 'user') OR (who = 'user' AND coalesce(next, '') <> 'assistant')) AS broken FROM l GROUP BY 1),
+        x AS (SELECT conv_id, count(*) FILTER (WHERE who IS NULL AND seen) AS unknown FROM r GROUP BY 1),
+        t AS (SELECT conv_id, max(turn_count) AS recorded FROM conversation_meta WHERE conv_id IS NOT NULL GROUP BY 1),
+        kept AS (SELECT c.conv_id FROM c JOIN x USING (conv_id) LEFT JOIN t USING (conv_id) WHERE broken = 0 AND unknown = 0 AND n >= coalesce(recorded, 0))
+        SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY place, rank, msg_id) - 1)::BIGINT AS position, who AS role, text, msg_id FROM u WHERE conv_id IN (SELECT conv_id FROM kept)""",
+    "p7_nearest": """WITH s AS (SELECT model, id, min(vector) AS v FROM vector_entries WHERE id IS NOT NULL AND model IS NOT NULL AND vector IS NOT NULL AND len(vector) = dimension
+        AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY 1, 2),
+        p AS (SELECT a.model, a.id, b.id AS other, round(list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]), 10) AS similarity FROM s a JOIN s b ON a.model = b.model AND a.id <> b.id)
+        SELECT *, (row_number() OVER (PARTITION BY model, id ORDER BY similarity DESC, other))::INT AS rank FROM p QUALIFY row_number() OVER (PARTITION BY model, id ORDER BY similarity DESC, other) <= 5""",
     "p7_found": """WITH s AS (SELECT model, id, min(vector) AS v FROM vector_entries WHERE id IS NOT NULL AND model IS NOT NULL AND vector IS NOT NULL AND len(vector) = dimension
         AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY 1, 2),
         p AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]), 10) AS c FROM s a JOIN s b ON a.model = b.model AND a.id <> b.id),

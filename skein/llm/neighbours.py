@@ -94,58 +94,60 @@ def with_codes(vectors: DataFrame, learned: dict, part_bits: int) -> DataFrame:
 
 
 def probes(coded: DataFrame, part_bits: int, flip_first: bool) -> DataFrame:
-    """(model, table, key, id, parts) for the codes within one bit in one part of each table's pair."""
+    """(bucket, id, low, high): where a vector stands or looks in the tables, for the codes within one bit in one part of each table's pair.
+
+    bucket is a hash of model, table and key; low and high are the code's parts, packed. Buckets
+    that fall together only bring candidates that the codes tell apart.
+    """
     flips = F.array(F.lit(0), *(F.lit(1 << b) for b in range(part_bits)))
     i = F.col("table")
     a, b = F.get("parts", i), F.get("parts", (i + 1) % PARTS)
     a, b = (a.bitwiseXOR(F.col("flip")), b) if flip_first else (a, b.bitwiseXOR(F.col("flip")))
-    rows = coded.select("model", "id", "parts", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("table")).withColumn("flip", F.explode(flips))
-    return rows.select("model", "table", (F.shiftleft(a.cast("bigint"), part_bits) + b).alias("key"), "id", "parts")
 
+    def packed(first: int):
+        out = F.lit(0).cast("bigint")
+        for n in range(first, first + PARTS // 2):
+            out = F.shiftleft(out, part_bits) + F.col("parts")[n]
+        return out
 
-def hamming(a: str, b: str):
-    """The number of bits in which two codes differ."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    rows = coded.select("model", "id", "parts", packed(0).alias("low"), packed(PARTS // 2).alias("high"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("table")).withColumn("flip", F.explode(flips))
+    return rows.select(F.xxhash64("model", "table", F.shiftleft(a.cast("bigint"), part_bits) + b).alias("bucket"), "id", "low", "high")
 
 
 def candidates(coded: DataFrame, part_bits: int) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
-    """(model, a, b), a < b: pairs of ids that meet in a table and whose codes are close; and both sides' probes of crowded buckets."""
+    """(a, b), a < b: pairs of ids that meet in a table and whose codes are close; and both sides' probes of crowded buckets."""
     left, right = probes(coded, part_bits, True), probes(coded, part_bits, False)
-    size = right.groupBy("model", "table", "key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED)
-    crowded = size.select("model", "table", "key")
-    on = ["model", "table", "key"]
+    crowded = cut(right.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("bucket"))
     far = int(RADIUS * PARTS * part_bits)
-
-    def pairs(x: DataFrame, y: DataFrame, by: list[str]) -> DataFrame:
-        p = x.select(*by, F.col("id").alias("a"), F.col("parts").alias("pa")).join(y.select(*by, F.col("id").alias("b"), F.col("parts").alias("pb")), by)
-        return p.where((F.col("a") < F.col("b")) & (hamming("pa", "pb") <= far)).select("model", "a", "b")
-
-    plain = pairs(left.join(crowded, on, "left_anti"), right.join(crowded, on, "left_anti"), on)
-    return plain.distinct(), (left.join(crowded, on, "left_semi"), right.join(crowded, on, "left_semi"))
+    ours, theirs = (left, right) if crowded.isEmpty() else (left.join(crowded, "bucket", "left_anti"), right.join(crowded, "bucket", "left_anti"))
+    apart = F.bit_count(F.col("low").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high_b")))
+    met = ours.select("bucket", F.col("id").alias("a"), "low", "high").join(theirs.select("bucket", F.col("id").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b")), "bucket")
+    plain = met.where((F.col("a") < F.col("b")) & (apart <= far)).select("a", "b")
+    return plain.distinct(), (left.join(crowded, "bucket", "left_semi").select("bucket", "id"), right.join(crowded, "bucket", "left_semi").select("bucket", "id"))
 
 
 def top_of_blocks(left: DataFrame, right: DataFrame, coded: DataFrame, k: int, rows_a_block: int = 1_000) -> DataFrame:
-    """(model, q, c): for members of crowded buckets the k most similar members, found in blocks.
+    """(a, b), a < b: for members of crowded buckets the k most similar members, found in blocks.
 
     Every block of probing vectors meets every block of members of its bucket; a task holds two
     blocks of floats and gives k rows per vector, so no list of pairs of a bucket ever exists.
     """
-    on = ["model", "table", "key"]
+    on = ["bucket"]
     vectors = coded.select("model", "id", "v")
 
     def spread(df: DataFrame, name: str) -> DataFrame:
         sizes = df.groupBy(*on).agg(F.ceil(F.count("*") / rows_a_block).alias("blocks"))
-        return df.drop("parts").join(sizes, on).withColumn(name, F.pmod(F.xxhash64("id"), F.col("blocks")))
+        return df.join(sizes, on).withColumn(name, F.pmod(F.xxhash64("id"), F.col("blocks")))
 
     q, c = spread(left, "qb"), spread(right, "cb")
     n_q = q.select(*on, F.col("blocks").alias("nq")).distinct()
     n_c = c.select(*on, F.col("blocks").alias("nc")).distinct()
-    q = q.join(n_c, on).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nc") - 1))).join(vectors, ["model", "id"])
-    c = c.join(n_q, on).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nq") - 1))).join(vectors, ["model", "id"])
+    q = q.join(n_c, on).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nc") - 1))).join(vectors, "id")
+    c = c.join(n_q, on).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nq") - 1))).join(vectors, "id")
 
     def best(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         if qs.empty or cs.empty:
-            return pd.DataFrame({"model": [], "a": [], "b": []})
+            return pd.DataFrame({"a": [], "b": []})
         x, y = np.stack(qs["v"].to_numpy()), np.stack(cs["v"].to_numpy())
         ids_q, ids_c = qs["id"].to_numpy(), cs["id"].to_numpy()
         s = x @ y.T
@@ -155,11 +157,11 @@ def top_of_blocks(left: DataFrame, right: DataFrame, coded: DataFrame, k: int, r
         a, b = np.repeat(ids_q, m), ids_c[top].ravel()
         keep = a != b
         a, b = a[keep], b[keep]
-        return pd.DataFrame({"model": qs["model"].iloc[0], "a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    keys = [*on, "qb", "cb"]
+    keys = ["model", *on, "qb", "cb"]
     own = lambda df: df.select(*(F.col(x).alias(x) for x in [*keys, "id", "v"])).groupBy(*keys)
-    found = own(q).cogroup(own(c)).applyInPandas(best, "model string, a string, b string")
+    found = own(q).cogroup(own(c)).applyInPandas(best, "a string, b string")
     return found.distinct()
 
 
@@ -235,8 +237,8 @@ def nearest(entries: DataFrame, k: int = 5, least: float | None = None) -> DataF
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     best = Window.partitionBy("model", "id").orderBy(F.desc("similarity"), "other")
 
-    def scored(p: DataFrame) -> DataFrame:
-        rows = p.join(va, ["model", "a"]).join(vb, ["model", "b"]).select("model", "a", "b", F.round(dot, 10).alias("similarity"))
+    def scored(p: DataFrame, key: str | list[str] = "a") -> DataFrame:
+        rows = p.join(va, key).join(vb, ["model", "b"]).select("model", "a", "b", F.round(dot, 10).alias("similarity"))
         return rows if least is None else rows.where(F.col("similarity") >= least)
 
     found = scored(pairs)
@@ -250,7 +252,7 @@ def nearest(entries: DataFrame, k: int = 5, least: float | None = None) -> DataF
         hits = top.where(F.col("similarity") >= SURE).groupBy("model", "id").agg(F.count("*").alias("n"))
         sure = hits.unionByName(copies_of).groupBy("model", "id").agg(F.sum("n").alias("n")).where(F.col("n") >= k)
         unsure = cut(coded.select("model", "id").join(sure, ["model", "id"], "left_anti"))
-        whole = scored(exact(unsure, coded, k).select("model", F.col("id").alias("a"), F.col("other").alias("b")))
+        whole = scored(exact(unsure, coded, k).select("model", F.col("id").alias("a"), F.col("other").alias("b")), ["model", "a"])
         whole = whole.select("model", F.col("a").alias("id"), F.col("b").alias("other"), "similarity").withColumn("rank", F.row_number().over(best))
         top = top.join(unsure, ["model", "id"], "left_anti").unionByName(whole)
     head_of = heads.select("model", F.col("id").alias("head"), "cls")

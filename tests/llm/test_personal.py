@@ -54,6 +54,23 @@ def test_graph_finds_unseen_names(spark):
     assert all(got[i] == {"name"} for i in range(5)) and got[5] == set()
 
 
+def test_graph_finds_numbers_by_shape_and_addresses_by_context(spark):
+    texts = ["call 212-555-0101", "phone 212-555-0102", "tel 212-555-0103", "we saw 212-555-0104 twice"]
+    texts += ["batch 77-4411-9", "batch 78-4412-9", "batch 79-4413-9", "we saw 80-4414-9 twice"]
+    texts += [f"please deliver to {i} Old Quarry Road, Mossgate" for i in (11, 12, 13)] + ["please deliver to 14 Baker Street", "the plan is 15 Fleet Street"]
+    got, _ = kinds(spark, *texts)
+    assert all(got[i] == {"phone"} for i in range(4)) and not any(got[i] for i in range(4, 8))
+    assert all(got[i] == {"address"} for i in range(8, 12)) and got[12] == set()
+
+
+def test_a_frequent_phrase_beside_names_is_no_name(spark):
+    """One phrase that often stands where names stand once stays a phrase, however many records it has."""
+    people = ["Brynja Ullverton", "Kaspar Halloweck", "Elodie Ibáñoz"]
+    texts = [f"we talked to {p} about it" for p in people] + ["Als Nächstes wird die Sache geprüft"] * 30 + ["we talked to Als Nächstes about it"]
+    got, _ = kinds(spark, *texts)
+    assert all(got[i] == {"name"} for i in range(3)) and not any(got[i] for i in range(3, 34))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "src string, row_id bigint, text string")
     assert personal.found_spans(df, spark.createDataFrame(PEOPLE, "display_name string")).count() == 0

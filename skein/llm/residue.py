@@ -5,8 +5,10 @@ trusted labels to fields that are residue as a whole. Near copies of such fields
 do not know, are found by SimHash tables: a field's 64-bit SimHash is split into 8 bytes, adjacent
 bytes around a ring key 8 tables, and the fields labelled last probe every table within one bit of
 either byte. Pairs that meet are verified by Hamming distance and by the Jaccard similarity of
-their five-word shingles, and the label spreads along the links, round by round, until the
-components that hold a trusted label are covered. Exact copies of a field are one node.
+their five-word shingles. A SimHash of few words can lie far from that of a near copy, so a prefix
+filter on the shingles brings what the tables miss: no link of that similarity is lost. The label
+spreads along the links, round by round, until the components that hold a trusted label are
+covered. Exact copies of a field are one node.
 """
 
 from __future__ import annotations
@@ -106,6 +108,20 @@ def keys(nodes: DataFrame, probe: bool) -> DataFrame:
     return rows.withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
 
 
+def prefixes(nodes: DataFrame) -> DataFrame:
+    """(gram, node, size): the lowest hashes of a node's shingles, so many that two nodes of SIMILAR or more share one of both.
+
+    Sets of sizes m and n with a Jaccard similarity s share at least s * max(m, n) shingles, so
+    the lowest that they share is among the lowest m - ceil(s * m) + 1 of either.
+    """
+    w = F.split("words", " ")
+    hashed = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, SHINGLE), " ")))
+    grams = nodes.select("node", F.array_sort(F.array_distinct(hashed)).alias("grams"))
+    size = F.size("grams")
+    first = size - F.ceil(size * SIMILAR - 1e-9).cast("int") + 1
+    return grams.select("node", size.alias("size"), F.explode(F.slice("grams", F.lit(1), first)).alias("gram"))
+
+
 def similarity(a: str, b: str):
     """jaccard of two columns of words joined by blanks."""
 
@@ -121,14 +137,18 @@ def spread_labels(fields: DataFrame) -> DataFrame:
     nodes = fields.groupBy("node").agg(F.first("simhash").alias("simhash"), F.first("words").alias("words"), F.max(F.when(F.col("label").isin(*RESIDUE), F.col("label"))).alias("label"), F.max(F.col("label") == OTHER).alias("open"))
     nodes = cut(nodes.where("label is not null or open"))
     index = keys(nodes.where("label is null"), probe=False)
-    texts = nodes.select("node", "words")
+    grams = prefixes(nodes.where("label is null")).select("gram", F.col("node").alias("c"), F.col("size").alias("nc"))
+    texts = nodes.select("node", "words", "simhash")
     reached = frontier = nodes.where("label is not null").select("node", "simhash", "label")
     while True:
         probes = keys(frontier.select("node", "simhash"), probe=True)
         q, c = probes.select("slot", "key", F.col("node").alias("q"), F.col("simhash").alias("hq")), index.select("slot", "key", F.col("node").alias("c"), F.col("simhash").alias("hc"))
-        pairs = q.join(c, ["slot", "key"]).where(F.bit_count(F.col("hq").bitwiseXOR(F.col("hc"))) <= HAMMING).select("q", "c", "hc").distinct()
+        close = q.join(c, ["slot", "key"]).where(F.bit_count(F.col("hq").bitwiseXOR(F.col("hc"))) <= HAMMING).select("q", "c")
+        ours = prefixes(frontier.select("node").join(texts, "node")).select("gram", F.col("node").alias("q"), F.col("size").alias("nq"))
+        sized = (F.least("nq", "nc") + 1e-9) >= SIMILAR * F.greatest("nq", "nc")
+        pairs = close.unionByName(ours.join(grams, "gram").where(sized).select("q", "c")).distinct()
         pairs = pairs.join(reached.select(F.col("node").alias("seen")), F.col("c") == F.col("seen"), "left_anti")
-        pairs = pairs.join(texts.select(F.col("node").alias("q"), F.col("words").alias("wq")), "q").join(texts.select(F.col("node").alias("c"), F.col("words").alias("wc")), "c")
+        pairs = pairs.join(texts.select(F.col("node").alias("q"), F.col("words").alias("wq")), "q").join(texts.select(F.col("node").alias("c"), F.col("words").alias("wc"), F.col("simhash").alias("hc")), "c")
         linked = pairs.where(similarity("wq", "wc") >= SIMILAR).select("q", F.col("c").alias("node"), F.col("hc").alias("simhash"))
         labels = frontier.select(F.col("node").alias("q"), "label")
         fresh = cut(linked.join(labels, "q").groupBy("node").agg(F.first("simhash").alias("simhash"), F.min("label").alias("label")))

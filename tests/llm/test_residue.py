@@ -1,3 +1,5 @@
+import pytest
+
 from skein.llm import residue
 from skein.llm.residue_rules import kind_of
 
@@ -35,18 +37,20 @@ def test_label_spreads_to_near_copies(spark):
     assert got == {0, 1}
 
 
-def test_links_follow_brute_force(spark):
+@pytest.mark.parametrize("length", [9, 14, 30, 90])
+def test_links_follow_brute_force(spark, length):
+    """Short fields too, whose SimHashes lie far apart although one word at the end differs, and fields that repeat themselves."""
     import random
 
     rng = random.Random(4)
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
-    base = [[rng.choice(words) for _ in range(90)] for _ in range(6)]
+    base = [[rng.choice(words) for _ in range(length)] for _ in range(6)]
     copies = []
     for b in base:
-        for _ in range(5):
+        for n in range(5):
             c = list(b)
-            c[rng.randrange(90)] = rng.choice(words)
-            copies.append(" ".join(c))
+            c[rng.choice([0, -1, rng.randrange(length)])] = rng.choice(words)
+            copies.append(" ".join(c * (4 if n == 4 else 1)))
     codes = residue.simhashes([c.split(" ") for c in copies])
     rows = [(i - 2**40, codes[i], c, "filler" if i % 5 == 0 else "other") for i, c in enumerate(copies)]
     fields = spark.createDataFrame([(n, "body", label, n, h, w) for n, h, w, label in rows], residue.FIELDS)

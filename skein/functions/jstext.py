@@ -76,10 +76,10 @@ def normal_title(title: Column) -> Column:
 # --- quality ------------------------------------------------------------------------------------
 
 #: Phrases too general to be useful, and patterns that show technical detail.
-VAGUE_ZH = (
-    "影响到整个项目 优化了用户体验 提高了效率 改善了性能 影响到整个 确保系统稳定 提高代码质量 优化了整体 影响到项目的 符合最佳实践 遵循最佳实践 影响较大 "
-    "提升了开发效率 保证了代码质量 确保了系统 增强了功能 方便了开发 简化了流程 实现了功能 满足了需求 对项目有重要意义 是一个好的选择"
-).split(" ")
+VAGUE_ZH = [
+    "影响到整个项目", "优化了用户体验", "提高了效率", "改善了性能", "影响到整个", "确保系统稳定", "提高代码质量", "优化了整体", "影响到项目的", "符合最佳实践", "遵循最佳实践", "影响较大", "提升了开发效率", "保证了代码质量", "确保了系统",
+    "增强了功能", "方便了开发", "简化了流程", "实现了功能", "满足了需求", "对项目有重要意义", "是一个好的选择",
+]
 VAGUE_EN = [
     "affects the entire project", "improves user experience", "improves efficiency", "improves performance", "ensures system stability", "improves code quality",
     "follows best practices", "affects the whole", "is a good choice", "enhances the functionality", "simplifies the process", "meets the requirements",
@@ -142,11 +142,15 @@ def quality_reason(title: Column, content: Column, impact: Column) -> Column:
 # --- search -------------------------------------------------------------------------------------
 
 #: Words that carry no meaning of their own.
-STOPWORDS_EN = (
-    "the a an is are was were be been being have has had do does did will would shall should may might must can could to of in for on with at by from as into through "
-    "and but or nor not no so if then than that this it its i we you he she they my your his her our their me him us them"
-).split(" ")
-STOPWORDS_CJK = "的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这".split(" ")
+STOPWORDS_EN = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "shall",
+    "should", "may", "might", "must", "can", "could", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through", "and",
+    "but", "or", "nor", "not", "no", "so", "if", "then", "than", "that", "this", "it", "its", "i", "we", "you", "he", "she", "they", "my", "your",
+    "his", "her", "our", "their", "me", "him", "us", "them",
+]
+STOPWORDS_CJK = [
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有", "看", "好", "自己", "这",
+]
 
 
 def keywords(text: Column) -> Column:

@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions import jstext
-
 
 def _has(columns: tuple[str, ...], words: str):
     """Whether one of the columns contains the words, in any case; false where all are null."""

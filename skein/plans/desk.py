@@ -11,7 +11,7 @@ from skein.functions import jstext
 from skein.operators import bundle, dedup, extraction, linking, render, reports, search, stats, store
 from skein.plans import library, oracle
 from skein.plans.records import _each as nested_each
-from skein.plans.oracle import ACTIVE, BACKUP, HAN, ID, KEY, PATHS, QUALITY, SETS, WS, author_slug, has, keywords, q, trim
+from skein.plans.oracle import ACTIVE, BACKUP, HAN, ID, KEY, QUALITY, SETS, WS, has, keywords, q, trim
 from skein.runtime import table
 from skein.sources import listing, records
 
@@ -132,6 +132,37 @@ def _fixtures(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return expected, m.select(fixture, F.col("mem_no").alias("pos"), "mem_type", "title", F.concat_ws(" ", "title", "content").alias("text"))
 
 
+def fixtures_scored(spark: SparkSession, d: str) -> DataFrame:
+    """The scores of every conversation and day as a fixture."""
+    expected, extracted = _fixtures(spark, d)
+    fixtures = expected.select("fixture_id").unionByName(extracted.select("fixture_id")).distinct().withColumn("error", F.lit(None).cast("string"))
+    return reports.by_fixture(scoring.matches(expected, extracted), fixtures)
+
+
+def import_counts(memories: DataFrame) -> DataFrame:
+    """What importing the backup copies into the other records would do, by author."""
+    backup = F.coalesce(F.startswith("file_path", F.lit("backup/")), F.lit(False))
+    return bundle.take_over(memories.where(backup), memories.where(~backup))
+
+
+def first_node(memories: DataFrame) -> DataFrame:
+    """The records of the lowest node id."""
+    lowest = memories.agg(F.min(jstext.node_id(F.col("mem_type"), F.col("mem_date"), F.col("title")))).first()[0]
+    return reports.by_node(memories, lowest).select("mem_no")
+
+
+def sources(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and conversations of every source, over messages and listings."""
+    rows = table(spark, d, "chat_messages").select("source", "conv_id").unionByName(table(spark, d, "conversation_meta").select("source", "conv_id"))
+    return rows.where("conv_id is not null").groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("conversations"))
+
+
+def enabled_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations of the sources that a configuration leaves on."""
+    config = {"sources": {"windsurf": {"enabled": False}}}
+    return _metas(spark, d).where(F.col("source").isin(*(s for s in bundle.SOURCES if extraction.enabled(config, s)))).select("conv_id")
+
+
 def within_extractions(memories: DataFrame) -> DataFrame:
     """Records that stay of those that one extraction gave: one conversation on one day."""
     runs = memories.where("source_id is not null and mem_date is not null").withColumn("run", F.concat_ws("/", "source_id", "mem_date"))
@@ -150,7 +181,7 @@ QUERIES = {
     "f13_focus": on("memories", lambda m: reports.focused(m, "retry").select("mem_no")),
     "f14_answers": answers,
     "f15_rule_subset": on("memories", lambda m: render.rule_subset(m).select("mem_no")),
-    "f18_enabled": lambda s, d: _metas(s, d).where(F.col("source").isin(*[x for x in ("cursor", "claude-code", "windsurf", "copilot", "codex") if extraction.enabled({"sources": {"windsurf": {"enabled": False}}}, x)])).select("conv_id"),
+    "f18_enabled": enabled_sources,
     "f19_visible_edges": on("memories", edges_visible),
     "f19_page": on("memories", lambda m: reports.page(m, 2, 25).select("mem_no")),
     "s04_line_counts": on("turn_exports", lambda t: listing.line_counts(t, "file_id", "raw")),
@@ -160,7 +191,7 @@ QUERIES = {
     "s12_session_turns": on("copilot_files", lambda f: listing.session_turns(f).select("file_id", "request_ord", "role", F.md5("text").alias("digest"))),
     "s13_session_listing": on("copilot_files", listing.session_listing),
     "s16_lookup": lambda s, d: listing.lookup(_metas(s, d), _metas(s, d).agg(F.min("conv_id")).first()[0]).select("conv_id", "turns"),
-    "s17_sources": lambda s, d: table(s, d, "chat_messages").select("source", "conv_id").unionByName(table(s, d, "conversation_meta").select("source", "conv_id")).where("conv_id is not null").groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("conversations")),
+    "s17_sources": sources,
     "s18_store_files": on("memories", lambda m: listing.store_files(m).select("mem_no", "folder_type", "folder_author")),
     "s19_written_back": on("memories", written_back),
     "s20_bundle_errors": on("memories", lambda m: m.select("mem_no", bundle.first_error().alias("error")).where("error is not null")),
@@ -169,7 +200,7 @@ QUERIES = {
     "k03_alive": on("memories", lambda m: manifest(m).join(manifest(m).where("not startswith(path, 'backup/')").select("path").distinct(), "path", "left_semi").select("source_id").distinct()),
     "k06_export": on("memories", lambda m: bundle.entries(m, ("decision", "convention")).select("mem_no", "context", "source_title", "status")),
     "p01_records": on("memories", lambda m: bundle.records(bundle.entries(m, resolved=True)).select("mem_no", "context", "source_title", "status")),
-    "k07_import": lambda s, d: bundle.take_over(*(lambda m: (m.where("startswith(file_path, 'backup/')"), m.where("not coalesce(startswith(file_path, 'backup/'), false)")))(table(s, d, "memories"))),
+    "k07_import": on("memories", import_counts),
     "k08_notes": on("memories", lambda m: render.notes(m).select("mem_no", "path", F.md5("raw").alias("digest"))),
     "k10_rule_entries": on("memories", lambda m: render.sections(m).select("section", "mem_no", F.md5("entry").alias("digest"))),
     "k12_skill_entries": on("memories", lambda m: render.skill_rows(m).select("skill", "mem_no", F.md5("entry").alias("digest"))),
@@ -188,7 +219,7 @@ QUERIES = {
     "a05_pair_counts": on("memories", reports.pair_counts),
     "a05_summary": on("memories", reports.quality_summary),
     "a05_vague_samples": on("memories", lambda m: reports.vague_samples(m).select("mem_no", "content")),
-    "a10_fixtures": lambda s, d: (lambda e, x: reports.by_fixture(scoring_matches(e, x), e.select("fixture_id").unionByName(x.select("fixture_id")).distinct().withColumn("error", F.lit(None).cast("string"))))(*_fixtures(s, d)),
+    "a10_fixtures": fixtures_scored,
     "a11_misses": lambda s, d: reports.misses(*_fixtures(s, d)).select("fixture_id", "pos", "hits", "needed", "same_type"),
     "a12_evidence": lambda s, d: scored(s, d).select("mem_no", F.size("matched").alias("matched"), F.size("missed").alias("missed"), "full", "partial"),
     "a13_evidence_by_type": lambda s, d: reports.evidence_by_type(scored(s, d), "mem_type"),
@@ -200,19 +231,13 @@ QUERIES = {
     "r11_tiers": on("memories", lambda m: render.tiered(m).select("tier", "mem_no")),
     "j04_new_links": new_links,
     "j11_history": lambda s, d: reports.file_history(table(s, d, "memories"), table(s, d, "commits")),
-    "j13_by_node": lambda s, d: (lambda m: reports.by_node(m, m.agg(F.min(jstext.node_id(F.col("mem_type"), F.col("mem_date"), F.col("title")))).first()[0]).select("mem_no"))(table(s, d, "memories")),
+    "j13_by_node": on("memories", first_node),
     "w06_index_updates": index_updates,
     "d03_within_extractions": on("memories", within_extractions),
     "d04_reindex": on("memories", dedup.reindex),
 }
 
 
-def scoring_matches(expected: DataFrame, extracted: DataFrame) -> DataFrame:
-    from skein.operators import scoring
-
-    return scoring.matches(expected, extracted)
-
-
 B = lambda c: f"coalesce({c}, '')"
 GIVEN = lambda c, lead: f"CASE WHEN {B(c)} <> '' THEN {q(lead)} || {c} END"
 NL = "chr(10)"

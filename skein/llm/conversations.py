@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.personal import lower_bound
 from skein.operators.neighbours import with_previous, with_running
 from skein.runtime import cut
 
@@ -27,8 +28,9 @@ OTHER = ("system", "tool", "developer")
 FIRST_S, END_S = 1_672_531_200, 1_798_761_600
 NS = 10**9
 
-#: A source's clock is skewed if more than this share of its replies comes before their questions
-#: and the shift mends more than REMEDY of the infeasible constraints; single broken conversations reach neither.
+#: A source's clock is skewed if more than this share of its replies comes before their questions,
+#: by the lower bound of one standard deviation, so that one reply alone proves nothing, and the
+#: shift mends more than REMEDY of the infeasible constraints.
 SKEWED, REMEDY = 0.5, 0.5
 
 #: Bucket widths that keep one conversation out of one task.
@@ -110,8 +112,8 @@ def clock_offsets(usable: DataFrame) -> DataFrame:
     """
     bounds = cut(reply_constraints(usable).select("source", "least", "most").where("source is not null"))
     count = lambda d: (F.count_if(F.col("least") > d) + F.count_if(F.col("most") < d))
-    early = F.count_if(F.col("least") > 0) > SKEWED * F.count("least")
-    sums = cut(bounds.groupBy("source").agg((F.count("least") + F.count("most")).alias("constraints"), count(F.lit(0)).alias("infeasible"), early.alias("skewed")))
+    early = lower_bound(F.count_if(F.col("least") > 0), F.nullif(F.count("least"), F.lit(0))) > SKEWED
+    sums = cut(bounds.groupBy("source").agg((F.count("least") + F.count("most")).alias("constraints"), count(F.lit(0)).alias("infeasible"), F.coalesce(early, F.lit(False)).alias("skewed")))
     shifts = cut(sums.where("skewed").select("source", F.lit(0.0).alias("d"), F.lit(0.0).alias("step")))
     while not shifts.where(F.abs("step") > NS // 1000).isEmpty() or not shifts.where("d = 0 and step = 0").isEmpty():
         held = bounds.join(shifts, "source")

@@ -114,9 +114,13 @@ def prefixes(nodes: DataFrame) -> DataFrame:
     Sets of sizes m and n with a Jaccard similarity s share at least s * max(m, n) shingles, so
     the lowest that they share is among the lowest m - ceil(s * m) + 1 of either.
     """
-    w = F.split("words", " ")
-    hashed = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, SHINGLE), " ")))
-    grams = nodes.select("node", F.array_sort(F.array_distinct(hashed)).alias("grams"))
+
+    def hashed(w):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, SHINGLE), " ")))
+
+    # The words are bound once; written into the inner lambda they would be split again for every shingle.
+    every = F.flatten(F.transform(F.array(F.split("words", " ")), hashed))
+    grams = nodes.select("node", F.array_sort(F.array_distinct(every)).alias("grams"))
     size = F.size("grams")
     first = size - F.ceil(size * SIMILAR - 1e-9).cast("int") + 1
     return grams.select("node", size.alias("size"), F.explode(F.slice("grams", F.lit(1), first)).alias("gram"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,16 +25,21 @@ def matches(expected: DataFrame, extracted: DataFrame) -> DataFrame:
     fits = F.forall("must", lambda n: F.contains(F.col("text"), F.lower(n))) & ~F.exists("must_not", lambda n: F.contains(F.col("text"), F.lower(n)))
     pairs = e.join(x, "fixture_id").where((F.col("et") == F.col("xt")) & fits).select("fixture_id", "e", "x")
 
-    def greedy(part: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for number, group in part.sort_values(["e", "x"]).groupby("e"):
-            free = [v for v in group["x"] if v not in used]
-            if free:
-                used.add(free[0])
-                out.append((part["fixture_id"].iloc[0], number, free[0]))
-        return pd.DataFrame(out, columns=["fixture_id", "e", "x"])
-
-    hit = pairs.groupBy("fixture_id").applyInPandas(greedy, pairs.schema)
+    def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, es, xs in zip(batch["fixture_id"], batch["es"], batch["xs"]):
+                used, done = set(), set()
+                for i, v in zip(es, xs):
+                    if i not in done and v not in used:
+                        used.add(v)
+                        done.add(i)
+                        out.append((name, i, v))
+            yield pd.DataFrame(out, columns=["fixture_id", "e", "x"])
+
+    # many fixtures a batch: a call of Python for each would be most of the time
+    whole = pairs.groupBy("fixture_id").agg(F.array_sort(F.collect_list(F.struct("e", "x"))).alias("p")).select("fixture_id", F.col("p.e").alias("es"), F.col("p.x").alias("xs"))
+    hit = whole.mapInPandas(greedy, pairs.schema)
     tp = e.join(hit, ["fixture_id", "e"]).select("fixture_id", F.col("et").alias("mem_type"), F.lit("tp").alias("outcome"))
     fn = e.join(hit, ["fixture_id", "e"], "left_anti").select("fixture_id", F.col("et").alias("mem_type"), F.lit("fn").alias("outcome"))
     fp = x.join(hit, ["fixture_id", "x"], "left_anti").select("fixture_id", F.col("xt").alias("mem_type"), F.lit("fp").alias("outcome"))

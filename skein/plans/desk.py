@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import jstext
-from skein.operators import bundle, dedup, extraction, linking, render, reports, search, stats, store
+from skein.operators import bundle, dedup, extraction, linking, render, reports, scoring, search, stats, store
 from skein.plans import library, oracle
 from skein.plans.records import _each as nested_each
 from skein.plans.oracle import ACTIVE, BACKUP, HAN, ID, KEY, QUALITY, SETS, WS, has, keywords, q, trim

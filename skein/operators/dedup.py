@@ -73,7 +73,7 @@ def within(df: DataFrame, group: str, order: str) -> DataFrame:
 def against(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     """new without rows that are similar to an old row of their type, or contained in one."""
     n, o = similarity.shingle_sets(new, key, "mem_type", "content"), similarity.shingle_sets(old, key, "mem_type", "content")
-    cn, co = cut(similarity.classes(n)), cut(similarity.classes(o))
+    cn, co = similarity.classes(n), similarity.classes(o)
     digest = lambda df: df.withColumn("d", F.md5(F.array_join(F.transform("grams", lambda g: g.cast("string")), ",")))
     # more than JACCARD of both sets together is more than JACCARD of the new one
     found = similarity.met_in(cn, co, JACCARD).where((F.col("jaccard") > JACCARD) | (F.col("contained") > CONTAINED))
@@ -87,8 +87,8 @@ def without_repeated_todos(df: DataFrame, key: str, group: str) -> DataFrame:
     """df without todos whose title and content are contained in an anchor record of the same group."""
     todo = df.where("mem_type = 'todo'").withColumn("__t", F.concat_ws(" ", "title", "content"))
     anchor = df.where(F.col("mem_type").isin(*ANCHORS)).withColumn("__t", F.concat_ws(" ", "title", "content", "reasoning"))
-    sets = similarity.shingle_sets(todo, key, group, "__t").select("grp", F.col("id").alias("rep"), F.lit(1).alias("copies"), "grams").where(F.size("grams") > 0)
-    others = similarity.shingle_sets(anchor, key, group, "__t").select("grp", F.col("id").alias("rep"), F.lit(1).alias("copies"), "grams").where(F.size("grams") > 0)
+    sets = similarity.shingle_sets(todo, key, group, "__t").select("grp", F.col("id").alias("rep"), F.lit(1).alias("copies"), "text", "grams").where(F.size("grams") > 0)
+    others = similarity.shingle_sets(anchor, key, group, "__t").select("grp", F.col("id").alias("rep"), F.lit(1).alias("copies"), "text", "grams").where(F.size("grams") > 0)
     gone = similarity.contained_in(sets, others, CONTAINED).select(F.col("a").alias("__gone")).distinct()
     return df.join(gone, F.col(key) == F.col("__gone"), "left_anti")
 
@@ -111,9 +111,11 @@ def reindex(df: DataFrame, key: str = "mem_no") -> DataFrame:
     vague = jstext.is_vague(F.col("content"), F.col("impact"))
     rows = cut(df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), "mem_type", "content", vague.alias("vague"), F.length("content").alias("len")))
     sets = similarity.shingle_sets(rows.where("not vague"), "id", "mem_type", "content").where(F.size("grams") > 0)
-    keyed = cut(sets.join(rows.select("id", "len"), "id").withColumn("d", F.md5(F.array_join(F.transform("grams", lambda g: g.cast("string")), ","))))
-    classes = similarity.classes(keyed.select("grp", "id", "grams"))
-    nodes = cut(keyed.groupBy("grp", "d", "len").agg(F.min("id").alias("node"), F.first(F.size("grams")).alias("size")).join(keyed.groupBy(F.col("grp").alias("g"), F.col("d").alias("h")).agg(F.min("id").alias("rep")), F.col("grp").eqNullSafe(F.col("g")) & (F.col("d") == F.col("h"))).select("node", "len", "size", "rep", "grp", "d"))
+    # digests instead of the sets, which take several times the room of their texts
+    digests = sets.select("grp", "id", F.size("grams").alias("n_grams"), similarity.digest().alias("d"))
+    keyed = cut(digests.join(rows.select("id", "len"), "id"))
+    classes = similarity.classes(sets)
+    nodes = cut(keyed.groupBy("grp", "d", "len").agg(F.min("id").alias("node"), F.first("n_grams").alias("size")).join(keyed.groupBy(F.col("grp").alias("g"), F.col("d").alias("h")).agg(F.min("id").alias("rep")), F.col("grp").eqNullSafe(F.col("g")) & (F.col("d") == F.col("h"))).select("node", "len", "size", "rep", "grp", "d"))
     pairs = similarity.similar_pairs(classes).select("a", "b", F.when(F.col("jaccard") > JACCARD, "duplicate").otherwise("subsumed").alias("why"))
     side = lambda x: nodes.select(F.col("rep").alias(x), F.col("node").alias(f"n{x}"), F.col("len").alias(f"l{x}"), F.col("size").alias(f"s{x}"))
     across = pairs.join(side("a"), "a").join(side("b"), "b")

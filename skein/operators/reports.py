@@ -11,6 +11,7 @@ from skein.functions import jstext
 from skein.functions.jstext import WS
 from skein.operators import similarity
 from skein.operators.extraction import TYPES
+from skein.runtime import cut
 
 
 def contains_any(columns: tuple[str, ...], words: str) -> Column:
@@ -64,7 +65,13 @@ def conversation_records(memories: DataFrame) -> DataFrame:
     return joined.select("source_id", "mem_no", key.alias("id"), "title", F.coalesce("mem_date", F.lit("")).alias("mem_date"), F.coalesce("status", F.lit("active")).alias("status"), F.col("first_author").alias("author"))
 
 
-def pair_counts(memories: DataFrame) -> DataFrame:
+def near_pairs(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes (grp, rep, copies) of records with equal shingles, and the similar pairs of them."""
+    classes = similarity.classes(similarity.shingle_sets(memories, "mem_no", "mem_type", "content"))
+    return cut(classes.select("grp", "rep", "copies")), cut(similarity.similar_pairs(classes).select("a", "b", "jaccard"))
+
+
+def pair_counts(memories: DataFrame, near: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(reason, n): pairs of records of one type that are duplicates or subsumed.
 
     Records with equal shingles are one class, whose pairs are counted from its size; pairs
@@ -75,10 +82,9 @@ def pair_counts(memories: DataFrame) -> DataFrame:
     digest = F.md5(F.array_join(F.transform("grams", lambda g: g.cast("string")), ","))
     sizes = sets.groupBy("grp", digest.alias("d")).agg(F.count("*").alias("k"))
     within = sizes.select(F.lit("duplicate").alias("reason"), (F.col("k") * (F.col("k") - 1) / 2).cast("bigint").alias("n"))
-    classes = similarity.classes(sets)
-    pairs = similarity.similar_pairs(classes)
-    copies = classes.select(F.col("rep"), "copies")
-    joined = pairs.join(copies.select(F.col("rep").alias("a"), F.col("copies").alias("x")), "a").join(copies.select(F.col("rep").alias("b"), F.col("copies").alias("y")), "b")
+    classes, pairs = near or near_pairs(memories)
+    copies = lambda k, n: classes.select(F.col("rep").alias(k), F.col("copies").alias(n)).hint("merge")
+    joined = pairs.join(copies("a", "x"), "a").join(copies("b", "y"), "b")
     across = joined.select(F.when(F.col("jaccard") > similarity.JACCARD, "duplicate").otherwise("subsumed").alias("reason"), (F.col("x") * F.col("y")).alias("n"))
     # an empty set is contained in every other one of its type
     empty = sets.groupBy("grp").agg(F.count_if(F.size("grams") == 0).alias("e"), F.count_if(F.size("grams") > 0).alias("f"))
@@ -88,12 +94,12 @@ def pair_counts(memories: DataFrame) -> DataFrame:
     return names.join(sums, "reason", "left").select("reason", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def flagged_paths(memories: DataFrame) -> DataFrame:
+def flagged_paths(memories: DataFrame, near: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(file_path): files of records that are vague, or similar to another record of their type."""
     vague = memories.where(jstext.is_vague(F.col("content"), F.col("impact"))).select("file_path")
     sets = similarity.shingle_sets(memories, "mem_no", "mem_type", "content").withColumn("d", F.md5(F.array_join(F.transform("grams", lambda g: g.cast("string")), ",")))
     sizes = sets.groupBy(F.col("grp").alias("sg"), F.col("d").alias("sd")).agg(F.count("*").alias("k"), F.min("id").alias("rep"), F.first(F.size("grams") == 0).alias("empty"))
-    pairs = similarity.similar_pairs(similarity.classes(sets.drop("d")))
+    _, pairs = near or near_pairs(memories)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("near", F.lit(True))
     per_type = sizes.groupBy(F.col("sg").alias("tg")).agg(F.max("empty").alias("has_empty"), F.sum("k").alias("every"))
     state = sizes.join(ends, "rep", "left").join(per_type, F.col("sg").eqNullSafe(F.col("tg")))
@@ -105,8 +111,9 @@ def flagged_paths(memories: DataFrame) -> DataFrame:
 def quality_summary(memories: DataFrame) -> DataFrame:
     """(metric, n): total, vague, duplicates, subsumed, flagged, healthy and flagged_pct of the store."""
     counts = memories.agg(F.count("*").alias("total"), F.count_if(jstext.is_vague(F.col("content"), F.col("impact"))).alias("vague"))
-    pairs = pair_counts(memories).agg(F.max(F.when(F.col("reason") == "duplicate", F.col("n"))).alias("duplicates"), F.max(F.when(F.col("reason") == "subsumed", F.col("n"))).alias("subsumed"))
-    flagged = flagged_paths(memories).agg(F.count("*").alias("flagged"))
+    near = near_pairs(memories)
+    pairs = pair_counts(memories, near).agg(F.max(F.when(F.col("reason") == "duplicate", F.col("n"))).alias("duplicates"), F.max(F.when(F.col("reason") == "subsumed", F.col("n"))).alias("subsumed"))
+    flagged = flagged_paths(memories, near).agg(F.count("*").alias("flagged"))
     # one row each
     one = counts.join(pairs, F.lit(True)).join(flagged, F.lit(True))
     one = one.withColumn("healthy", F.col("total") - F.col("flagged")).withColumn("flagged_pct", F.when(F.col("total") > 0, F.floor(100 * F.col("flagged") / F.col("total") + 0.5)).otherwise(0))

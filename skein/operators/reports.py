@@ -133,9 +133,16 @@ def file_history(memories: DataFrame, commits: DataFrame) -> DataFrame:
     A record is placed by its newest commit, else by its own date (`place`). Dates are compared
     as written. A commit listed twice counts once.
     """
-    linked = memories.select("mem_no", F.explode(F.flatten(F.transform("links.implementations", lambda x: F.coalesce(x["paths"], F.array().cast("array<string>"))))).alias("path")).where("path is not null").distinct()
-    changes = commits.where("full_sha is not null").select("full_sha", "commit_date", F.explode("paths").alias("path")).groupBy("full_sha", "path").agg(F.max("commit_date").alias("commit_date"))
-    met = linked.join(changes, "path").groupBy("mem_no").agg(F.countDistinct("full_sha").alias("commits"), F.max("commit_date").alias("last_commit"))
+    named = F.filter(F.flatten(F.transform("links.implementations", lambda x: F.coalesce(x["paths"], F.array().cast("array<string>")))), lambda p: p.isNotNull())
+    linked = memories.select("mem_no", F.array_sort(F.array_distinct(named)).alias("files")).where("size(files) > 0")
+    changes = commits.where("full_sha is not null").select("full_sha", "commit_date", F.explode("paths").alias("path")).where("path is not null")
+    # records of the same files, and commits of the same files, meet once
+    asked = linked.select("files").distinct().select("files", F.explode("files").alias("path"))
+    made = changes.groupBy("full_sha").agg(F.array_sort(F.collect_set("path")).alias("changed")).groupBy("changed").agg(F.count("*").alias("n")).select("changed", "n", F.explode("changed").alias("path"))
+    once = F.array_min(F.array_intersect("files", "changed")) == F.col("path")
+    both = asked.join(made.hint("merge"), "path").where(once).groupBy("files").agg(F.sum("n").alias("commits"))
+    last = asked.join(changes.groupBy("path").agg(F.max("commit_date").alias("date")), "path").groupBy("files").agg(F.max("date").alias("last_commit"))
+    met = linked.join(both, "files").join(last, "files").select("mem_no", "commits", "last_commit")
     joined = memories.select("mem_no", "mem_date").join(met, "mem_no", "left")
     return joined.select("mem_no", F.coalesce("commits", F.lit(0)).alias("commits"), "last_commit", F.coalesce("last_commit", "mem_date").alias("place"))
 

@@ -48,3 +48,12 @@ def test_similar_pairs_equal_plain_sets(spark, monkeypatch, rows_a_block):
     pairs = similarity.similar_pairs(sets)
     assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()  # it took the driver's memory
     assert {(r.grp, r.a, r.b): (r.jaccard, r.contained) for r in pairs.collect()} == want and want
+
+
+def test_file_history_meets_each_set_of_files_once(spark):
+    rows = [(i, "2026-01-01", ([(["a", "b", None],), (None,)] if i % 2 else [(["z"],)],)) for i in range(4)] + [(9, "d", None)]
+    m = spark.createDataFrame(rows, "mem_no bigint, mem_date string, links struct<implementations array<struct<paths array<string>>>>")
+    c = spark.createDataFrame([("s", "2", ["a", "b"]), ("s", "1", ["a"]), ("t", "3", ["b", "c"]), ("u", "9", ["c"]), (None, "8", ["a"])], "full_sha string, commit_date string, paths array<string>")
+    found = reports.file_history(m, c)
+    assert sorted((r.mem_no, r.commits, r.last_commit, r.place) for r in found.collect()) == [(0, 0, None, "2026-01-01"), (1, 2, "3", "3"), (2, 0, None, "2026-01-01"), (3, 2, "3", "3"), (9, 0, None, "d")]
+    assert "distinct full_sha" not in found._jdf.queryExecution().toString()  # a row for each record and commit took the disk

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import jstext
@@ -10,6 +12,8 @@ from skein.runtime import cut
 
 #: Scores above the first link at once, above the second are suggested.
 AUTO, SUGGEST = 0.70, 0.40
+#: The fewest and the most bags of a block, and the blocks that the left side has while they are not too large.
+LEAST_ROWS, MOST_ROWS, BLOCKS = 2_000, 100_000, 6
 
 
 def bag(df: DataFrame, key: str, fields: list[tuple]) -> DataFrame:
@@ -43,44 +47,96 @@ def bag_classes(bags: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A bag has the words of a title and the first characters of a text, so a row stays small.
     """
-    whole = bags.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("token", "w"))).alias("bag"), F.sum("w").alias("total"))
+    whole = bags.where("id is not null").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("token", "w"))).alias("bag"), F.sum("w").alias("total"))
     keyed = cut(whole.withColumn("digest", F.md5(F.to_json("bag"))))
     classes = keyed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("total").alias("total"), F.first("bag").alias("bag"))
     members = keyed.select("id", "digest").join(classes.select("digest", "rep"), "digest").select("id", "rep")
     return classes.select("rep", "total", "bag"), members
 
 
-def rare_first(classes: DataFrame, seen: DataFrame, least: float, side: str) -> DataFrame:
-    """(token, side, side_total, side_before) of the tokens of each class in which a partner's first shared token can be.
+def shared_weights(xs: pd.DataFrame, ys: pd.DataFrame, least: float) -> tuple[np.ndarray, ...]:
+    """(r, c, low): rows r of xs and c of ys (total, tokens, weights) whose similarity can be `least`, low being the weight that they share.
 
-    Tokens go from rare to frequent; before is the weight of those before, at most what a pair
-    of similarity `least` may leave unshared.
+    The tokens of a row of xs go from rare to frequent. A partner's weight is `least` of the row's
+    or more, so that frequent tokens of less weight than that are looked up only for partners that
+    the others leave within reach.
     """
-    each = classes.select("rep", "total", F.explode("bag").alias("e")).select("rep", "total", "e.token", "e.w").join(seen, "token")
-    earlier = Window.partitionBy("rep").orderBy("seen", "token").rowsBetween(Window.unboundedPreceding, -1)
-    placed = each.withColumn("before", F.coalesce(F.sum("w").over(earlier), F.lit(0)))
-    return placed.where(F.col("before") <= F.col("total") * (1 - least)).select("token", F.col("rep").alias(side), F.col("total").alias(f"{side}_total"), F.col("before").alias(f"{side}_before"))
+    sizes = lambda df: df["tokens"].map(len).to_numpy()
+    rx, ry = np.repeat(np.arange(len(xs)), sizes(xs)), np.repeat(np.arange(len(ys)), sizes(ys))
+    both = np.concatenate([*xs["tokens"], *ys["tokens"]])
+    tokens, words = pd.factorize(both)
+    wx, wy = (np.concatenate(df["weights"].to_numpy()).astype(np.int64) for df in (xs, ys))
+    tx, ty = tokens[: len(rx)], tokens[len(rx) :]
+    order = np.argsort(ty, kind="stable")
+    rows, weights = ry[order], wy[order]
+    seen = np.bincount(ty, minlength=len(words))
+    ends = np.cumsum(seen)
+    starts = ends - seen
+    # tokens that ys do not have are nowhere to be found
+    kept = seen[tx] > 0
+    rx, tx, wx = rx[kept], tx[kept], wx[kept]
+    order = np.lexsort((tx, seen[tx], rx))
+    rx, tx, wx = rx[order], tx[order], wx[order]
+    to = np.cumsum(np.bincount(rx, minlength=len(xs)))
+    total_x, total_y = xs["total"].to_numpy(), ys["total"].to_numpy()
+    share = least / (1 + least)
+    needed_y = total_y * share - 1e-9
+    capped = {w: np.minimum(weights, w).astype(np.float64) for w in np.unique(wx).tolist()}
+    out = [(np.zeros(0, dtype=np.int64),) * 3]
+    for r in range(len(xs)):
+        span = slice(to[r - 1] if r else 0, to[r])
+        mine, own = tx[span], wx[span]
+        left = np.cumsum(own[::-1])[::-1]
+        first = int((left >= least * total_x[r]).sum())
+        if not first:
+            continue
+        at = list(zip(starts[mine].tolist(), ends[mine].tolist(), own.tolist()))
+        found = np.concatenate([rows[i:j] for i, j, _ in at[:first]])
+        low = np.bincount(found, np.concatenate([capped[w][i:j] for i, j, w in at[:first]]), len(ys))
+        rest = left[first] if first < len(left) else 0
+        c = np.flatnonzero((low >= needed_y + (share * total_x[r] - rest)) & (low > 0))
+        if not len(c):
+            continue
+        low = low[c]
+        for i, j, w in at[first:]:
+            place = np.minimum(np.searchsorted(rows[i:j], c), j - i - 1) + i
+            low += np.where(rows[place] == c, capped[w][place], 0)
+        keep = low >= needed_y[c] + share * total_x[r]
+        out.append((np.full(keep.sum(), r), c[keep], low[keep].astype(np.int64)))
+    return tuple(np.concatenate(v) for v in zip(*out))
 
 
 def linked(left: DataFrame, right: DataFrame, least: float = SUGGEST) -> DataFrame:
-    """(a, b, score): pairs of bags whose weighted Jaccard similarity is at least `least`. Exact.
+    """(a, b, score): pairs of bags whose weighted Jaccard similarity is at least `least`. Exact but for tokens of one 64-bit hash.
 
-    Equal bags are one class that is joined once. In one order of the tokens by rarity, the first
-    token that a qualifying pair shares has, on both sides, no more than 1 - least of the weight
-    before it; only such tokens look for partners, and a meeting counts only if what follows on
-    both sides can still reach the score.
+    Equal bags are one class that is joined once. Every block of classes of the left side meets
+    every block of the right side in a task of its own, so only bags are moved, once for every
+    block they meet, and no list of the pairs that share a token exists. The time grows with the
+    pairs that share one of their rarer tokens.
     """
     (lc, lm), (rc, rm) = bag_classes(left), bag_classes(right)
-    tokens = lc.select(F.explode("bag.token").alias("token")).unionByName(rc.select(F.explode("bag.token").alias("token")))
-    seen = tokens.groupBy("token").agg(F.count("*").alias("seen"))
-    met = rare_first(lc, seen, least, "a").join(rare_first(rc, seen, least, "b"), "token")
-    needed = (F.col("a_total") + F.col("b_total")) * (least / (1 + least)) - 1e-9
-    reach = F.least(F.col("a_total") - F.col("a_before"), F.col("b_total") - F.col("b_before"))
-    pairs = met.where(reach >= needed).select("a", "b").distinct()
-    x = lc.select(F.col("rep").alias("a"), F.col("total").alias("wa"), F.col("bag").alias("x"))
-    y = rc.select(F.col("rep").alias("b"), F.col("total").alias("wb"), F.map_from_entries("bag").alias("y"))
-    low = F.aggregate("x", F.lit(0).cast("bigint"), lambda s, e: s + F.least(e["w"], F.coalesce(F.element_at("y", e["token"]), F.lit(0).cast("bigint"))))
-    sums = pairs.join(x, "a").join(y, "b").select("a", "b", "wa", "wb", low.alias("low"))
+
+    def blocks_of(df: DataFrame, least_blocks: int) -> int:
+        n = df.count()
+        return -(-n // min(MOST_ROWS, max(LEAST_ROWS, -(-n // least_blocks)))) or 1
+
+    n_x, n_y = blocks_of(lc, BLOCKS), blocks_of(rc, 2)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int")
+
+    def spread(df: DataFrame, i, j):
+        hashed = F.transform("bag.token", lambda t: F.xxhash64(t))
+        rows = df.select(i.alias("i"), "rep", "total", hashed.alias("tokens"), F.transform("bag.w", lambda w: w.cast("int")).alias("weights"), j.alias("j"))
+        return rows.repartition(min(400, 2 * n_x * n_y), "i", "j").groupBy("i", "j")
+
+    def meet(xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
+        if not len(xs) or not len(ys):
+            return pd.DataFrame({c: [] for c in ("a", "b", "wa", "wb", "low")})
+        r, c, low = shared_weights(xs, ys, least)
+        return pd.DataFrame({"a": xs["rep"].to_numpy()[r], "b": ys["rep"].to_numpy()[c], "wa": xs["total"].to_numpy()[r], "wb": ys["total"].to_numpy()[c], "low": low})
+
+    kind = lambda df: df.schema["rep"].dataType.simpleString()
+    sums = spread(lc, own(n_x), every(n_y)).cogroup(spread(rc, every(n_x), own(n_y))).applyInPandas(meet, f"a {kind(lc)}, b {kind(rc)}, wa bigint, wb bigint, low bigint")
     scored = sums.select("a", "b", (F.col("low") / (F.col("wa") + F.col("wb") - F.col("low"))).alias("score")).where(F.col("score") >= least)
     members = scored.join(lm.select(F.col("rep").alias("a"), F.col("id").alias("ida")), "a").join(rm.select(F.col("rep").alias("b"), F.col("id").alias("idb")), "b")
     return members.select(F.col("ida").alias("a"), F.col("idb").alias("b"), "score")
@@ -101,12 +157,14 @@ def new_links(memories: DataFrame, commits: DataFrame, least: float = SUGGEST, a
     bag_m = memory_bag(memories)
     pairs = linked(bag_m, commit_bag(commits), least)
     known = memories.select(F.col("mem_no").alias("a"), F.explode("links.implementations.sha").alias("full_sha")).where("full_sha is not null").distinct()
-    sides = pairs.join(commits.select(F.col("commit_no").alias("b"), "full_sha", "paths"), "b").join(known, ["a", "full_sha"], "left_anti")
+    every = F.coalesce("paths", F.array().cast("array<string>"))
+    told = F.transform(every, lambda p: jstext.keywords(F.regexp_replace(p, r"[/\\._-]", " ")))
+    # bound to rows before the join, so that the words of a path are found once a commit and not once a pair
+    sides = pairs.join(cut(commits.select(F.col("commit_no").alias("b"), "full_sha", every.alias("paths"), told.alias("told"))), "b").join(known, ["a", "full_sha"], "left_anti")
     words = bag_m.groupBy(F.col("id").alias("a")).agg(F.collect_set("token").alias("words"))
     named = sides.join(words, "a")
-    every = F.coalesce("paths", F.array().cast("array<string>"))
-    hit = F.filter(every, lambda p: F.arrays_overlap(jstext.keywords(F.regexp_replace(p, r"[/\\._-]", " ")), F.col("words")))
-    paths = F.when(F.size(hit) > 0, hit).otherwise(F.slice(every, 1, 5))
+    hit = F.filter("paths", lambda p, i: F.arrays_overlap(F.get("told", i), F.col("words")))
+    paths = F.when(F.size(hit) > 0, hit).otherwise(F.slice("paths", 1, 5))
     band = F.when(F.col("score") >= auto, "auto").otherwise("suggest")
     return named.select(F.col("a").alias("mem_no"), F.col("b").alias("commit_no"), rounded(F.col("score")).alias("score"), band.alias("band"), paths.alias("paths"))
 

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 
 import __spark_entry__ as entry
-from skein.operators import dedup, reports, similarity
+from skein.operators import dedup, linking, reports, similarity
 
 D = "/root/testdata/sf0.001"
 
@@ -57,3 +57,29 @@ def test_file_history_meets_each_set_of_files_once(spark):
     found = reports.file_history(m, c)
     assert sorted((r.mem_no, r.commits, r.last_commit, r.place) for r in found.collect()) == [(0, 0, None, "2026-01-01"), (1, 2, "3", "3"), (2, 0, None, "2026-01-01"), (3, 2, "3", "3"), (9, 0, None, "d")]
     assert "distinct full_sha" not in found._jdf.queryExecution().toString()  # a row for each record and commit took the disk
+
+
+@pytest.mark.parametrize("rows_a_block", [2_000, 7])
+def test_linked_bags_equal_a_plain_pass(spark, monkeypatch, rows_a_block):
+    for name in ("LEAST_ROWS", "MOST_ROWS"):
+        monkeypatch.setattr(linking, name, rows_a_block, raising=False)
+    rng = random.Random(3)
+    words = ["cache", "lock", "约定", "queue", "src", *(f"w{i}" for i in range(40))]
+    bag = lambda: {w: rng.randrange(1, 7) for w in rng.sample(words[: rng.choice([5, 45])], rng.randrange(1, 6))}
+    left, right = {i: bag() for i in range(60)}, {i: bag() for i in range(70)}
+    left[60], right[70], right[71] = left[0], {"cache": 1000}, right[3]
+    rows = lambda bags: [(i, t, w) for i, b in bags.items() for t, w in b.items()]
+    frame = lambda r: spark.createDataFrame(r, "id bigint, token string, w bigint")
+    # a row without id with the words of another: it was linked as a record without number
+    a, b = frame(rows(left) + [(None, t, w) for t, w in left[0].items()]), frame(rows(right))
+    for least in (0.2, 0.4):
+        want = {}
+        for i, x in left.items():
+            for j, y in right.items():
+                low = sum(min(w, y.get(t, 0)) for t, w in x.items())
+                score = low / (sum(x.values()) + sum(y.values()) - low)
+                if score >= least:
+                    want[i, j] = score
+        found = linking.linked(a, b, least)
+        assert "SortMergeJoin [token" not in found._jdf.queryExecution().toString()  # all pairs that share a token took the time
+        assert {(r.a, r.b): r.score for r in found.collect()} == want and want

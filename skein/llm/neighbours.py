@@ -3,10 +3,14 @@
 Vectors of a model become unit vectors; equal ones form a class that is searched once. A rotation
 learned from a bounded sample (principal axes mixed by a random orthogonal matrix) turns a vector
 into binary codes of 8 parts. Parts are paired around a ring of 8 tables; a table is keyed by both
-parts of its pair. One side of the search probes the first part's codes within one bit, the other
-side the second part's, so that two vectors meet in a table exactly once if both parts differ by
-at most one bit. By the pigeonhole principle every pair of codes within a small Hamming radius
-meets somewhere. Pairs that meet are filtered by their whole codes and reranked by the floats.
+parts of its pair. A search probes the codes within one bit of both parts, so that two vectors meet
+in a table exactly once if both parts differ by at most one bit. By the pigeonhole principle every
+pair of codes within a small Hamming radius meets somewhere. Pairs that meet are filtered by their
+whole codes and reranked by the floats.
+
+Vectors and codes are written once to the shared folder. Every task reads them slice by slice,
+builds the tables of a slice in memory and looks its own vectors up there, so that neither probes
+nor pairs are ever shuffled.
 
 Codes find nearly all pairs of at least SURE, few of those further apart. A vector whose k
 neighbours by codes do not all reach SURE is therefore searched exactly, against every vector of
@@ -16,6 +20,7 @@ its model, in blocks; only a search for pairs of at least SURE goes without that
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.runtime import cut
+from skein.runtime import cut, shared_dir
 
 PARTS = 8
 #: Vectors per model that the rotation is learned from.
@@ -34,10 +39,12 @@ RADIUS = 0.33
 SURE = 0.9
 #: Buckets with more members than this are searched in blocks instead of by pairs.
 CROWDED = 2_000
+#: Vectors whose tables a task holds at once, files they are kept in at least, rows and pairs that are looked up at once.
+SLICE, FILES, ROWS_A_STEP, PAIRS_A_STEP = 250_000, 24, 2_000, 1_000_000
 
 
 def usable_vectors(entries: DataFrame) -> DataFrame:
-    """(model, id, v): one unit vector per id and model.
+    """(model, id, vector, norm): one vector per id and model; divided by its norm it is a unit vector.
 
     Vectors that are null, not of `dimension` numbers, not finite or all zero, and rows without
     id, model or dimension, do not take part. Of repeated rows of an id the smallest vector counts.
@@ -47,7 +54,12 @@ def usable_vectors(entries: DataFrame) -> DataFrame:
     rows = entries.where("id is not null and model is not null and vector is not null and dimension > 0").where((F.size("vector") == F.col("dimension")) & sound)
     rows = rows.select("model", "id", "vector", norm.alias("norm")).where("norm > 0")
     one = rows.groupBy("model", "id").agg(F.min(F.struct("vector", "norm")).alias("r"))
-    return one.select("model", "id", F.transform("r.vector", lambda x: x.cast("double") / F.col("r.norm")).alias("v"))
+    return one.select("model", "id", "r.vector", "r.norm")
+
+
+def unit():
+    """The unit vector of (vector, norm)."""
+    return F.transform("vector", lambda x: x.cast("double") / F.col("norm"))
 
 
 def rotations(vectors: DataFrame, bits: int, seed: int = 7) -> dict[str, np.ndarray]:
@@ -56,7 +68,11 @@ def rotations(vectors: DataFrame, bits: int, seed: int = 7) -> dict[str, np.ndar
     Directions go through the origin, so that the bits in which two codes differ follow the
     angle between the vectors whatever the sample's mean is. The sample takes the vectors with the smallest hashes of their ids, so it is the same on every run.
     """
-    ranked = vectors.withColumn("__r", F.row_number().over(Window.partitionBy("model").orderBy(F.xxhash64("id"), "id")))
+    place = F.row_number().over(Window.partitionBy("model").orderBy(F.xxhash64("id"), "id"))
+    # only ids are ranked, and only vectors up to the last hash of a sample are moved
+    last = vectors.select("model", "id").withColumn("__r", place).where(F.col("__r") <= SAMPLE).groupBy("model").agg(F.max(F.xxhash64("id")).alias("__last"))
+    few = vectors.join(F.broadcast(last), "model").where(F.xxhash64("id") <= F.col("__last")).select("model", "id", unit().alias("v"))
+    ranked = few.withColumn("__r", place)
     schema = "model string, axes array<array<double>>"
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
@@ -76,7 +92,7 @@ def rotations(vectors: DataFrame, bits: int, seed: int = 7) -> dict[str, np.ndar
 
 
 def with_codes(vectors: DataFrame, learned: dict, part_bits: int) -> DataFrame:
-    """(model, id, v, parts): the 8 parts of each vector's code as integers."""
+    """(nr, model, id, vector, norm, parts): vectors with a number and the 8 parts of their codes as integers."""
     shared = vectors.sparkSession.sparkContext.broadcast(learned)
     weights = 2 ** np.arange(part_bits)
 
@@ -85,88 +101,151 @@ def with_codes(vectors: DataFrame, learned: dict, part_bits: int) -> DataFrame:
             parts = np.zeros((len(batch), PARTS), dtype=np.int32)
             for model, rows in batch.groupby("model").indices.items():
                 axes = shared.value[model]
-                x = np.stack(batch["v"].to_numpy()[rows]).astype(np.float64)
+                x = np.stack(batch["vector"].to_numpy()[rows]).astype(np.float64) / batch["norm"].to_numpy()[rows][:, None]
                 parts[rows] = (x @ axes.T > 0).reshape(len(rows), PARTS, part_bits) @ weights
             batch["parts"] = list(parts)
             yield batch
 
-    return vectors.select("model", "id", "v").mapInPandas(run, "model string, id string, v array<double>, parts array<int>")
+    numbered = vectors.select(F.monotonically_increasing_id().alias("nr"), "model", "id", "vector", "norm")
+    return numbered.mapInPandas(run, "nr bigint, model string, id string, vector array<float>, norm double, parts array<int>")
 
 
-def probes(coded: DataFrame, part_bits: int, flip_first: bool) -> DataFrame:
-    """(bucket, id, low, high): where a vector stands or looks in the tables, for the codes within one bit in one part of each table's pair.
+class Coded:
+    """Vectors of one model with their codes, as arrays."""
 
-    bucket is a hash of model, table and key; low and high are the code's parts, packed. Buckets
-    that fall together only bring candidates that the codes tell apart.
-    """
-    flips = F.array(F.lit(0), *(F.lit(1 << b) for b in range(part_bits)))
-    i = F.col("table")
-    a, b = F.get("parts", i), F.get("parts", (i + 1) % PARTS)
-    a, b = (a.bitwiseXOR(F.col("flip")), b) if flip_first else (a, b.bitwiseXOR(F.col("flip")))
+    def __init__(self, rows: pd.DataFrame, part_bits: int):
+        self.nr, self.id, self.norm = rows["nr"].to_numpy(), rows["id"].to_numpy(), rows["norm"].to_numpy()
+        self.x = np.stack(rows["vector"].to_numpy()).astype(np.float32)
+        self.parts = np.stack(rows["parts"].to_numpy()).astype(np.int64)
+        packed = lambda first: sum(self.parts[:, first + n] << (n * part_bits) for n in range(PARTS // 2))
+        self.low, self.high = packed(0), packed(PARTS // 2)
 
-    def packed(first: int):
-        out = F.lit(0).cast("bigint")
-        for n in range(first, first + PARTS // 2):
-            out = F.shiftleft(out, part_bits) + F.col("parts")[n]
-        return out
+    def units(self, rows: np.ndarray) -> np.ndarray:
+        return self.x[rows].astype(np.float64) / self.norm[rows][:, None]
 
-    rows = coded.select("model", "id", "parts", packed(0).alias("low"), packed(PARTS // 2).alias("high"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("table")).withColumn("flip", F.explode(flips))
-    return rows.select(F.xxhash64("model", "table", F.shiftleft(a.cast("bigint"), part_bits) + b).alias("bucket"), "id", "low", "high")
 
+def similarities(own: Coded, other: Coded, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The rounded similarities of rows r of own and c of other."""
+    return np.round(np.concatenate([np.einsum("ij,ij->i", own.units(r[i : i + 50_000]), other.units(c[i : i + 50_000])) for i in range(0, len(r), 50_000)] or [np.zeros(0)]), 10)
 
-def candidates(coded: DataFrame, part_bits: int) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
-    """(a, b), a < b: pairs of ids that meet in a table and whose codes are close; and both sides' probes of crowded buckets."""
-    left, right = probes(coded, part_bits, True), probes(coded, part_bits, False)
-    crowded = cut(right.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("bucket"))
-    far = int(RADIUS * PARTS * part_bits)
-    ours, theirs = (left, right) if crowded.isEmpty() else (left.join(crowded, "bucket", "left_anti"), right.join(crowded, "bucket", "left_anti"))
-    apart = F.bit_count(F.col("low").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high_b")))
-    met = ours.select("bucket", F.col("id").alias("a"), "low", "high").join(theirs.select("bucket", F.col("id").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b")), "bucket")
-    plain = met.where((F.col("a") < F.col("b")) & (apart <= far)).select("a", "b")
-    return plain.distinct(), (left.join(crowded, "bucket", "left_semi").select("bucket", "id"), right.join(crowded, "bucket", "left_semi").select("bucket", "id"))
 
+def crowd(own: Coded, other: Coded, probing: np.ndarray, members: np.ndarray, k: int, rows_a_step: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """(r, c): the k most similar members of one bucket for each probing row, compared as matrices of 4,000 members at most."""
+    r, c = [], []
+    for lo in range(0, len(members), 4_000):
+        part = members[lo : lo + 4_000]
+        y = other.units(part).T
+        for i in range(0, len(probing), rows_a_step):
+            rows = probing[i : i + rows_a_step]
+            s = own.units(rows) @ y
+            s[own.nr[rows][:, None] == other.nr[part][None, :]] = -2
+            m = min(k, len(part))
+            top = np.argpartition(-s, m - 1, axis=1)[:, :m]
+            r.append(np.repeat(rows, m))
+            c.append(part[top].ravel())
+    r, c = np.concatenate(r), np.concatenate(c)
+    keep = own.nr[r] != other.nr[c]
+    return r[keep], c[keep]
 
-def top_of_blocks(left: DataFrame, right: DataFrame, coded: DataFrame, k: int, rows_a_block: int = 1_000) -> DataFrame:
-    """(a, b), a < b: for members of crowded buckets the k most similar members, found in blocks.
 
-    Every block of probing vectors meets every block of members of its bucket; a task holds two
-    blocks of floats and gives k rows per vector, so no list of pairs of a bucket ever exists.
+def meetings(own: Coded, other: Coded, part_bits: int, k: int, crowded: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(r, c), in steps: rows of own and other vectors that meet in a table and whose codes are close; a pair may come again only from crowded buckets."""
+    flips = np.concatenate([[0], 1 << np.arange(part_bits)])
+    both = ((flips[:, None] << part_bits) ^ flips[None, :]).ravel()
+    far = int(RADIUS * PARTS * part_bits)
+    one_bit = lambda r, c, t: np.bitwise_count(own.parts[r, t % PARTS] ^ other.parts[c, t % PARTS]) <= 1
+    for t in range(PARTS):
+        key = lambda of: (of.parts[:, t] << part_bits) | of.parts[:, (t + 1) % PARTS]  # noqa: E731, B023
+        theirs, mine = key(other), key(own)
+        order = np.argsort(theirs, kind="stable")
+        counts = np.bincount(theirs, minlength=1 << 2 * part_bits)
+        starts = np.cumsum(counts) - counts
+        for lo in range(0, len(mine), ROWS_A_STEP):
+            probed = (mine[lo : lo + ROWS_A_STEP, None] ^ both[None, :]).ravel()
+            n = counts[probed]
+            rows = lo + np.flatnonzero(n) // len(both)
+            probed, n = probed[n > 0], n[n > 0]
+            full = n > crowded
+            for bucket in np.unique(probed[full]):
+                yield crowd(own, other, rows[probed == bucket], order[starts[bucket] : starts[bucket] + counts[bucket]], k)
+            rows, probed, n = rows[~full], probed[~full], n[~full]
+            ends = np.cumsum(n)
+            bounds = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, PAIRS_A_STEP), "left").tolist() + [len(n)]
+            for i, j in zip(bounds, bounds[1:]):
+                r = np.repeat(rows[i:j], n[i:j])
+                c = order[np.arange(len(r)) + np.repeat(starts[probed[i:j]] - (ends[i:j] - n[i:j] - (ends[i] - n[i] if j > i else 0)), n[i:j])]
+                near = np.bitwise_count(own.low[r] ^ other.low[c]) + np.bitwise_count(own.high[r] ^ other.high[c]) <= far
+                r, c = r[near], c[near]
+                new = own.nr[r] != other.nr[c]
+                for u in range(t):
+                    new &= ~(one_bit(r, c, u) & one_bit(r, c, u + 1))
+                yield r[new], c[new]
+
+
+def best_of(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k most similar rows (r, other, s) of each r, each once, ties by the smaller other."""
+    ranked = found.drop_duplicates(["r", "other"]).sort_values(["r", "s", "other"], ascending=[True, False, True], kind="stable")
+    return ranked[ranked.groupby("r").cumcount() < k]
+
+
+def by_codes(coded: DataFrame, folder: str, slices: list[list[str]], part_bits: int, k: int, least: float | None) -> DataFrame:
+    """(model, id, other, similarity, rank): the k most similar of the vectors that codes bring together, ties by the smaller id.
+
+    A task holds its own vectors and one slice of all vectors, read from the shared folder.
     """
-    on = ["bucket"]
-    vectors = coded.select("model", "id", "v")
-
-    def spread(df: DataFrame, name: str) -> DataFrame:
-        sizes = df.groupBy(*on).agg(F.ceil(F.count("*") / rows_a_block).alias("blocks"))
-        return df.join(sizes, on).withColumn(name, F.pmod(F.xxhash64("id"), F.col("blocks")))
-
-    q, c = spread(left, "qb"), spread(right, "cb")
-    n_q = q.select(*on, F.col("blocks").alias("nq")).distinct()
-    n_c = c.select(*on, F.col("blocks").alias("nc")).distinct()
-    q = q.join(n_c, on).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nc") - 1))).join(vectors, "id")
-    c = c.join(n_q, on).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nq") - 1))).join(vectors, "id")
-
-    def best(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        if qs.empty or cs.empty:
-            return pd.DataFrame({"a": [], "b": []})
-        x, y = np.stack(qs["v"].to_numpy()), np.stack(cs["v"].to_numpy())
-        ids_q, ids_c = qs["id"].to_numpy(), cs["id"].to_numpy()
-        s = x @ y.T
-        s[ids_q[:, None] == ids_c[None, :]] = -2
-        m = min(k, s.shape[1])
-        top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-        a, b = np.repeat(ids_q, m), ids_c[top].ravel()
-        keep = a != b
-        a, b = a[keep], b[keep]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    keys = ["model", *on, "qb", "cb"]
-    own = lambda df: df.select(*(F.col(x).alias(x) for x in [*keys, "id", "v"])).groupBy(*keys)
-    found = own(q).cogroup(own(c)).applyInPandas(best, "a string, b string")
-    return found.distinct()
+    crowded = CROWDED
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs, parquet
+
+        mine = pd.concat([pd.DataFrame({"model": [], "nr": []}), *batches])
+        if not len(mine):
+            return
+        system, root = fs.FileSystem.from_uri(folder)
+        own = {model: Coded(rows, part_bits) for model, rows in mine.groupby("model")}
+        kept = {model: pd.DataFrame({"r": [], "other": [], "s": []}) for model in own}
+        for files in slices:
+            whole = pd.concat([parquet.read_table(f"{root}/{f}", filesystem=system, partitioning=None).to_pandas() for f in files])
+            for model, rows in whole.groupby("model"):
+                if model not in own:
+                    continue
+                x, y = own[model], Coded(rows, part_bits)
+                out, size = [kept[model]], 0
+                for r, c in meetings(x, y, part_bits, k, crowded):
+                    s = similarities(x, y, r, c)
+                    good = s >= (-2 if least is None else least)
+                    out.append(pd.DataFrame({"r": r[good], "other": y.id[c[good]], "s": s[good]}))
+                    size += len(out[-1])
+                    if size > PAIRS_A_STEP:
+                        out, size = [best_of(pd.concat([o for o in out if len(o)]), k)], 0
+                filled = [o for o in out if len(o)]
+                if filled:
+                    kept[model] = best_of(pd.concat(filled), k)
+        for model, rows in ((m, rows) for m, rows in kept.items() if len(rows)):
+            yield pd.DataFrame({"model": model, "id": own[model].id[rows["r"].to_numpy().astype(np.int64)], "other": rows["other"].to_numpy(), "similarity": rows["s"].to_numpy(), "rank": rows.groupby("r").cumcount().to_numpy() + 1})
+
+    return coded.select("nr", "model", "id", "vector", "norm", "parts").mapInPandas(search, "model string, id string, other string, similarity double, rank int")
+
+
+def written(coded: DataFrame, n: int) -> tuple[str, list[list[str]]]:
+    """A new folder in the shared folder with the n rows of coded, and its files' names in slices of about SLICE rows."""
+    spark = coded.sparkSession
+    folder = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    coded.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = sorted(s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path) if s.getPath().getName().endswith(".parquet"))
+    each = max(1, len(names) * SLICE // max(n, 1))
+    return folder, [names[i : i + each] for i in range(0, len(names), each)]
+
+
+def dropped(spark, folder: str) -> None:
+    """Remove a folder of written()."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def exact(open_ids: DataFrame, coded: DataFrame, k: int, rows_a_block: int = 4_000, rows_a_step: int = 250) -> DataFrame:
-    """(model, id, other): the k most similar vectors of each of open_ids (model, id), ties by the smaller id.
+    """(model, id, other, similarity): the k most similar vectors of each of open_ids (model, id), ties by the smaller id.
 
     Every block of open vectors meets every block of the model's vectors in a task of its own; a
     task holds two blocks and the similarities of rows_a_step rows, and gives k rows per vector.
@@ -208,7 +287,7 @@ def exact(open_ids: DataFrame, coded: DataFrame, k: int, rows_a_block: int = 4_0
     own = lambda df: df.select(*(F.col(x).alias(x) for x in [*keys, "id", "v"])).groupBy(*keys)
     found = own(q).cogroup(own(c)).applyInPandas(best, "model string, id string, other string, s double")
     ranked = found.withColumn("__r", F.row_number().over(Window.partitionBy("model", "id").orderBy(F.desc("s"), "other")))
-    return ranked.where(F.col("__r") <= k).select("model", "id", "other")
+    return ranked.where(F.col("__r") <= k).select("model", "id", "other", F.col("s").alias("similarity"))
 
 
 def nearest(entries: DataFrame, k: int = 5, least: float | None = None) -> DataFrame:
@@ -219,42 +298,31 @@ def nearest(entries: DataFrame, k: int = 5, least: float | None = None) -> DataF
     at least SURE are searched exactly. Ids with equal vectors are each other's neighbours at similarity 1; such a class is
     searched once, through its smallest id, and expanded by at most k + 1 ids per class.
     """
-    vectors = usable_vectors(entries)
-    keyed = vectors.withColumn("cls", F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), ",")))
+    spark = entries.sparkSession
+    text = F.array_join(F.transform(unit(), lambda x: x.cast("string")), ",")
+    keyed = cut(usable_vectors(entries).withColumn("cls", F.md5(text)))
     within = Window.partitionBy("model", "cls").orderBy("id")
     firsts = keyed.select("model", "cls", "id").withColumn("place", F.row_number().over(within)).where(F.col("place") <= k + 1)
-    heads = keyed.groupBy("model", "cls").agg(F.min("id").alias("id"), F.first("v").alias("v"))
+    heads = keyed.groupBy("model", "cls").agg(F.min("id").alias("id"))
     n = heads.count()
     if not n:
-        return entries.sparkSession.createDataFrame([], "model string, id string, other string, similarity double, rank int")
-    part_bits = min(15, max(4, math.ceil(math.log2(max(n, 2)) / 2)))
-    coded = with_codes(heads, rotations(heads, PARTS * part_bits), part_bits)
-    coded = cut(coded)
-    plain, (left, right) = candidates(coded, part_bits)
-    pairs = plain.unionByName(top_of_blocks(left, right, coded, k)).distinct()
-    va = coded.select("model", F.col("id").alias("a"), F.col("v").alias("va"))
-    vb = coded.select("model", F.col("id").alias("b"), F.col("v").alias("vb"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        return spark.createDataFrame([], "model string, id string, other string, similarity double, rank int")
+    part_bits = min(15, max(4, math.ceil(math.log2(max(min(n, SLICE), 2)) / 2)))
+    one = keyed.join(heads.select("model", "id"), ["model", "id"], "left_semi").select("model", "id", "vector", "norm")
+    one = one.repartition(max(FILES, -(-n // (SLICE // 10))), "id")
+    folder, slices = written(with_codes(one, rotations(one, PARTS * part_bits), part_bits), n)
+    files = spark.read.parquet(folder)
     best = Window.partitionBy("model", "id").orderBy(F.desc("similarity"), "other")
-
-    def scored(p: DataFrame, key: str | list[str] = "a") -> DataFrame:
-        rows = p.join(va, key).join(vb, ["model", "b"]).select("model", "a", "b", F.round(dot, 10).alias("similarity"))
-        return rows if least is None else rows.where(F.col("similarity") >= least)
-
-    found = scored(pairs)
-    both = found.select("model", F.col("a").alias("id"), F.col("b").alias("other"), "similarity").unionByName(
-        found.select("model", F.col("b").alias("id"), F.col("a").alias("other"), "similarity")
-    )
-    top = both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    top = cut(by_codes(files, folder, slices, part_bits, k, least))
     if least is None or least < SURE:
-        top = cut(top)
+        coded = files.select("model", "id", unit().alias("v"))
         copies_of = keyed.groupBy("model", "cls").agg(F.min("id").alias("id"), (F.count("*") - 1).alias("n")).select("model", "id", "n")
         hits = top.where(F.col("similarity") >= SURE).groupBy("model", "id").agg(F.count("*").alias("n"))
         sure = hits.unionByName(copies_of).groupBy("model", "id").agg(F.sum("n").alias("n")).where(F.col("n") >= k)
         unsure = cut(coded.select("model", "id").join(sure, ["model", "id"], "left_anti"))
-        whole = scored(exact(unsure, coded, k).select("model", F.col("id").alias("a"), F.col("other").alias("b")), ["model", "a"])
-        whole = whole.select("model", F.col("a").alias("id"), F.col("b").alias("other"), "similarity").withColumn("rank", F.row_number().over(best))
-        top = top.join(unsure, ["model", "id"], "left_anti").unionByName(whole)
+        whole = exact(unsure, coded, k).where(F.col("similarity") >= (-2 if least is None else least)).withColumn("rank", F.row_number().over(best))
+        top = cut(top.join(unsure, ["model", "id"], "left_anti").unionByName(whole))
+    dropped(spark, folder)
     head_of = heads.select("model", F.col("id").alias("head"), "cls")
     members = keyed.select("model", "id", "cls").join(head_of, ["model", "cls"])
     other_ids = firsts.join(head_of, ["model", "cls"]).select("model", F.col("head").alias("other_head"), F.col("id").alias("other"), "place")

@@ -4,9 +4,12 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from skein.llm import neighbours
 from skein.operators import dedup, linking, reports, search, similarity
 
 D = "/root/testdata/sf0.001"
@@ -109,3 +112,35 @@ def test_keyword_search_of_many_equals_a_plain_pass(spark):
         want |= {(q, key if there else None, -s, w) for s, there, key, w in ranked}
     assert {(r.query, r.mem_no, round(r.score, 9), round(r.keyword, 9)) for r in found.collect()} == want
     assert "contains(" not in found._jdf.queryExecution().toString().lower()  # each query searching each record took the time
+
+
+@pytest.mark.parametrize("crowded", [2_000, 2])
+def test_tables_in_memory_bring_every_close_pair(monkeypatch, crowded):
+    for name, value in (("ROWS_A_STEP", 7), ("PAIRS_A_STEP", 11)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(4)
+    parts = rng.integers(0, 16, (12, 8))[rng.integers(0, 12, 90)] ^ (1 << rng.integers(0, 4, (90, 8))) * (rng.random((90, 8)) < 0.3)
+    rows = pd.DataFrame({"nr": range(90), "id": [f"{i:03d}" for i in range(90)], "norm": 1.0, "vector": list(rng.standard_normal((90, 4))), "parts": list(parts)})
+    own, other = neighbours.Coded(rows[20:], 4), neighbours.Coded(rows, 4)
+    found = [(int(own.nr[a]), int(other.nr[b])) for r, c in neighbours.meetings(own, other, 4, 90, crowded) for a, b in zip(r, c)]
+    bits = lambda a, b: [bin(x ^ y).count("1") for x, y in zip(parts[a].tolist(), parts[b].tolist())]
+    meet = lambda d: any(d[t] <= 1 and d[(t + 1) % 8] <= 1 for t in range(8))
+    every = {(a, b): bits(a, b) for a in range(20, 90) for b in range(90) if a != b}
+    want = {p for p, d in every.items() if meet(d) and sum(d) <= int(neighbours.RADIUS * 32)}
+    assert want <= set(found) and all(meet(every[p]) for p in found)
+    assert crowded == 2 or (len(found) == len(want) and set(found) == want)
+
+
+def test_similar_vectors_move_no_probes(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SLICE", 70, raising=False)  # several slices
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((30, 24))
+    x = np.array([centres[i % 30] * rng.uniform(0.5, 3) + 0.1 * rng.standard_normal(24) for i in range(300)], dtype=np.float32)
+    frame = spark.createDataFrame([(f"{i:03d}", v.tolist(), "m", 24) for i, v in enumerate(x)], "id string, vector array<float>, model string, dimension int")
+    found = neighbours.similar_pairs(frame)
+    assert "bucket" not in found._jdf.queryExecution().toString()  # 144 rows a vector took the disk
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    s = np.round(u @ u.T, 10)
+    want = {(min(a, b), max(a, b)) for a in range(300) for b in sorted((b for b in range(300) if b != a), key=lambda b: (-s[a, b], b))[:5] if s[a, b] >= 0.9}
+    got = {(int(r.id_a), int(r.id_b)) for r in found.collect()}
+    assert want and len(want & got) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)

@@ -144,3 +144,17 @@ def test_similar_vectors_move_no_probes(spark, monkeypatch):
     want = {(min(a, b), max(a, b)) for a in range(300) for b in sorted((b for b in range(300) if b != a), key=lambda b: (-s[a, b], b))[:5] if s[a, b] >= 0.9}
     got = {(int(r.id_a), int(r.id_b)) for r in found.collect()}
     assert want and len(want & got) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
+
+
+def test_new_links_find_the_words_of_paths_once_a_commit(spark):
+    link = lambda sha: ([(sha,)],)
+    rows = [(1, "decision", "cache lock retry", "queue", link("s2")), (2, "todo", "cache lock retry", "queue", None), (3, "issue", "nothing else", None, None)]
+    m = spark.createDataFrame(rows, "mem_no bigint, mem_type string, title string, content string, links struct<implementations array<struct<sha string>>>")
+    rows = [(1, "s1", "cache lock retry", None, None, [f"p/{i}x.ts" for i in range(7)]), (2, "s2", "cache lock retry", None, None, ["src/cache.ts", "b/c.ts"]), (3, None, "cache lock retry", None, None, None)]
+    c = spark.createDataFrame(rows, "commit_no bigint, full_sha string, subject string, body string, author string, paths array<string>")
+    found = linking.new_links(m, c, 0.2)
+    plan = found._jdf.queryExecution().toString()
+    assert "SortMergeJoin [token" not in plan and "regexp_replace(" not in plan.split("Optimized Logical Plan")[1].split("FlatMapCoGroups")[0]  # once a pair took the time
+    got = {(r.mem_no, r.commit_no): list(r.paths) for r in found.collect()}
+    first, hit = [f"p/{i}x.ts" for i in range(5)], ["src/cache.ts"]
+    assert got == {(1, 1): first, (2, 1): first, (2, 2): hit, (1, 3): [], (2, 3): []}

@@ -2,7 +2,8 @@
 
 import math
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -158,3 +159,41 @@ def test_new_links_find_the_words_of_paths_once_a_commit(spark):
     got = {(r.mem_no, r.commit_no): list(r.paths) for r in found.collect()}
     first, hit = [f"p/{i}x.ts" for i in range(5)], ["src/cache.ts"]
     assert got == {(1, 1): first, (2, 1): first, (2, 2): hit, (1, 3): [], (2, 3): []}
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_new_links_move_no_pairs(spark, monkeypatch, few):
+    if few:
+        for name, n in {"LEAST_ROWS": 9, "MOST_ROWS": 9, "MEMBERS": 3, "BATCH": 5}.items():
+            monkeypatch.setattr(linking, name, n, raising=False)
+    rng = random.Random(5)
+    words = ["cache", "lock", "queue", "retry", "lease", "router"]
+    some = lambda n: rng.sample(words, rng.randrange(1, n))
+    m, c = {}, {}
+    for i in range(40):
+        # copies of a record know different commits
+        m[i] = m[i - 1] if i % 4 else ("todo", some(4))
+    known = {i: [f"s{j}" for j in rng.sample(range(30), rng.randrange(0, 8))] + [None] for i in m if i % 3}
+    for j in range(30):
+        paths = [rng.choice(["src", "lib"]) + "/" + "-".join(some(3)) + ".ts" for _ in range(rng.randrange(0, 8))]
+        c[j] = c[j - 1] if j % 3 == 1 else (some(4), paths or None)
+    rows = [(i, kind, " ".join(t), None, ([(s,) for s in known[i]],) if i in known else None) for i, (kind, t) in m.items()]
+    records = spark.createDataFrame(rows, "mem_no bigint, mem_type string, title string, content string, links struct<implementations array<struct<sha string>>>").repartition(3)
+    rows = [(j, None if j == 7 else f"s{j - j % 2}", " ".join(t), None, None, p) for j, (t, p) in c.items()]
+    commits = spark.createDataFrame(rows, "commit_no bigint, full_sha string, subject string, body string, author string, paths array<string>").repartition(3)
+    told = lambda p: set(re.split(r"[/._-]", p))
+    want = {}
+    for i, (kind, t) in m.items():
+        x = {kind: 2} | {w: 3 for w in t}
+        for j, (s, p) in c.items():
+            y = Counter({w: 3 for w in s}) + Counter({w: 2 * sum(w in told(q) for q in p or []) for q in p or [] for w in told(q)})
+            low = sum(min(w, y[k]) for k, w in x.items())
+            score = low / (sum(x.values()) + sum(y.values()) - low)
+            if score >= 0.2 and not (j != 7 and f"s{j - j % 2}" in known.get(i, [])):
+                hit = [q for q in p or [] if told(q) & x.keys()]
+                want[i, j] = (math.floor(score * 1000 + 0.5) / 1000, hit or (p or [])[:5])
+    found = linking.new_links(records, commits, 0.2)
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroups")[0]
+    assert "Join" not in above  # pairs moved with all their paths and words took the time
+    got = [((r.mem_no, r.commit_no), (r.score, list(r.paths))) for r in found.collect()]
+    assert len(got) == len(want) and dict(got) == want and len(want) > 100

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -20,6 +21,8 @@ AUTO, SUGGEST = 0.70, 0.40
 LEAST_ROWS, MOST_ROWS, BLOCKS = 2_000, 100_000, 6
 #: The most rows of one part of a class of equal bags, the pairs that a batch of results has, and the paths of a link whose commit has none that the record names.
 MEMBERS, BATCH, FIRST = 100, 50_000, 5
+#: A token of one in so many bags of a block has a number for each of them, as far as all these take so many bytes.
+DENSE, DENSE_BYTES = 40, 96_000_000
 
 
 def bag(df: DataFrame, key: str, fields: list[tuple]) -> DataFrame:
@@ -96,46 +99,51 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def shared_weights(total_x: np.ndarray, total_y: np.ndarray, xs: tuple, ys: tuple, least: float) -> tuple[np.ndarray, ...]:
     """(r, c, low): rows r of xs and c of ys (row, token, weight) whose similarity can be `least`, low being the weight that they share.
 
-    The tokens of a row of xs go from rare to frequent. A partner's weight is `least` of the row's
-    or more, so that frequent tokens of less weight than that are looked up only for partners that
-    the others leave within reach.
+    A row of xs adds up, for all of ys at once, what each of its tokens gives: by a list of the
+    rows that have the token, or where these are many, by one number for every row.
     """
     (rx, tx, wx), (ry, ty, wy) = xs, ys
     order = np.argsort(ty, kind="stable")
-    rows, weights = ry[order], wy[order]
     seen = np.bincount(ty, minlength=max(tx.max(initial=-1), ty.max(initial=-1)) + 1)
     ends = np.cumsum(seen)
     starts = ends - seen
     # tokens that ys do not have are nowhere to be found
     kept = seen[tx] > 0
     rx, tx, wx = rx[kept], tx[kept], wx[kept]
-    order = np.lexsort((tx, seen[tx], rx))
-    rx, tx, wx = rx[order], tx[order], wx[order]
-    to = np.cumsum(np.bincount(rx, minlength=len(total_x)))
+    by_row = np.argsort(rx, kind="stable")
+    tx, wx, to = tx[by_row], wx[by_row], np.cumsum(np.bincount(rx, minlength=len(total_x)))
+    own = np.cumsum(np.concatenate([[0], wx]))
     share = least / (1 + least)
     needed_y = total_y * share - 1e-9
-    capped = {w: np.minimum(weights, w).astype(np.float64) for w in np.unique(wx).tolist()}
+    kind = np.int16 if max(total_x.max(initial=0), total_y.max(initial=0)) < 2**15 else np.int64
+    rows, short = ry[order], -np.floor(needed_y).astype(kind)
+    weights = {w: np.minimum(wy[order], w).astype(kind) for w in np.unique(wx).tolist()}
+    near = np.zeros(-(-len(total_y) // 8) * 8, dtype=bool)
+    many, whole = len(total_y) / DENSE, {}
+    room = DENSE_BYTES // max(1, short.nbytes)
     out = [(np.zeros(0, dtype=np.int64),) * 3]
     for r in range(len(total_x)):
-        span = slice(to[r - 1] if r else 0, to[r])
-        mine, own = tx[span], wx[span]
-        left = np.cumsum(own[::-1])[::-1]
-        first = int((left >= least * total_x[r]).sum())
-        if not first:
+        lo, hi = int(to[r - 1]) if r else 0, int(to[r])
+        if own[hi] - own[lo] < least * total_x[r]:
             continue
-        at = list(zip(starts[mine].tolist(), ends[mine].tolist(), own.tolist()))
-        found = np.concatenate([rows[i:j] for i, j, _ in at[:first]])
-        low = np.bincount(found, np.concatenate([capped[w][i:j] for i, j, w in at[:first]]), len(total_y))
-        rest = left[first] if first < len(left) else 0
-        c = np.flatnonzero((low >= needed_y + (share * total_x[r] - rest)) & (low > 0))
-        if not len(c):
-            continue
-        low = low[c]
-        for i, j, w in at[first:]:
-            place = np.minimum(np.searchsorted(rows[i:j], c), j - i - 1) + i
-            low += np.where(rows[place] == c, capped[w][place], 0)
-        keep = low >= needed_y[c] + share * total_x[r]
-        out.append((np.full(keep.sum(), r), c[keep], low[keep].astype(np.int64)))
+        got = short.copy()
+        mine = tx[lo:hi]
+        for t, w, i, j in zip(mine.tolist(), wx[lo:hi].tolist(), starts[mine].tolist(), ends[mine].tolist()):
+            every = whole.get((t, w)) if j - i >= many else None
+            if every is None:
+                if j - i < many or len(whole) >= room:
+                    got[rows[i:j]] += weights[w][i:j]
+                    continue
+                every = whole[t, w] = np.zeros(len(short), dtype=kind)
+                every[rows[i:j]] = weights[w][i:j]
+            got += every
+        np.greater_equal(got, math.floor(share * total_x[r]), out=near[: len(got)])
+        # few are near, so that eight are passed over at once
+        c = (np.flatnonzero(near.view(np.int64))[:, None] * 8 + np.arange(8)).ravel()
+        c = c[near[c]]
+        low = got[c].astype(np.int64) - short[c]
+        keep = (low > 0) & (low >= needed_y[c] + share * total_x[r])
+        out.append((np.full(keep.sum(), r), c[keep], low[keep]))
     return tuple(np.concatenate(v) for v in zip(*out))
 
 

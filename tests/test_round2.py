@@ -197,3 +197,19 @@ def test_new_links_move_no_pairs(spark, monkeypatch, few):
     assert "Join" not in above  # pairs moved with all their paths and words took the time
     got = [((r.mem_no, r.commit_no), (r.score, list(r.paths))) for r in found.collect()]
     assert len(got) == len(want) and dict(got) == want and len(want) > 100
+
+
+@pytest.mark.parametrize("dense, room, scale", [(40, 96_000_000, 1), (2, 200, 1), (1, 96_000_000, 9_000)])
+def test_shared_weights_equal_a_plain_pass(monkeypatch, dense, room, scale):
+    # lists of rows or a number for each, and sums that 16 bits do not hold
+    monkeypatch.setattr(linking, "DENSE", dense)
+    monkeypatch.setattr(linking, "DENSE_BYTES", room)
+    rng = random.Random(2)
+    bags = [[{t: scale * rng.randrange(1, 9) for t in rng.sample(range(30), rng.randrange(1, 6))} for _ in range(n)] for n in (40, 53)]
+    total = [np.array([sum(b.values()) for b in side]) for side in bags]
+    flat = [tuple(np.array(v) for v in zip(*((i, t, w) for i, b in enumerate(side) for t, w in b.items()))) for side in bags]
+    for least in (0.2, 0.5):
+        low = {(i, j): sum(min(w, y.get(t, 0)) for t, w in x.items()) for i, x in enumerate(bags[0]) for j, y in enumerate(bags[1])}
+        want = {k: v for k, v in low.items() if v and v / (total[0][k[0]] + total[1][k[1]] - v) >= least}
+        got = {(r, c): v for r, c, v in zip(*(v.tolist() for v in linking.shared_weights(*total, *flat, least)))}
+        assert want.items() <= got.items() and all(v == low[k] for k, v in got.items()) and want
